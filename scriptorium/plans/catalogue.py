@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from scriptorium.operators import unpack
+from scriptorium.session import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unpack.unpack(table(spark, sf_dir, "bib"), ["authors", "keywords"])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p2_found": p2_found}
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return {}
