@@ -9,9 +9,11 @@ from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, mixture
+from scriptorium.llm import bpe, encoding, lookalike, loose, mixture, survivors, terms
 from scriptorium.llm import pieces as cutting
+from scriptorium.operators import unpack
 from scriptorium.session import cut, table
 
 
@@ -37,6 +39,67 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _bib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "bib")
+
+
+def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bib = _bib(spark, sf_dir)
+    keywords = unpack.with_values(unpack.long_fields(bib, ["keywords"]))
+    journal = unpack.long_fields(bib, ["journal"]).select("id", "field_name", F.array(F.btrim("field", F.lit(unpack.BLANKS))).alias("values"))
+    values = cut(keywords.unionByName(journal))
+    return terms.marked_terms(values, bib.count())
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_terms(spark, sf_dir).where("mark IS NOT NULL").select("field_name", "term", "mark")
+
+
+GROUPED = ["pages", "doi", "abstract", "volume"]
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> tuple:
+    return table(spark, sf_dir, "dup_member"), _bib(spark, sf_dir), table(spark, sf_dir, "export_file"), GROUPED
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(*_grouped(spark, sf_dir)).select("group_id", "field_name", "id")
+
+
+def p3_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.truths(*_grouped(spark, sf_dir))
+
+
+READABLE = ["title", "abstract", "authors"]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(_bib(spark, sf_dir), READABLE).select("id", "field_name")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(_bib(spark, sf_dir), READABLE)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loose.pairs(_bib(spark, sf_dir))
+
+
+def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loose.collapse(_bib(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bib = _bib(spark, sf_dir)
+    odd = lookalike.odd_fields(bib, ["title", "pages"])
+    return odd.join(encoding.garbled(bib, ["title"]).select("id", "field_name"), ["id", "field_name"], "left_anti")
+
+
+def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bib = _bib(spark, sf_dir)
+    return lookalike.canonical(bib.select(F.lit("title").alias("field_name"), F.col("title").alias("value")).unionByName(bib.select(F.lit("pages").alias("field_name"), F.col("pages").alias("value"))))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(_docs(spark, sf_dir), _shared(spark))
 
@@ -65,7 +128,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_mixture, p8_shares, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_truths, p4_found, p4_restored, p5_found, p5_collapsed, p6_found, p6_canonical, p7_ids, p8_mixture, p8_shares, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
