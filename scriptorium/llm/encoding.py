@@ -52,7 +52,9 @@ INSIDE = re.compile("(?<=[A-Za-z])[\u4e00-\u9fff](?=[a-z])|\\b[\u4e00-\u9fff](?=
 NOT_ASCII = re.compile("[^\x00-\x7f]{2,}")
 UTF8_SPAN = re.compile(f"{UTF8}+")
 #: GBK that opens with a level 1 character, as text and names do, and has no ASCII byte.
-GBK_SPAN = re.compile("[\xa1-\xa3\xb0-\xd7][\xa1-\xfe](?:[\xa1-\xfe]{2})+")
+GBK_SPAN = re.compile("[\xa1-\xa3\xb0-\xd7][\xa1-\xfe](?:[\xa1-\xfe]{2})*")
+HAN = re.compile("[\u4e00-\u9fff]")
+NARROW_HIGH = re.compile("[^\x00-\x7f\u2e80-\u9fff\uff00-\uffef]")
 CYRILLIC = re.compile("^[Ѐ-ӿ]+$")
 #: Characters that Chinese, or any one of the languages here, doesn't mix with wide text.
 STRANGE = re.compile("[\u3041-\u30ff\u3105-\u312f\u02c7-\u02d9\u0370-\u03ff\u2190-\u22ff\u2460-\u25ff\uff61-\uff9f\ufe30-\ufe6b\ue000-\uf8ff]")
@@ -80,19 +82,21 @@ def _narrow(text: str) -> tuple[str, str] | None:
     for name, table in TABLES.items():
         data = text.translate(table)
         for target, spans in (("utf-8", UTF8_SPAN), ("gbk", GBK_SPAN)) if name in ("cp1252", "latin-1") else (("utf-8", UTF8_SPAN),):
-            out, at, worth = [], 0, 0
+            out, at, worth, covered = [], 0, 0, 0
             for m in spans.finditer(data):
                 before, after = text[m.start() : m.end()], m.group().encode("latin-1").decode(target, "replace")
                 if target == "utf-8":
                     # Letters that stand side by side in their own right decode to nothing usual.
-                    if len(RARE.findall(after)) * 3 > len(after) * 2 or (len(after) == 1 and RARE.search(after)):
+                    if len(RARE.findall(HAN.sub("", after))) * 3 > len(after) * 2 or (len(after) == 1 and RARE.search(HAN.sub("", after))):
                         continue
                     if len(after) == 1 and len(before) == 2 and (name in ("cp437", "koi8-r") or CYRILLIC.match(before) and before[1].isalpha() and before[1] not in "џђѓњќћљјѕ"):
                         continue
-                elif "\ufffd" in after:
+                elif "\ufffd" in after or (len(before) < 4 and not (HAN.search(text) and after in _LEVEL)):
                     continue
                 out += [text[at : m.start()], after]
-                at, worth = m.end(), worth + max(1, _worth(after) + 2 * len(after))
+                at, worth, covered = m.end(), worth + max(1, _worth(after) + 2 * len(after)), covered + len(before)
+            if target == "utf-8" and covered * 5 >= 4 * len(NARROW_HIGH.findall(text)):
+                worth += 10_000  # UTF-8 is well-formed by chance far more seldom than GBK
             if worth and (best is None or worth > best[0]):
                 best = worth, "".join(out) + text[at:], f"{target} read as {name}"
     return best and best[1:]
@@ -191,7 +195,7 @@ def examine(text: str | None, depth: int = 3) -> tuple[bool, str | None, str | N
 
 
 #: Characters of the usual kind that misread text is made of as well.
-SUSPECT = re.compile("[а-п][\x80-¿Ѐ-ЏЁЄЅІЇЈѐ-џґҐ‚-›€№™]{2}|[Â-ßà-ï][\x80-¿‐-⁊€ŒœŠšŸŽžƒˆ˜™]|[\xa1-ÿ]{4}|[РСГДЕВ][\x80-¿А-џ€‚„…†‡‰‹‘’“”•–—™›№ґҐ]|[Ё-п]{2}[\x80-¿Ѐ-Џѐ-џґҐ€‚„…†‡‰‹‘’“”•–—™›№]|[ÃÂ√∂≈Ê-ÔËÈÁÍÎÏÌÓ‰ÂÊ][^\x00-\x7f]")
+SUSPECT = re.compile("[\u4e00-\u9fff][\xb0-\xf7][\xa1-ÿ]|[\xb0-\xf7][\xa1-ÿ][\u4e00-\u9fff]|[а-п][\x80-¿Ѐ-ЏЁЄЅІЇЈѐ-џґҐ‚-›€№™]{2}|[Â-ßà-ï][\x80-¿‐-⁊€ŒœŠšŸŽžƒˆ˜™]|[\xa1-ÿ]{4}|[РСГДЕВ][\x80-¿А-џ€‚„…†‡‰‹‘’“”•–—™›№ґҐ]|[Ё-п]{2}[\x80-¿Ѐ-Џѐ-џґҐ€‚„…†‡‰‹‘’“”•–—™›№]|[ÃÂ√∂≈Ê-ÔËÈÁÍÎÏÌÓ‰ÂÊ][^\x00-\x7f]")
 
 
 def garbled(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:

@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 LIKE_FROM = "АВСЕНІЈКМОРЅТХУԚԜасеіјорѕухһԁԛԝѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινυαρϲոսօցհɡıɑ"
 LIKE_TO = "ABCEHIJKMOPSTXYQWaceijopsyxhdqwvABEZHIKMNOPTYXoivuapcnuoghgia"
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
+LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
+YEAR = r"(?<![A-Za-z0-9])(?=[lIoO]{0,2}[0-9])(?=[0-9]*[lIoO])[0-9lIoO]{4}(?![A-Za-z0-9])"
+#: A number of a page range in which letters stand for digits; it has a digit, or is made of such letters alone.
+NUMBER = r"(?<![A-Za-z0-9])(?:(?=[lIoO]*[0-9])[0-9lIoO]+|[lIoO]*[oOl][lIoO]*)(?![A-Za-z0-9])|(?<=\b[A-Z])(?=[lIoO]*[0-9])[0-9lIoO]+(?![A-Za-z0-9])"
 DASHES = "‐‑‒–—―−﹘﹣－⁃⸺"
 MARKS = "̧̨̀́̂̃̄̆̇̈̊̋̌"
 
@@ -95,19 +99,24 @@ def looks(v: Column) -> Column:
     """What a value looks like, in ordinary characters."""
     before, after = _plain_table()
     out = _let(F.regexp_replace(v, f"[{INVISIBLE}]", ""), lambda x: F.translate(x, before, after))
-    plain = _let(_let(out, _compose), _latin_words)
-    return F.when(v.rlike(r"[^\x00-\x7f]"), plain).otherwise(v)
+    for joined in LIGATURES:
+        out = F.replace(out, F.lit(joined), F.lit(unicodedata.normalize("NFKC", joined)))
+    plain = F.when(v.rlike(r"[^\x00-\x7f]"), _let(_let(out, _compose), _latin_words)).otherwise(v)
+    # A letter within a number of four digits stands for a digit.
+    return _let(plain, lambda x: F.when(x.rlike(YEAR), _digits_of(x, YEAR)).otherwise(x))
+
+
+def _digits_of(v: Column, number: str) -> Column:
+    """v with l, I, o and O in each match of number turned into digits."""
+    digits = F.transform(F.regexp_extract_all(v, F.lit(number), F.lit(0)), lambda n: F.translate(n, "lIoO", "1100"))
+    return _let(digits, lambda d: F.array_join(F.transform(F.split(v, number), lambda b, i: F.concat(b, F.coalesce(F.get(d, i), F.lit("")))), ""))
 
 
 def looks_as_pages(v: Column) -> Column:
     """What a page range looks like: as looks, with hyphens, and with digits for letters that stand for them."""
 
     def digits(x: Column) -> Column:
-        x = F.translate(x, DASHES, "-" * len(DASHES))
-        for pattern, to in ((r"[lI|Ƽ](?=[0-9])|(?<=[0-9])[lI|Ƽ]", "1"), (r"[oO](?=[0-9])|(?<=[0-9])[oO]", "0")):
-            x = F.regexp_replace(F.regexp_replace(x, "Ƽ", "5"), pattern, to)
-        # A run of such letters beside a digit, from its far end inwards.
-        return F.regexp_replace(F.regexp_replace(x, r"[lI](?=[0-9])|(?<=[0-9])[lI]", "1"), r"[oO](?=[0-9])|(?<=[0-9])[oO]", "0")
+        return _digits_of(F.translate(x, DASHES + "Ƽ", "-" * len(DASHES) + "5"), NUMBER)
 
     return F.when(v.rlike(r"^[\s\u00a0\u3000]*[-/—–]*[\s\u00a0\u3000]*$"), v).otherwise(_let(looks(v), digits))
 
