@@ -15,12 +15,16 @@ Null, empty and blank fields hold no value. Empty values between marks are skipp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
+from operator import and_ as and_op
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut
+
 BLANKS = " \t"
 HARD = ";；|、，"
 WHOLE = r'^"[^"]*+(?:""[^"]*+)*+"$'
@@ -90,14 +94,14 @@ def code_book(fields: DataFrame) -> dict[tuple[str, str], float]:
     Keys are (column, value), and (column, "\\0" + shape). At most 2 * BOOK entries come to the driver.
     """
     plain = fields.where(~_open(F.col("field"))).select("field_name", F.explode(parse(F.col("field"), False, False, False)).alias("v"))
-    counts = plain.groupBy("field_name", "v").agg(F.count("*").alias("n"))
     quoted = fields.where(F.contains(F.col("field"), F.lit('"')) & _open(F.col("field")))  # what quotes enclose is one value in every dialect
-    inside = quoted.select("field_name", F.explode(F.regexp_extract_all("field", F.lit(rf'(?:^|[{HARD},\t])[ ]*"([^"]*)"(?=[ ]*(?:[{HARD},\t]|\z))'), F.lit(1))).alias("v")).groupBy("field_name", "v").agg(F.count("*").alias("n"))
-    both = counts.unionByName(inside)
-    shapes = both.groupBy("field_name", shape(F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
+    pattern = rf'(?:^|[{HARD},\t])[ ]*"([^"]*)"(?=[ ]*(?:[{HARD},\t]|\z))'
+    inside = quoted.select("field_name", F.explode(F.regexp_extract_all("field", F.lit(pattern), F.lit(1))).alias("v"))
+    counts = cut(plain.unionByName(inside).groupBy("field_name", "v").agg(F.count("*").alias("n")))  # read three times
+    shapes = counts.groupBy("field_name", shape(F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
+    totals = {r[0]: r[1] for r in counts.groupBy("field_name").agg(F.sum("n")).collect()}
     book: dict[tuple[str, str], float] = {}
-    for prefix, part in (("", both.groupBy("field_name", "v").agg(F.sum("n").alias("n")).where("n > 1")), ("\0", shapes)):
-        totals = {r[0]: r[1] for r in shapes.groupBy("field_name").agg(F.sum("n")).collect()} if not book else totals
+    for prefix, part in (("", counts.where("n > 1")), ("\0", shapes)):
         for r in part.orderBy(F.desc("n"), "field_name", "v").limit(BOOK).collect():
             book[r["field_name"], prefix + r["v"]] = -log2(r["n"] / totals[r["field_name"]])
     return book
@@ -114,27 +118,29 @@ def with_values(fields: DataFrame) -> DataFrame:
     spark = fields.sparkSession
     book = spark.sparkContext.broadcast(code_book(fields))
 
-    @F.arrow_udf("int")
+    @F.arrow_udf("array<string>")
     def cheapest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for columns, parses in batches:
-            out = [0] * len(columns)
-            for at, (column, candidates) in enumerate(zip(columns.to_pylist(), parses.to_pylist(), strict=True)):
-                least = float("inf")
-                for i, values in enumerate(candidates or ()):
+            out = []
+            for column, candidates in zip(columns.to_pylist(), parses.to_pylist(), strict=True):
+                best, least = None, float("inf")
+                for values in candidates or ():
                     bits = MARK * len(values) + sum(_bits(book.value, column, v["v"], v["s"]) for v in values)
                     if bits < least:
-                        out[at], least = i, bits
-            yield pa.array(out, pa.int32())
+                        best, least = values, bits
+                out.append(None if best is None else [v["v"] for v in best])
+            yield pa.array(out, pa.list_(pa.string()))
 
     field = F.col("field")
-    parses = F.array(*[F.transform(parse(field, *d), lambda v: F.struct(v.alias("v"), shape(v).alias("s"))) for d in DIALECTS])
-    plain = parse(field, False, False, False)
-    choice = cheapest(F.col("field_name"), F.when(_open(field), parses))
-    chosen = fields.withColumn("dialect", choice)
-    values = F.when(F.col("dialect") == 0, plain)
-    for i, d in enumerate(DIALECTS[1:], 1):
-        values = values.when(F.col("dialect") == i, parse(field, *d))
-    return chosen.select("id", "field_name", values.alias("values"))
+    may = {"comma": F.contains(field, F.lit(",")), "and": F.rlike(field, F.lit("(?i)[ ]and[ ]")), "blank": F.rlike(field, F.lit(rf'[{WIDE}"][ ]|[ ][{WIDE}"]'))}
+    candidates = []
+    for comma, and_, blank in DIALECTS:  # a mark that a field lacks can't part it
+        values = F.transform(parse(field, comma, and_, blank), lambda v: F.struct(v.alias("v"), shape(v).alias("s")))
+        needed = [may[k] for k, on in (("comma", comma), ("and", and_), ("blank", blank)) if on]
+        candidates.append(F.when(reduce(and_op, needed), values) if needed else values)
+    chosen = cheapest(F.col("field_name"), F.when(_open(field), F.array_compact(F.array(*candidates))))
+    plain = F.when(~_open(field), parse(field, False, False, False))
+    return fields.withColumn("chosen", chosen).select("id", "field_name", F.coalesce("chosen", plain).alias("values"))
 
 
 def unpack(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
