@@ -5,18 +5,189 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.operators import unpack
+from scriptorium.functions import rules as R
+from scriptorium.operators import bib, cites, lines, manuscript, pii, quality, trace, unpack
+from scriptorium.plans import oracle
 from scriptorium.session import table
+from scriptorium.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _docs(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
+    """A query that applies an operator to the documents, and shows columns of its result."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = operator(table(spark, sf_dir, "documents"))
+        return out.select(*shown) if shown else out
+
+    return run
+
+
+def _bib(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = operator(table(spark, sf_dir, "bib"))
+        return out.select(*shown) if shown else out
+
+    return run
+
+
+def _exports(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
+    return _bib(lambda b: operator(bib.as_exports(b)), *shown)
+
+
+def _cited_ids(keep: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Records against the ids that manuscripts cite."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids = table(spark, sf_dir, "cite_occ").where("bib_id IS NOT NULL").select((F.col("bib_id") + 3).alias("id"))
+        return keep(table(spark, sf_dir, "bib"), ids).select("id")
+
+    return run
+
+
+def _chars(name: str) -> F.Column:
+    return F.length(name).alias(f"{name}_chars")
+
+
+def _fixed(fix: Callable[[F.Column], F.Column]) -> Query:
+    """Documents that a fix changes, with the length of the text and a digest of it."""
+
+    def run(docs: DataFrame) -> DataFrame:
+        out = docs.where("text IS NOT NULL").select("doc_id", "text", fix(F.col("text")).alias("fixed"))
+        return out.where("fixed <> text").select("doc_id", F.length("fixed").alias("chars"), F.md5(F.encode("fixed", "utf-8")).alias("digest"))
+
+    return _docs(run)
+
+
+def _paged(docs: DataFrame) -> DataFrame:
+    """Documents as files of one page for each 2,000 characters."""
+    n = F.ceil(F.length("text") / 2000.0).cast("int")
+    page = F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("page_no")
+    return docs.where("text IS NOT NULL").select("doc_id", "text", page).select("doc_id", "page_no", F.expr("substring(text, (page_no - 1) * 2000 + 1, 2000)").alias("text"))
+
+
+def _skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("saved_at").alias("mtime"))
+    done = table(spark, sf_dir, "cite_occ").select(F.col("doc_id").cast("string").alias("path"), F.col("extracted_at").alias("out_mtime"))
+    return files.incremental_skip(rows, done)
+
+
+def _listings(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "export_file").select(F.col("source_file").alias("path")).unionByName(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, [".pdf", ".docx", ".md", ".CAJ"])), (F.col("doc_id") % 4 + 1).cast("int"))).alias("path"))))
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exports = bib.as_exports(table(spark, sf_dir, "bib"))
+    return bib.detect_format(exports)
+
+
+def _endnote(b: DataFrame) -> DataFrame:
+    """Records written in the other tagged format."""
+    tags = [("%0", "type"), ("%T", "title"), ("%J", "journal"), ("%D", "year"), ("%X", "abstract")]
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{t} "), F.coalesce(F.col(f), F.lit(""))) for t, f in tags])
+    return b.select(F.col("id").alias("export_id"), text.alias("text"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack.unpack(table(spark, sf_dir, "bib"), ["authors", "keywords"])
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+TERMS = ["平台请求权", "duty of care", "终稿", " "]
+
+
+def queries() -> dict[str, Query]:
+    t = F.col("text")
+    return {
+        "p2_found": p2_found,
+        # lines and statistics
+        "paragraphs": _docs(lines.paragraphs, "doc_id", "line_no", _chars("text")),
+        "sentences": _docs(lines.sentences, "doc_id", "line_no", "sent_no", _chars("sentence")),
+        "sentence_normalize": _docs(quality.measured_sentences, "doc_id", "line_no", "sent_no", "chars", F.md5(F.encode("norm", "utf-8")).alias("digest")),
+        "doc_stats": _docs(quality.doc_stats),
+        "sentence_quantiles": _docs(quality.sentence_quantiles),
+        "section_stats": _docs(quality.section_stats),
+        "long_sentences": _docs(quality.long_sentences),
+        "bloated_paragraphs": _docs(quality.bloated_paragraphs),
+        "repeated_ngrams": _docs(quality.repeated_ngrams),
+        "filler_hits": _docs(lambda d: quality.filler_hits(d, 1)),
+        "version_curve": _docs(quality.version_curve),
+        "health_verdict": _docs(quality.health_verdict),
+        "near_dup_jaccard": _docs(quality.near_dup_jaccard),
+        "near_dup_ratio": _docs(quality.near_dup_ratio),
+        # citations
+        "doc_split": _docs(cites.doc_split),
+        "mode_detect": _docs(cites.mode_detect),
+        "citations": _docs(cites.groups),
+        "citation_expand": _docs(cites.citations),
+        "ref_entries": _docs(cites.ref_entries),
+        "cite_missing": _docs(cites.cite_missing),
+        "cite_extra": _docs(cites.cite_extra),
+        "cite_gaps": _docs(cites.cite_gaps),
+        "cite_dup_numbers": _docs(cites.cite_dup_numbers),
+        "cite_zombies": _docs(cites.cite_zombies),
+        "cite_first_order": _docs(cites.cite_first_order),
+        "cite_order_mismatch": _docs(cites.cite_order_mismatch),
+        "cite_summary": _docs(cites.cite_summary),
+        "cite_canonical": _docs(cites.cite_canonical),
+        "renumber_map": _docs(cites.renumber_map),
+        "renumber_refs": _docs(cites.renumber_refs),
+        "renumber_body": _docs(cites.renumber_body, "doc_id", _chars("body"), F.md5(F.encode("body", "utf-8")).alias("digest")),
+        "compress_ranges": _docs(cites.compress_ranges),
+        "footnotes": _docs(cites.footnotes),
+        "footnote_missing": _docs(cites.footnote_missing),
+        "footnote_unused": _docs(cites.footnote_unused),
+        "footnote_resolve": _docs(cites.footnote_resolve),
+        # bibliography
+        "bib_detect_format": _formats,
+        "bib_field_lines": _exports(bib.field_lines, "export_id", "rec", "line_no", "code", _chars("value")),
+        "bib_records": _exports(bib.records, "export_id", "rec", "title", "year", "authors", _chars("abstract")),
+        "bib_records_endnote": _bib(lambda b: bib.records(_endnote(b), "endnote"), "export_id", "rec", "title", "journal", "year", _chars("abstract")),
+        "bib_dedupe": _bib(bib.dedupe),
+        "bib_summary": _bib(bib.summary),
+        "bib_top_journals": _bib(bib.top_journals),
+        "bib_filter": _cited_ids(bib.keep),
+        "bib_filter_missing": _cited_ids(bib.missing),
+        "bib_format_gbt": _bib(bib.format_gbt),
+        "bib_format_law": _bib(bib.format_law),
+        "bib_missing_pages": _bib(bib.missing_pages),
+        # traces
+        "abstract_split": _docs(trace.abstract_split, "doc_id", _chars("abstract"), _chars("rest")),
+        "lexicon_hits": _docs(lambda d: quality.lexicon_hits(d, [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])),
+        "lexicon_density": _docs(lambda d: trace.lexicon_density(d, 1)),
+        "vague_attribution": _docs(trace.vague_attribution),
+        "inflation_hits": _docs(trace.inflation_hits),
+        "self_reference": _docs(trace.self_reference),
+        "heading_system": _docs(trace.heading_system),
+        "punct_profile": _docs(trace.punct_profile),
+        "uniformity": _docs(trace.uniformity, "doc_id", "paragraphs", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "cv")]),
+        "trace_verdict": _docs(trace.trace_verdict),
+        # punctuation
+        "fix_double_quotes": _fixed(trace.fix_double_quotes),
+        "fix_single_quotes": _fixed(trace.fix_single_quotes),
+        "fix_ellipsis": _fixed(trace.fix_ellipsis),
+        "fix_cjk_punct": _fixed(trace.fix_cjk_punct),
+        "fix_year_range": _fixed(trace.fix_year_range),
+        "normalize_doc": _docs(lambda d: d.where("text IS NOT NULL").select("doc_id", F.length(trace.normalize_doc(t, True)).alias("chars"))),
+        # personal data
+        "pii_hits": _docs(pii.hits),
+        "pii_institutions": _docs(pii.institutions),
+        "pii_terms": _docs(lambda d: pii.term_hits(d, TERMS)),
+        "pii_file_hygiene": _listings(pii.file_hygiene),
+        "pii_severity": _docs(pii.severity),
+        # manuscripts and files
+        "md_blocks": _docs(manuscript.blocks, "doc_id", "line_no", "kind", _chars("text")),
+        "md_table_cells": _docs(manuscript.table_cells, "doc_id", "line_no", "col", _chars("cell")),
+        "md_runs": _docs(manuscript.runs, "doc_id", "line_no", "run", "kind", _chars("text")),
+        "layout_blocks": _docs(manuscript.layout, "doc_id", "line_no", "kind", "font", "size", "indent", "bold", _chars("text")),
+        "packet_clean": _docs(manuscript.packet_clean, "doc_id", "title", "comments", "status_lines", "placeholders", "todos", _chars("text")),
+        "scan_detect": _docs(lambda d: files.scan_detect(_paged(d))),
+        "incremental_skip": _skip,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
