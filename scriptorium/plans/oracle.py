@@ -73,10 +73,10 @@ _E2 = f"SELECT *, sum((num IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY
 _ETEXT = "string_agg(regexp_replace(line, '^\\[([0-9]+)\\]', ''), chr(10) ORDER BY line_no)"
 ENTRIES = f"SELECT * FROM (SELECT doc_id, max(num) AS num, n::INTEGER AS ord, {strip(sub(_ETEXT, f'[{R.WS}]+', ' '))} AS entry FROM ({_E2}) WHERE n > 0 GROUP BY doc_id, n) WHERE entry <> ''"
 CANON = f"SELECT doc_id, num, min(num) OVER (PARTITION BY doc_id, key) AS canonical, entry FROM (SELECT doc_id, num, entry, lower({sub('entry', R.ENTRY_ASIDE)}) AS key FROM (SELECT doc_id, num, arg_min(entry, ord) AS entry FROM ({ENTRIES}) GROUP BY 1, 2))"
-FIRST = f"SELECT doc_id, num, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS place FROM (SELECT doc_id, num, min((occ, pos)) AS at FROM ({CITES}) GROUP BY 1, 2)"
-RENUMBER = f"""SELECT doc_id, old, row_number() OVER (PARTITION BY doc_id ORDER BY at IS NULL, at, old) AS new, listed FROM (
- SELECT coalesce(c.doc_id, e.doc_id) AS doc_id, coalesce(c.num, e.num) AS old, c.at, e.num IS NOT NULL AS listed
- FROM (SELECT x.doc_id, coalesce(k.canonical, x.num) AS num, min((occ, pos)) AS at FROM ({CITES}) x LEFT JOIN ({CANON}) k ON x.doc_id = k.doc_id AND x.num = k.num GROUP BY 1, 2) c
+FIRST = f"SELECT doc_id, num, row_number() OVER (PARTITION BY doc_id ORDER BY pl) AS place FROM (SELECT doc_id, num, min((occ, pos)) AS pl FROM ({CITES}) GROUP BY 1, 2)"
+RENUMBER = f"""SELECT doc_id, old, row_number() OVER (PARTITION BY doc_id ORDER BY pl IS NULL, pl, old) AS new, listed FROM (
+ SELECT coalesce(c.doc_id, e.doc_id) AS doc_id, coalesce(c.num, e.num) AS old, c.pl, e.num IS NOT NULL AS listed
+ FROM (SELECT x.doc_id, coalesce(k.canonical, x.num) AS num, min((occ, pos)) AS pl FROM ({CITES}) x LEFT JOIN ({CANON}) k ON x.doc_id = k.doc_id AND x.num = k.num GROUP BY 1, 2) c
  FULL JOIN (SELECT DISTINCT doc_id, canonical AS num FROM ({CANON})) e ON c.doc_id = e.doc_id AND c.num = e.num)"""
 _NOTES = f"SELECT doc_id, line, regexp_extract(line, {q(R.NOTE_HEAD)}, 1) AS d, regexp_extract_all({sub('line', R.NOTE_HEAD)}, {q(R.NOTE_MARK)}, 1) AS r, line_no FROM ({lines()})"
 NOTES = f"SELECT doc_id, num, sum(r)::BIGINT AS refs, sum(d)::BIGINT AS defs FROM (SELECT doc_id, {num('d')} AS num, 0 AS r, 1 AS d FROM ({_NOTES}) WHERE d <> '' UNION ALL SELECT doc_id, {num('x')}, 1, 0 FROM (SELECT doc_id, unnest(r) AS x FROM ({_NOTES}))) WHERE num IS NOT NULL GROUP BY 1, 2"
@@ -145,19 +145,19 @@ _ANY = lambda c, ws: "(" + " OR ".join(f"contains({c}, {q(w)})" for w in ws) + "
 INSTITUTIONS = f"SELECT doc_id, line_no, fragment FROM (SELECT *, {_HEAD} AS head FROM (SELECT doc_id, line_no, line, unnest(regexp_extract_all(line, {q(R.INSTITUTION)})) AS fragment FROM ({lines()}))) WHERE head <> '' AND NOT {has('fragment', R.REDACTED)} AND NOT {_ANY('head', R.NO_INSTITUTION)} AND NOT ({_ANY('line', R.CITATION_SIGNS)} AND NOT contains(line, '作者') AND NOT contains(line, '单位'))"
 TERMS = " UNION ALL ".join(f"SELECT doc_id, line_no, {q(t)} AS term, {literal('line', t)} AS hits FROM l" for t in ("平台请求权", "duty of care", "终稿"))
 PATHS = "SELECT source_file AS path FROM export_file UNION ALL SELECT 'd' || doc_id || (['.pdf', '.docx', '.md', '.CAJ'])[doc_id % 4 + 1] FROM documents"
-CLASSES = f"SELECT doc_id, norm, min((line_no, sent_no)) AS at, count(*) AS copies, list_distinct(string_split(norm, '')) AS letters FROM ({MEASURED}) WHERE chars >= 20 GROUP BY 1, 2"
-NEAR = f"""WITH c AS MATERIALIZED ({CLASSES}), p AS (SELECT a.doc_id, a.at AS a, b.at AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.at < b.at AND len(a.letters) >= 0.8 * len(b.letters) - 1e-9 AND len(b.letters) >= 0.8 * len(a.letters) - 1e-9
+CLASSES = f"SELECT doc_id, norm, min((line_no, sent_no)) AS pl, count(*) AS copies, list_distinct(string_split(norm, '')) AS letters FROM ({MEASURED}) WHERE chars >= 20 GROUP BY 1, 2"
+NEAR = f"""WITH c AS MATERIALIZED ({CLASSES}), p AS (SELECT a.doc_id, a.pl AS a, b.pl AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pl < b.pl AND len(a.letters) >= 0.8 * len(b.letters) - 1e-9 AND len(b.letters) >= 0.8 * len(a.letters) - 1e-9
  WHERE len(list_intersect(a.letters, b.letters))::DOUBLE / (len(a.letters) + len(b.letters) - len(list_intersect(a.letters, b.letters))) >= 0.8),
- e AS (SELECT doc_id, at, count(*) AS links FROM (SELECT doc_id, a AS at FROM p UNION ALL SELECT doc_id, b FROM p) GROUP BY 1, 2)
- SELECT c.doc_id, c.at[1] AS line_no, c.at[2] AS sent_no, copies, coalesce(links, 0) AS links FROM c LEFT JOIN e ON c.doc_id = e.doc_id AND c.at = e.at"""
-NGRAMS = f"""WITH g AS (SELECT doc_id, substring(norm, k, 10) AS gram, (line_no, sent_no, k) AS at FROM (SELECT *, unnest(range(1, chars - 8)) AS k FROM ({MEASURED}) WHERE chars >= 10)),
- h AS (SELECT doc_id, gram, count(*) AS hits, min(at) AS at FROM g GROUP BY 1, 2 HAVING count(*) >= 3)
- SELECT doc_id, rank, gram, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, at) AS rank FROM h) WHERE rank <= 10"""
+ e AS (SELECT doc_id, pl, count(*) AS links FROM (SELECT doc_id, a AS pl FROM p UNION ALL SELECT doc_id, b FROM p) GROUP BY 1, 2)
+ SELECT c.doc_id, c.pl[1] AS line_no, c.pl[2] AS sent_no, copies, coalesce(links, 0) AS links FROM c LEFT JOIN e ON c.doc_id = e.doc_id AND c.pl = e.pl"""
+NGRAMS = f"""WITH g AS (SELECT doc_id, substring(norm, k, 10) AS gram, (line_no, sent_no, k) AS pl FROM (SELECT *, unnest(range(1, chars - 8)) AS k FROM ({MEASURED}) WHERE chars >= 10)),
+ h AS (SELECT doc_id, gram, count(*) AS hits, min(pl) AS pl FROM g GROUP BY 1, 2 HAVING count(*) >= 3)
+ SELECT doc_id, rank, gram, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pl) AS rank FROM h) WHERE rank <= 10"""
 QUANT = f"SELECT doc_id, l[least(n - 1, floor(n * 0.5)::INT) + 1] AS q50, l[least(n - 1, floor(n * 0.75)::INT) + 1] AS q75, l[least(n - 1, floor(n * 0.9)::INT) + 1] AS q90, l[n] AS longest, len(list_filter(l, lambda x: x > 100)) AS over_100 FROM (SELECT doc_id, list(chars ORDER BY chars) AS l, count(*)::INT AS n FROM ({MEASURED}) GROUP BY 1)"
 _SEC = f"SELECT *, s LIKE '## %' AS head, NOT (s LIKE '## %') AND s <> '' AND NOT {has('s', R.NOISE)} AND NOT {has('line', R.NOTE_LINE)} AS txt FROM (SELECT *, {strip('line')} AS s FROM ({lines(BODY)}))"
 SECTIONS = f"SELECT doc_id, section, title, chars FROM (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN {strip('substring(s, 4)')} END), '（前言）') AS title, sum(CASE WHEN txt THEN length({measured('s')}) END)::BIGINT AS chars FROM (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS section FROM ({_SEC}) WHERE head OR txt) GROUP BY 1, 2) WHERE chars IS NOT NULL"
 CURVE = f"""SELECT project, version, doc_id, n_chars, round(change, 6) AS change, coalesce(change <= -40, false) AS collapsed FROM (SELECT *, (n_chars - p) / greatest(1, p)::DOUBLE * 100 AS change FROM
- (SELECT d.project, d.version, doc_id, n_chars, lag(n_chars) OVER (PARTITION BY d.project ORDER BY d.version, d.saved_at, doc_id) AS p FROM documents d JOIN ({DOC_STATS}) s USING (doc_id) WHERE d.project IS NOT NULL))"""
+ (SELECT d.project, d.version, doc_id, s.n_chars, lag(s.n_chars) OVER (PARTITION BY d.project ORDER BY d.version, d.saved_at, doc_id) AS p FROM documents d JOIN ({DOC_STATS}) s USING (doc_id) WHERE d.project IS NOT NULL))"""
 LEXICON = " UNION ALL ".join(f"SELECT doc_id, {q(w)} AS phrase, {literal('text', w)} AS hits FROM documents WHERE contains(text, {q(w)})" for w in [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])
 DEDUPE = f"SELECT min(id) AS id, count(*) AS copies FROM bib GROUP BY lower({sub('coalesce(title, ' + q('') + ')', R.TITLE_ASIDE)}), coalesce({strip('string_split(coalesce(authors, ' + q('') + '), ' + q(';') + ')[1]')}, '')"
 
