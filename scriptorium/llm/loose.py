@@ -22,12 +22,17 @@ NOTHING = r"(?i)^[\s　]*(?:n/?a|null|none|无|不详|未知|暂缺|[-/—]+)?[\
 ASIDE = r"(?U)[\s\p{P}\p{Z}\p{Cc}|$+<>=^`~]+"
 
 
+def _folded(c: Column) -> Column:
+    """c without letter case: the sharp s is two letters in capitals, and the sigma has two small forms."""
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
 def _plain(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), ASIDE, "")
+    return F.regexp_replace(_folded(F.coalesce(c, F.lit(""))), ASIDE, "")
 
 
 def _names(c: Column) -> Column:
-    one = F.regexp_replace(F.lower(c), r"(?<=\p{IsHan})[ 　 ]+(?=\p{IsHan})", "")
+    one = F.regexp_replace(_folded(c), r"(?<=\p{IsHan})[ 　 ]+(?=\p{IsHan})", "")
     parts = F.filter(F.split(one, ASIDE), lambda p: (p != "") & (p != "and"))
     return F.when(F.coalesce(c, F.lit("")).rlike(NOTHING), F.lit("")).otherwise(F.concat(F.lit("="), F.array_join(F.sort_array(parts), " ")))
 

@@ -58,15 +58,23 @@ def claims(members: DataFrame, records: DataFrame, files: DataFrame, fields: lis
 
 
 def survivors(members: DataFrame, records: DataFrame, files: DataFrame, fields: list[str]) -> DataFrame:
-    """(group_id, field_name, id, value, support) of the surviving value of each field of each group.
+    """(group_id, field_name, id, value, trust, votes) of the surviving value of each field of each group.
 
-    The strongest vote of a value is its support; the aggregate keeps one vote for each group and field, so that a
-    group of any size is combined before it is shuffled.
+    Votes are combined for each value, then for each field, both before they are shuffled, so that a group of any
+    size travels as few rows. An abstract that another one of its group continues was cut short, too; such a pair has
+    its first characters in common, so that a group is spread over them.
     """
     c = claims(members, records, files, fields)
-    vote = F.struct(F.col("whole").cast("int").alias("whole"), "trust", F.coalesce(F.col("exported_at"), F.timestamp_micros(F.lit(0))).alias("exported_at"), (-F.col("id")).alias("minus_id"))
-    top = c.groupBy("group_id", "field_name").agg(F.max_by(F.struct("id", "value"), vote).alias("best"), F.count("*").alias("votes"), F.max(vote).alias("v"))
-    return top.select("group_id", "field_name", "best.id", "best.value", F.col("v.trust").alias("trust"), "votes")
+    when = F.coalesce(F.col("exported_at"), F.timestamp_micros(F.lit(0)))
+    vote = F.struct(F.col("trust").alias("trust"), when.alias("exported_at"), (-F.col("id")).alias("minus_id"))
+    values = c.groupBy("group_id", "field_name", "value").agg(F.max(vote).alias("v"), F.count("*").alias("n"), F.max("whole").alias("whole"))
+    near = Window.partitionBy("group_id", "field_name", F.left("value", F.lit(16))).orderBy("value")
+    values = values.withColumn("next", F.lead("value").over(near))
+    continued = (F.col("field_name") == "abstract") & (F.length("value") >= 16) & F.startswith(F.col("next"), F.col("value"))
+    whole = (F.col("whole") & ~F.coalesce(continued, F.lit(False))).cast("int")
+    strength = F.struct(whole.alias("whole"), F.col("v"))
+    top = values.groupBy("group_id", "field_name").agg(F.max_by(F.struct("value", "v"), strength).alias("best"), F.sum("n").alias("votes"))
+    return top.select("group_id", "field_name", (-F.col("best.v.minus_id")).alias("id"), "best.value", "best.v.trust", "votes")
 
 
 def truths(members: DataFrame, records: DataFrame, files: DataFrame, fields: list[str]) -> DataFrame:
