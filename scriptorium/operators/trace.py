@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scriptorium.functions import rules as R
 from scriptorium.functions.text import literal_count, matches, strip, uncited
@@ -122,7 +123,7 @@ def fix_double_quotes(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, "\n"), line), "\n")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fix_single_quotes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Straight single quotes beside a wide character made curly, by turns within each line."""
     import re
