@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c), with c computed once however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, R.STRIP, "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from scriptorium.functions import rules as R
-from scriptorium.functions.text import literal_count, matches, strip, uncited
+from scriptorium.functions.text import let, literal_count, matches, strip, uncited
 from scriptorium.operators.lines import lines, paragraphs
 
 
@@ -37,10 +37,10 @@ def abstract_split(docs: DataFrame) -> DataFrame:
 
 def lexicon_density(docs: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, line_no, total, chars) of each paragraph with so many phrases of the lexicon."""
-    t = uncited(F.col("text"))
-    total = sum((literal_count(F.col("t"), w) for w in R.AI_WORDS), F.lit(0))
-    out = paragraphs(docs).withColumn("t", t).select("doc_id", "line_no", total.alias("total"), F.length("t").alias("chars"))
-    return out.where(F.col("total") >= least)
+    total = lambda t: sum((literal_count(t, w) for w in R.AI_WORDS), F.lit(0))
+    counted = let(uncited(F.col("text")), lambda t: F.struct(total(t).alias("total"), F.length(t).alias("chars")))
+    dense = F.filter(F.array(counted), lambda x: x["total"] >= least)
+    return paragraphs(docs).select("doc_id", "line_no", F.explode(dense).alias("x")).select("doc_id", "line_no", "x.total", "x.chars")
 
 
 def vague_attribution(docs: DataFrame) -> DataFrame:

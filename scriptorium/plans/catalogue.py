@@ -17,11 +17,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _docs(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
-    """A query that applies an operator to the documents, and shows columns of its result."""
+    """A query that applies an operator to the documents, and shows columns of its result.
+
+    Columns are given by name or as functions, for no session need exist when queries are listed.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = operator(table(spark, sf_dir, "documents"))
-        return out.select(*shown) if shown else out
+        return out.select(*[c() if callable(c) else c for c in shown]) if shown else out
 
     return run
 
@@ -29,7 +32,7 @@ def _docs(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
 def _bib(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = operator(table(spark, sf_dir, "bib"))
-        return out.select(*shown) if shown else out
+        return out.select(*[c() if callable(c) else c for c in shown]) if shown else out
 
     return run
 
@@ -48,8 +51,16 @@ def _cited_ids(keep: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return run
 
 
-def _chars(name: str) -> F.Column:
-    return F.length(name).alias(f"{name}_chars")
+def _chars(name: str) -> Callable[[], F.Column]:
+    return lambda: F.length(name).alias(f"{name}_chars")
+
+
+def _digest(name: str) -> Callable[[], F.Column]:
+    return lambda: F.md5(F.encode(name, "utf-8")).alias("digest")
+
+
+def _rounded(name: str) -> Callable[[], F.Column]:
+    return lambda: F.round(name, 6).alias(name)
 
 
 def _fixed(fix: Callable[[F.Column], F.Column]) -> Query:
@@ -100,13 +111,12 @@ TERMS = ["平台请求权", "duty of care", "终稿", " "]
 
 
 def queries() -> dict[str, Query]:
-    t = F.col("text")
     return {
         "p2_found": p2_found,
         # lines and statistics
         "paragraphs": _docs(lines.paragraphs, "doc_id", "line_no", _chars("text")),
         "sentences": _docs(lines.sentences, "doc_id", "line_no", "sent_no", _chars("sentence")),
-        "sentence_normalize": _docs(quality.measured_sentences, "doc_id", "line_no", "sent_no", "chars", F.md5(F.encode("norm", "utf-8")).alias("digest")),
+        "sentence_normalize": _docs(quality.measured_sentences, "doc_id", "line_no", "sent_no", "chars", _digest("norm")),
         "doc_stats": _docs(quality.doc_stats),
         "sentence_quantiles": _docs(quality.sentence_quantiles),
         "section_stats": _docs(quality.section_stats),
@@ -135,7 +145,7 @@ def queries() -> dict[str, Query]:
         "cite_canonical": _docs(cites.cite_canonical),
         "renumber_map": _docs(cites.renumber_map),
         "renumber_refs": _docs(cites.renumber_refs),
-        "renumber_body": _docs(cites.renumber_body, "doc_id", _chars("body"), F.md5(F.encode("body", "utf-8")).alias("digest")),
+        "renumber_body": _docs(cites.renumber_body, "doc_id", _chars("body"), _digest("body")),
         "compress_ranges": _docs(cites.compress_ranges),
         "footnotes": _docs(cites.footnotes),
         "footnote_missing": _docs(cites.footnote_missing),
@@ -163,7 +173,7 @@ def queries() -> dict[str, Query]:
         "self_reference": _docs(trace.self_reference),
         "heading_system": _docs(trace.heading_system),
         "punct_profile": _docs(trace.punct_profile),
-        "uniformity": _docs(trace.uniformity, "doc_id", "paragraphs", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "cv")]),
+        "uniformity": _docs(trace.uniformity, "doc_id", "paragraphs", *map(_rounded, ("mean", "sd", "cv"))),
         "trace_verdict": _docs(trace.trace_verdict),
         # punctuation
         "fix_double_quotes": _fixed(trace.fix_double_quotes),
@@ -171,7 +181,7 @@ def queries() -> dict[str, Query]:
         "fix_ellipsis": _fixed(trace.fix_ellipsis),
         "fix_cjk_punct": _fixed(trace.fix_cjk_punct),
         "fix_year_range": _fixed(trace.fix_year_range),
-        "normalize_doc": _docs(lambda d: d.where("text IS NOT NULL").select("doc_id", F.length(trace.normalize_doc(t, True)).alias("chars"))),
+        "normalize_doc": _docs(lambda d: d.where("text IS NOT NULL").select("doc_id", F.length(trace.normalize_doc(F.col("text"), True)).alias("chars"))),
         # personal data
         "pii_hits": _docs(pii.hits),
         "pii_institutions": _docs(pii.institutions),
