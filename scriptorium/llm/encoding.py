@@ -49,6 +49,7 @@ BROAD = ("gb18030", "cp950", "cp932")
 RUN = re.compile(f"{UTF8}(?:[\x20-\x7e]?{UTF8})+")
 #: A character of the Latin script within a word that became a wide one.
 INSIDE = re.compile("(?<=[A-Za-z])[\u4e00-\u9fff](?=[a-z])|\\b[\u4e00-\u9fff](?=[a-z]{2})")
+TWO_BYTES = re.compile("[\x80-\u07ff]{2,}")
 NOT_ASCII = re.compile("[^\x00-\x7f]{2,}")
 UTF8_SPAN = re.compile(f"{UTF8}+")
 #: GBK that opens with a level 1 character, as text and names do, and has no ASCII byte.
@@ -163,9 +164,21 @@ def _broad(text: str) -> tuple[str, str] | None:
     if best is None and INSIDE.search(text):
         now = INSIDE.sub(_latin, text)
         best = (1, now, "utf-8 read as gb18030") if now != text else None
+    if best is None and TWO_BYTES.search(text):
+        now = TWO_BYTES.sub(_gbk_as_utf8, text)
+        best = (1, now, "gbk read as utf-8") if now != text else None
     return (best and best[1:]) or (_gbk_as_big5(text) if STRANGE.search(text) or len(RARE.findall(text)) >= 4 else None)
 
 
+def _gbk_as_utf8(m: re.Match) -> str:
+    """The wide characters whose bytes happened to be well-formed UTF-8 of two bytes each, if they were."""
+    try:
+        now = m.group().encode("utf-8").decode("gbk")
+    except UnicodeError:
+        return m.group()
+    return now if RARE.search(m.group()) and now[0] in _LEVEL and all(HAN.match(c) or c in _LEVEL for c in now) else m.group()
+
+
 def _latin(m: re.Match) -> str:
     """The accented letter that a wide character within a Latin word was made of, if it was."""
     try:

@@ -21,6 +21,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut
+
 #: Cyrillic, Greek, Armenian and IPA letters, and the Latin letters they look like.
 LIKE_FROM = "АВСЕНІЈКМОРЅТХУԚԜасеіјорѕухһԁԛԝѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινυαρϲոսօցհɡıɑ"
 LIKE_TO = "ABCEHIJKMOPSTXYQWaceijopsyxhdqwvABEZHIKMNOPTYXoivuapcnuoghgia"
@@ -125,6 +127,7 @@ def canonical(values: DataFrame) -> DataFrame:
     """(field_name, value, canonical, n) of each distinct value of (field_name, value)."""
     distinct = values.where("value IS NOT NULL").groupBy("field_name", "value").agg(F.count("*").alias("n"))
     mapped = distinct.withColumn("mapped", F.when(F.col("field_name") == "pages", looks_as_pages(F.col("value"))).otherwise(looks(F.col("value"))))
+    mapped = cut(mapped)  # read twice, and dear to compute
     # A member is a value or what it looks like; the plainest is one that equals what it looks like.
     classes = values.sparkSession.sql(
         """

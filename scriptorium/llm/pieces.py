@@ -10,7 +10,7 @@ pieces; the tables of all texts of a batch are squared together.
 Levels: a piece ends at the farthest heading in reach if that fills it at least half, else at the farthest
 paragraph that does, and so on down to sentences; else at the farthest of any of these; else at a line end; and
 only where a text has none of them at the farthest place at all. The next piece begins at the earliest boundary of
-these within the overlap, or without one (at the end itself). Null, empty and short texts give no piece.
+these within the overlap that leads beyond that end, or at the end itself. Null, empty and short texts give no piece.
 """
 
 from __future__ import annotations
@@ -147,9 +147,14 @@ def _cut(b: _Boundaries, big: np.ndarray, limit: np.ndarray, overlap: int) -> tu
         at = np.flatnonzero(b.level >= (LINE if natural else ANY))
         low = np.maximum(b.cost[end[where]] - overlap, b.cost[nodes[where]] + 1)
         follow[where] = np.minimum(at[np.searchsorted(b.cost[at], low)], end[where])
+    # A piece that would end where the one before it ends adds nothing: the next one begins at that end.
+    shift = np.repeat(first - begin, size)
+    where = np.flatnonzero(end < text_end)
+    stuck = where[end[follow[where] - shift[where]] <= end[where]]
+    follow[stuck] = end[stuck]
     # Successors as places in nodes; the last piece of a text leads to itself.
     done = end == text_end
-    jump = np.where(done, np.arange(len(nodes)), follow - np.repeat(first - begin, size))
+    jump = np.where(done, np.arange(len(nodes)), follow - shift)
     marked = np.zeros(len(nodes), bool)
     marked[begin] = True
     while True:
