@@ -27,7 +27,7 @@ LEVEL_1 = "".join(bytes([a, b]).decode("gb2312", "ignore") for a in range(0xB0,
 USUAL = "　-】〔〕！-／：-？～‐-…‹›«»°±·×÷€£§À-ÖØ-öø-žȘ-țΆ-ώЁА-яёІіЇїЄєҐґ"
 COMMON = re.compile(f"[\x09\x0a\x0d\x20-\x7e{USUAL}{LEVEL_1}]")
 RARE = re.compile(f"[^\x09\x0a\x0d\x20-\x7e{USUAL}{LEVEL_1}]")
-LOST = re.compile("[�-\x80-\x9f｡-ﾟ]|锟斤|斤拷|ï¿½")
+LOST = re.compile("[�-\x80-\x9f｡-ﾟ]|锟斤|斤拷|锟.{0,6}拷|ï¿½")
 HIGH = re.compile("[^\x00-\x7f]")
 
 
@@ -49,16 +49,20 @@ BROAD = ("gb18030", "cp950", "cp932")
 RUN = re.compile(f"{UTF8}(?:[\x20-\x7e]?{UTF8})+")
 #: A character of the Latin script within a word that became a wide one.
 INSIDE = re.compile("(?<=[A-Za-z])[\u4e00-\u9fff](?=[a-z])|\\b[\u4e00-\u9fff](?=[a-z]{2})")
+#: The dash of GBK between two numbers, read as Big5.
+DASH_AS_BIG5 = re.compile("(?<=[0-9])〞(?=[0-9])")
 TWO_BYTES = re.compile("[\x80-\u07ff]{2,}")
 NOT_ASCII = re.compile("[^\x00-\x7f]{2,}")
 UTF8_SPAN = re.compile(f"{UTF8}+")
 #: GBK that opens with a level 1 character, as text and names do, and has no ASCII byte.
 GBK_SPAN = re.compile("[\xa1-\xa3\xb0-\xd7][\xa1-\xfe](?:[\xa1-\xfe]{2})*")
+#: A name in GBK with second bytes that are ASCII, from one edge of a word to the other.
+GBK_NAME = re.compile("(?<![A-Za-z\xa1-\xff])[\xb0-\xf7][\xa1-\xfe](?:[\x81-\xfe][\x40-\x7e\x80-\xfe]){1,3}(?![A-Za-z\x80-\xff])")
 HAN = re.compile("[\u4e00-\u9fff]")
 NARROW_HIGH = re.compile("[^\x00-\x7f\u2e80-\u9fff\uff00-\uffef]")
 CYRILLIC = re.compile("^[Ѐ-ӿ]+$")
 #: Characters that Chinese, or any one of the languages here, doesn't mix with wide text.
-STRANGE = re.compile("[\u3041-\u30ff\u3105-\u312f\u02c7-\u02d9\u0370-\u03ff\u2190-\u22ff\u2460-\u25ff\uff61-\uff9f\ufe30-\ufe6b\ue000-\uf8ff]")
+STRANGE = re.compile("[\u301d-\u301f\u3041-\u30ff\u3105-\u312f\u02c7-\u02d9\u0370-\u03ff\u2190-\u22ff\u2460-\u25ff\uff61-\uff9f\ufe30-\ufe6b\ue000-\uf8ff]")
 _LEVEL = frozenset(LEVEL_1 + "，。：；？！、“”（）《》—·")
 
 
@@ -82,7 +86,7 @@ def _narrow(text: str) -> tuple[str, str] | None:
     best = None
     for name, table in TABLES.items():
         data = text.translate(table)
-        for target, spans in (("utf-8", UTF8_SPAN), ("gbk", GBK_SPAN)) if name in ("cp1252", "latin-1") else (("utf-8", UTF8_SPAN),):
+        for target, spans in (("utf-8", UTF8_SPAN), ("gbk", GBK_SPAN), ("gbk", GBK_NAME)) if name in ("cp1252", "latin-1") else (("utf-8", UTF8_SPAN),):
             out, at, worth, covered = [], 0, 0, 0
             for m in spans.finditer(data):
                 before, after = text[m.start() : m.end()], m.group().encode("latin-1").decode(target, "replace")
@@ -92,7 +96,7 @@ def _narrow(text: str) -> tuple[str, str] | None:
                         continue
                     if len(after) == 1 and len(before) == 2 and (name in ("cp437", "koi8-r") or CYRILLIC.match(before) and before[1].isalpha() and before[1] not in "џђѓњќћљјѕ"):
                         continue
-                elif "\ufffd" in after or (len(before) < 4 and not (HAN.search(text) and after in _LEVEL)):
+                elif "\ufffd" in after or (len(before) < 4 and not (HAN.search(text) and after in _LEVEL)) or (spans is GBK_NAME and not all(map(HAN.match, after))):
                     continue
                 out += [text[at : m.start()], after]
                 at, worth, covered = m.end(), worth + max(1, _worth(after) + 2 * len(after)), covered + len(before)
@@ -138,7 +142,7 @@ def _gbk_as_big5(text: str) -> tuple[str, str] | None:
         if best >= (3 if STRANGE.search(m.group()[i:j]) else 8):
             out += [text[at : m.start() + i], "".join(d for d, _ in pairs[i:j])]
             at, found = m.start() + j, True
-    return ("".join(out) + text[at:], "gbk read as cp950") if found else None
+    return (DASH_AS_BIG5.sub("—", "".join(out) + text[at:]), "gbk read as cp950") if found else None
 
 
 def _broad(text: str) -> tuple[str, str] | None:
@@ -202,13 +206,15 @@ def examine(text: str | None, depth: int = 3) -> tuple[bool, str | None, str | N
         if not fixed or fixed[0] == now:
             break
         now, how = fixed[0], how or fixed[1]
+    if how is None and DASH_AS_BIG5.search(text):  # tells, but not how far the span goes
+        return True, None, "gbk read as cp950"
     if how is None:
         return lost, None, "bytes lost" if lost else None
     return True, None if LOST.search(now) else now, how
 
 
 #: Characters of the usual kind that misread text is made of as well.
-SUSPECT = re.compile("[\u4e00-\u9fff][\xb0-\xf7][\xa1-ÿ]|[\xb0-\xf7][\xa1-ÿ][\u4e00-\u9fff]|[а-п][\x80-¿Ѐ-ЏЁЄЅІЇЈѐ-џґҐ‚-›€№™]{2}|[Â-ßà-ï][\x80-¿‐-⁊€ŒœŠšŸŽžƒˆ˜™]|[\xa1-ÿ]{4}|[РСГДЕВ][\x80-¿А-џ€‚„…†‡‰‹‘’“”•–—™›№ґҐ]|[Ё-п]{2}[\x80-¿Ѐ-Џѐ-џґҐ€‚„…†‡‰‹‘’“”•–—™›№]|[ÃÂ√∂≈Ê-ÔËÈÁÍÎÏÌÓ‰ÂÊ][^\x00-\x7f]")
+SUSPECT = re.compile("[\xb0-\xf7][\xa1-ÿ][\x81-ÿ][\x40-\x7e]|[\u4e00-\u9fff][\xb0-\xf7][\xa1-ÿ]|[\xb0-\xf7][\xa1-ÿ][\u4e00-\u9fff]|[а-п][\x80-¿Ѐ-ЏЁЄЅІЇЈѐ-џґҐ‚-›€№™]{2}|[Â-ßà-ï][\x80-¿‐-⁊€ŒœŠšŸŽžƒˆ˜™]|[\xa1-ÿ]{4}|[РСГДЕВ][\x80-¿А-џ€‚„…†‡‰‹‘’“”•–—™›№ґҐ]|[Ё-п]{2}[\x80-¿Ѐ-Џѐ-џґҐ€‚„…†‡‰‹‘’“”•–—™›№]|[ÃÂ√∂≈Ê-ÔËÈÁÍÎÏÌÓ‰ÂÊ][^\x00-\x7f]")
 
 
 def garbled(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
