@@ -18,7 +18,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: A sequence of UTF-8 for one character beyond ASCII, over bytes written as the characters U+0000 to U+00FF.
 UTF8 = "(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})"
@@ -217,6 +219,17 @@ def examine(text: str | None, depth: int = 3) -> tuple[bool, str | None, str | N
 SUSPECT = re.compile("[\xb0-\xf7][\xa1-ÿ][\x81-ÿ][\x40-\x7e]|[\u4e00-\u9fff][\xb0-\xf7][\xa1-ÿ]|[\xb0-\xf7][\xa1-ÿ][\u4e00-\u9fff]|[а-п][\x80-¿Ѐ-ЏЁЄЅІЇЈѐ-џґҐ‚-›€№™]{2}|[Â-ßà-ï][\x80-¿‐-⁊€ŒœŠšŸŽžƒˆ˜™]|[\xa1-ÿ]{4}|[РСГДЕВ][\x80-¿А-џ€‚„…†‡‰‹‘’“”•–—™›№ґҐ]|[Ё-п]{2}[\x80-¿Ѐ-Џѐ-џґҐ€‚„…†‡‰‹‘’“”•–—™›№]|[ÃÂ√∂≈Ê-ÔËÈÁÍÎÏÌÓ‰ÂÊ][^\x00-\x7f]")
 
 
+def is_garbled(text: Column) -> Column:
+    """Whether a text is garbled, as a column."""
+
+    @F.arrow_udf(BooleanType())
+    def flag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([examine(x)[0] for x in batch.to_pylist()], pa.bool_())
+
+    return flag(text)
+
+
 def garbled(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
     """(id, field_name, text, restored, misread) of each garbled field."""
 

@@ -144,8 +144,8 @@ def canonical(values: DataFrame) -> DataFrame:
 
 
 def odd_fields(records: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """(id, field_name) of each field that isn't written in its canonical form."""
+    """(id, field_name, value) of each field that isn't written in its canonical form."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").alias("value")) for f in fields]))
     rows = records.select(F.col(f"`{id_col}`").alias("id"), each.alias("_e")).select("id", "_e.field_name", "_e.value").where("value IS NOT NULL")
     odd = canonical(rows).where("value <> canonical").select("field_name", "value")
-    return rows.join(odd, ["field_name", "value"]).select("id", "field_name")
+    return rows.join(odd, ["field_name", "value"]).select("id", "field_name", "value")
