@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import rules as R
 from scriptorium.operators import bib, cites, lines, manuscript, pii, quality, trace, unpack
 from scriptorium.plans import oracle
-from scriptorium.session import table
+from scriptorium.session import spread, table
 from scriptorium.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ def _docs(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
     """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = operator(table(spark, sf_dir, "documents"))
+        out = operator(spread(table(spark, sf_dir, "documents"), "doc_id"))
         return out.select(*[c() if callable(c) else c for c in shown]) if shown else out
 
     return run
@@ -31,7 +31,7 @@ def _docs(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
 
 def _bib(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = operator(table(spark, sf_dir, "bib"))
+        out = operator(spread(table(spark, sf_dir, "bib"), "id"))
         return out.select(*[c() if callable(c) else c for c in shown]) if shown else out
 
     return run
@@ -104,7 +104,7 @@ def _endnote(b: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unpack.unpack(table(spark, sf_dir, "bib"), ["authors", "keywords"])
+    return unpack.unpack(spread(table(spark, sf_dir, "bib"), "id"), ["authors", "keywords"])
 
 
 TERMS = ["平台请求权", "duty of care", "终稿", " "]
