@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import bpe, encoding, lookalike, loose, mixture, survivors, terms
 from scriptorium.llm import pieces as cutting
 from scriptorium.operators import unpack
-from scriptorium.session import cut, table
+from scriptorium.session import cut, spread, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -36,11 +36,11 @@ def _shared(spark: SparkSession):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _bib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "bib")
+    return spread(table(spark, sf_dir, "bib"), "id")
 
 
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
