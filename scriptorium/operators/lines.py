@@ -5,11 +5,13 @@ Null texts have no lines; an empty text has one empty line. Line numbers count f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
-from scriptorium.functions.text import strip
+from scriptorium.functions.text import measured, strip
 
 
 def lines(docs: DataFrame, text: str | Column = "text") -> DataFrame:
@@ -31,24 +33,47 @@ def references(c: Column, heading: str = R.REFS_HEADING) -> Column:
     return F.when(at > 0, c.substr(at, F.length(c)))
 
 
+def _kept(docs: DataFrame, text: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, line_no, line): stripped lines that keep accepts, given as fields line and s (stripped).
+
+    Lines are stripped and tested within the array, once each; the outer explode keeps the optimizer from computing
+    the array a second time to see whether it is empty.
+    """
+    each = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), strip(x).alias("s")))
+    out = docs.select("doc_id", F.explode_outer(F.filter(each, keep)).alias("x")).where("x IS NOT NULL")
+    return out.select("doc_id", "x.line_no", F.col("x.s").alias("line"))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, text): lines that are no heading, quotation, table, fence, rule or note."""
-    t = strip(F.col("line"))
-    keep = (t != "") & ~t.rlike(R.HEADING_LINE) & ~t.rlike(R.NOISE_NO_HEADING) & ~F.col("line").rlike(R.NOTE_LINE)
-    keep = keep & (F.length("line") - F.length(F.replace("line", F.lit("|"), F.lit(""))) < 2)
-    return lines(docs).where(keep).select("doc_id", "line_no", t.alias("text"))
+
+    def keep(x: Column) -> Column:
+        t, line = x["s"], x["line"]
+        fine = (t != "") & ~t.rlike(R.HEADING_LINE) & ~t.rlike(R.NOISE_NO_HEADING) & ~line.rlike(R.NOTE_LINE)
+        return fine & (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) < 2)
+
+    return _kept(docs, F.col("text"), keep).withColumnRenamed("line", "text")
 
 
 def prose(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): stripped lines of the body that hold sentences."""
-    t = strip(F.col("line"))
-    keep = (t != "") & ~t.rlike(R.NOISE) & ~F.col("line").rlike(R.NOTE_LINE)
-    return lines(docs, body(F.col("text"))).where(keep).select("doc_id", "line_no", t.alias("line"))
+    keep = lambda x: (x["s"] != "") & ~x["s"].rlike(R.NOISE) & ~x["line"].rlike(R.NOTE_LINE)
+    return _kept(docs, body(F.col("text")), keep)
+
+
+def measured_sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, sent_no, sentence, norm, chars): prose cut after each wide stop, which stays with its sentence.
+
+    norm is what is measured of a sentence, and chars its length.
+    """
+    parts = F.filter(F.transform(F.split("line", "(?<=[。！？；])"), strip), lambda x: x != "")
+    each = F.transform(parts, lambda p: F.struct(p.alias("sentence"), measured(p).alias("norm")))
+    out = prose(docs).select("doc_id", "line_no", F.posexplode_outer(each).alias("sent_no", "x")).where("x IS NOT NULL")
+    return out.select("doc_id", "line_no", (F.col("sent_no") + 1).alias("sent_no"), "x.sentence", "x.norm", F.length("x.norm").alias("chars"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, sent_no, sentence): prose cut after each wide stop, which stays with its sentence."""
     parts = F.filter(F.transform(F.split("line", "(?<=[。！？；])"), strip), lambda x: x != "")
-    out = prose(docs).select("doc_id", "line_no", F.posexplode(parts).alias("sent_no", "sentence"))
+    out = prose(docs).select("doc_id", "line_no", F.posexplode_outer(parts).alias("sent_no", "sentence")).where("sentence IS NOT NULL")
     return out.withColumn("sent_no", F.col("sent_no") + 1)
-

@@ -15,15 +15,10 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
 from scriptorium.functions.text import literal_count, matches, measured, strip
-from scriptorium.operators.lines import body, lines, prose, sentences
+from scriptorium.operators.lines import body, lines, measured_sentences, prose
 from scriptorium.session import cut
 
 
-def measured_sentences(docs: DataFrame) -> DataFrame:
-    """sentences, with norm (what is measured of each) and chars (its length)."""
-    return sentences(docs).withColumn("norm", measured(F.col("sentence"))).withColumn("chars", F.length("norm"))
-
-
 def doc_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_chars, avg_chars) of each document with a text."""
     per_doc = measured_sentences(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("chars").alias("c"))
