@@ -161,6 +161,12 @@ CURVE = f"""SELECT project, version, doc_id, n_chars, round(change, 6) AS change
 LEXICON = " UNION ALL ".join(f"SELECT doc_id, {q(w)} AS phrase, {literal('text', w)} AS hits FROM documents WHERE contains(text, {q(w)})" for w in [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])
 DEDUPE = f"SELECT min(id) AS id, count(*) AS copies FROM bib GROUP BY lower({sub('coalesce(title, ' + q('') + ')', R.TITLE_ASIDE)}), coalesce({strip('string_split(coalesce(authors, ' + q('') + '), ' + q(';') + ')[1]')}, '')"
 
+_ISLANDS = f"SELECT doc_id, occ, min(num) AS a, max(num) AS b FROM (SELECT *, num - row_number() OVER (PARTITION BY doc_id, occ ORDER BY num) AS k FROM (SELECT DISTINCT doc_id, occ, num FROM ({CITES}))) GROUP BY doc_id, occ, k"
+_SHOWN = "string_agg(CASE WHEN b - a >= 2 THEN a || '-' || b WHEN a = b THEN a::VARCHAR ELSE a || ', ' || b END, ', ' ORDER BY a)"
+COMPRESSED = f"SELECT g.doc_id, g.occ, coalesce(shown, '') AS shown FROM ({GROUPS}) g LEFT JOIN (SELECT doc_id, occ, {_SHOWN} AS shown FROM ({_ISLANDS}) GROUP BY 1, 2) s ON g.doc_id = s.doc_id AND g.occ = s.occ"
+_PAGE = "SELECT doc_id, n, '===== PAGE ' || n || ' =====' || chr(10) || substring(text, (n - 1) * 2000 + 1, 2000) AS t FROM (SELECT doc_id, text, unnest(range(1, 1 + greatest(1, ceil(length(text) / 2000.0)::INT))) AS n FROM documents WHERE text IS NOT NULL)"
+SCANS = f"SELECT doc_id, count(*) AS pages, sum(length({strip('t')}))::BIGINT AS chars, sum(length({strip('t')})) / count(*)::DOUBLE < 80 AS scanned FROM ({_PAGE}) GROUP BY 1"
+
 SQL = {
     "paragraphs": f"SELECT doc_id, line_no, length(text) AS text_chars FROM ({PARAGRAPHS})",
     "sentences": f"SELECT doc_id, line_no, sent_no, length(sentence) AS sentence_chars FROM ({SENTENCES})",
@@ -191,6 +197,8 @@ SQL = {
     "cite_canonical": f"SELECT doc_id, num, canonical FROM ({CANON})",
     "renumber_map": RENUMBER,
     "renumber_refs": f"SELECT r.doc_id, new, '[' || new || '] ' || coalesce(entry, '（缺失条目：原编号 ' || old || '）') AS line FROM ({RENUMBER}) r LEFT JOIN ({CANON}) c ON r.doc_id = c.doc_id AND r.old = c.num",
+    "compress_ranges": COMPRESSED,
+    "scan_detect": SCANS,
     "footnotes": NOTES,
     "footnote_missing": f"SELECT doc_id, num FROM ({NOTES}) WHERE refs > 0 AND defs = 0",
     "footnote_unused": f"SELECT doc_id, num FROM ({NOTES}) WHERE refs = 0 AND defs > 0",
