@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import rules as R
 from scriptorium.llm import bpe, encoding, lookalike, loose, mixture, survivors, terms
 from scriptorium.llm import pieces as cutting
 from scriptorium.operators import unpack
@@ -131,5 +132,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_truths, p4_found, p4_restored, p5_found, p5_collapsed, p6_found, p6_canonical, p7_ids, p8_mixture, p8_shares, p9_found, p9_pieces)}
 
 
+ASIDE = rf"[{R.WS}\p{{P}}\p{{Z}}\p{{Cc}}|$+<>=^`~]+"
+
+
+def _fold(x: str) -> str:
+    return f"replace(replace(lower(coalesce({x}, '')), 'ß', 'ss'), 'ς', 'σ')"
+
+
+def _sub(x: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+
+
+def _p3_sql() -> str:
+    says_nothing = "lower(trim(v, ' \t')) IN ('', '无', '不详', '未知', '暂缺', 'n/a', 'null', 'none', '-', '/', '—')"
+    cut_short = r"""CASE f WHEN 'pages' THEN regexp_matches(v, '-\s*\?*$') WHEN 'doi' THEN NOT regexp_matches(v, '10\.[0-9]+/[a-z]+\.[0-9]{4}\.[0-9]+$')
+ WHEN 'abstract' THEN NOT regexp_matches(v, '[。！？.!?]$') OR v LIKE '%...' OR EXISTS (SELECT 1 FROM c o WHERE o.g = c.g AND o.f = 'abstract' AND length(o.v) > length(c.v) AND starts_with(o.v, c.v)) ELSE false END"""
+    values = ", ".join(f"{{'f': '{f}', 'v': {f}}}" for f in GROUPED)
+    return f"""WITH x AS (SELECT source_file, arg_max(trust, loaded_at) AS trust, arg_max(exported_at, loaded_at) AS e FROM export_file GROUP BY 1),
+ u AS (SELECT g, id, trust, e, t.f, t.v FROM (SELECT m.group_id AS g, b.id, trust, e, unnest([{values}]) AS t FROM (SELECT DISTINCT group_id, id FROM dup_member) m JOIN bib b USING (id) LEFT JOIN x USING (source_file))),
+ c AS MATERIALIZED (SELECT * FROM u WHERE v IS NOT NULL AND NOT {says_nothing})
+ SELECT g AS group_id, f AS field_name, id FROM (SELECT *, row_number() OVER (PARTITION BY g, f ORDER BY ({cut_short})::INT, trust DESC NULLS LAST, e DESC, id) AS r FROM c) WHERE r = 1"""
+
+
+def _p5_sql() -> str:
+    joined = _sub(_sub(_fold("authors"), r"(\p{Han})[ \x{a0}\x{3000}]+(\p{Han})", r"\1\2"), r"(\p{Han})[ \x{a0}\x{3000}]+(\p{Han})", r"\1\2")
+    names = f"array_to_string(list_sort(list_filter(string_split({_sub(joined, ASIDE, ' ')}, ' '), lambda p: p NOT IN ('', 'and'))), ' ')"
+    key = f"{_sub(_fold('title'), ASIDE, '')} AS t, {names} AS a, {_sub(_fold('source_file'), ASIDE, '')} AS f"
+    return f"WITH k AS (SELECT id, {key} FROM bib) SELECT x.id AS id_a, y.id AS id_b FROM k x JOIN k y USING (t, a, f) WHERE x.id < y.id"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The problems whose results SQL can state."""
+    return {"p3_found": _p3_sql(), "p5_found": _p5_sql()}
