@@ -40,7 +40,10 @@ def decoded(files: DataFrame, ladder: tuple[str, ...] = LADDER, on_error: str =
 
 
 def read_files(spark: SparkSession, paths: str | list[str], suffix: str = ".txt", recursive: bool = False) -> DataFrame:
-    """(path, modificationTime, length, content) of the files of a folder with a suffix, in any case."""
+    """(path, modificationTime, length, content) of the files of a folder with a suffix, in any case.
+
+    Empty files have no row.
+    """
     glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
     out = reader.load(paths).dropDuplicates(["path"])
