@@ -3,10 +3,10 @@
 Each value is first mapped, character by character, to what it looks like: full-width and mathematical letters and
 digits, compatibility ideographs and radicals to the plain ones, spaces of any kind to the blank, invisible
 characters to nothing, combining accents to precomposed letters, and letters of another script inside a Latin word
-to Latin ones. A word that is wholly of its own script stays as it is. Values and mapped values are then grouped in
-SQL under an accent-sensitive Unicode collation, for which canonically equivalent spellings are equal; the plainest
-member of each class, the first in code point order among equals, is its canonical member, and is joined back to
-every value. In page ranges, dashes become hyphens, and letters that stand for digits become digits.
+to Latin ones. A word that is wholly of its own script stays as it is. Distinct values are then grouped in SQL by the
+mapped form under an accent-sensitive Unicode collation, for which canonically equivalent spellings are equal; the
+plainest member of each class, the first in code point order among equals, is its canonical member, and is joined
+back to every row. In page ranges, dashes become hyphens, and letters that stand for digits become digits.
 
 The tables are built from the Unicode database, not listed. Punctuation of titles is left alone. Null values have
 no canonical form; empty values keep theirs.
@@ -21,12 +21,13 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut
-
 #: Cyrillic, Greek, Armenian and IPA letters, and the Latin letters they look like.
 LIKE_FROM = "АВСЕНІЈКМОРЅТХУԚԜасеіјорѕухһԁԛԝѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινυαρϲոսօցհɡıɑ"
 LIKE_TO = "ABCEHIJKMOPSTXYQWaceijopsyxhdqwvABEZHIKMNOPTYXoivuapcnuoghgia"
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
+#: Most values have no character beyond these and need no mapping: ASCII, unified ideographs, Latin letters with
+#: accents, and punctuation.
+UNUSUAL = r"[^\x00-\x7f\x{4e00}-\x{9fff}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{130}\x{132}-\x{17e}\x{2010}-\x{2027}\x{3001}-\x{3011}\x{ff0c}\x{ff08}\x{ff09}\x{ff1a}\x{ff1b}\x{ff1f}\x{ff01}\x{b7}]"
 LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
 YEAR = r"(?<![A-Za-z0-9])(?=[lIoO]{0,2}[0-9])(?=[0-9]*[lIoO])[0-9lIoO]{4}(?![A-Za-z0-9])"
 #: A number of a page range in which letters stand for digits; it has a digit, or is made of such letters alone.
@@ -103,9 +104,9 @@ def looks(v: Column) -> Column:
     out = _let(F.regexp_replace(v, f"[{INVISIBLE}]", ""), lambda x: F.translate(x, before, after))
     for joined in LIGATURES:
         out = F.replace(out, F.lit(joined), F.lit(unicodedata.normalize("NFKC", joined)))
-    plain = F.when(v.rlike(r"[^\x00-\x7f]"), _let(_let(out, _compose), _latin_words)).otherwise(v)
+    plain = F.when(v.rlike(UNUSUAL), _let(_let(out, _compose), _latin_words)).otherwise(v)
     # A letter within a number of four digits stands for a digit.
-    return _let(plain, lambda x: F.when(x.rlike(YEAR), _digits_of(x, YEAR)).otherwise(x))
+    return _let(plain, lambda x: F.when(x.rlike("[0-9][lIoO]|[lIoO][0-9]") & x.rlike(YEAR), _digits_of(x, YEAR)).otherwise(x))
 
 
 def _digits_of(v: Column, number: str) -> Column:
@@ -127,20 +128,14 @@ def canonical(values: DataFrame) -> DataFrame:
     """(field_name, value, canonical, n) of each distinct value of (field_name, value)."""
     distinct = values.where("value IS NOT NULL").groupBy("field_name", "value").agg(F.count("*").alias("n"))
     mapped = distinct.withColumn("mapped", F.when(F.col("field_name") == "pages", looks_as_pages(F.col("value"))).otherwise(looks(F.col("value"))))
-    mapped = cut(mapped)  # read twice, and dear to compute
-    # A member is a value or what it looks like; the plainest is one that equals what it looks like.
-    classes = values.sparkSession.sql(
+    # A value that equals what it looks like is the plainest of its class; where a class lacks it, it is made.
+    return values.sparkSession.sql(
         """
-        SELECT field_name, form, min_by(m.member, struct(m.odd, m.member)) AS canonical
-        FROM (SELECT field_name, mapped COLLATE UNICODE AS form,
-                     explode(array(struct(0 AS odd, mapped AS member), struct(CAST(value <> mapped AS INT) AS odd, value AS member))) AS m
-              FROM {mapped})
-        GROUP BY field_name, form
+        SELECT field_name, value, min(mapped) OVER (PARTITION BY field_name, mapped COLLATE UNICODE) AS canonical, n
+        FROM {mapped}
         """,
         mapped=mapped,
     )
-    m = mapped.withColumn("form", F.collate("mapped", "UNICODE"))
-    return m.join(classes, ["field_name", "form"]).select("field_name", "value", F.col("canonical"), "n")
 
 
 def odd_fields(records: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:

@@ -9,10 +9,16 @@ that is ever broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+
+def _over_all(c: str) -> F.Column:
+    """The sum over all rows of a table that has one for each source."""
+    return F.sum(c).over(Window.partitionBy(F.lit(1)))
+
+
 def rates(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """(source, target_share, max_repeats, documents, tokens, rate) of each target.
 
@@ -20,11 +26,10 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None
     A source without tokens has rate 0; null sources belong to no target. Repeated target rows count once.
     """
     per_source = counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
-    total = F.lit(total_tokens).cast("double") if total_tokens is not None else F.col("all_tokens")
+    per_source = per_source.withColumn("all_tokens", _over_all("tokens"))
+    total = F.lit(total_tokens).cast("double") if total_tokens is not None else F.col("all_tokens").cast("double")
     wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     sized = wanted.join(F.broadcast(per_source.where("source IS NOT NULL")), "source", "left")
-    if total_tokens is None:
-        sized = sized.crossJoin(F.broadcast(per_source.agg(F.sum("tokens").cast("double").alias("all_tokens"))))  # one row
     cap = F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("double")
     need = F.coalesce("target_share", F.lit(0.0)) * total / F.col("tokens")
     rate = F.when(F.col("tokens") > 0, F.greatest(F.least(need, cap), F.lit(0.0))).otherwise(0.0)
@@ -56,8 +61,8 @@ def report(drawn: DataFrame, rate_table: DataFrame) -> DataFrame:
     got = drawn.groupBy("source").agg(
         F.sum("n_tokens").alias("drawn_tokens"), F.count("*").alias("drawn_copies"), F.max("copy").alias("most_copies")
     )
-    all_of = got.agg(F.sum("drawn_tokens").alias("all_drawn"))
-    out = rate_table.join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(all_of))
+    got = got.withColumn("all_drawn", _over_all("drawn_tokens"))
+    out = rate_table.join(F.broadcast(got), "source", "left")
     zero = F.lit(0).cast("bigint")
     return out.select(
         "source", "target_share", "max_repeats", "documents", "tokens", F.round("rate", 6).alias("rate"),
