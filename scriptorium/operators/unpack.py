@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import let
 from scriptorium.session import cut
 
 BLANKS = " \t"
@@ -93,10 +94,10 @@ def code_book(fields: DataFrame) -> dict[tuple[str, str], float]:
 
     Keys are (column, value), and (column, "\\0" + shape). At most 2 * BOOK entries come to the driver.
     """
-    plain = fields.where(~_open(F.col("field"))).select("field_name", F.explode(parse(F.col("field"), False, False, False)).alias("v"))
+    plain = fields.where(~_open(F.col("field"))).select("field_name", F.explode_outer(parse(F.col("field"), False, False, False)).alias("v")).where("v IS NOT NULL")
     quoted = fields.where(F.contains(F.col("field"), F.lit('"')) & _open(F.col("field")))  # what quotes enclose is one value in every dialect
     pattern = rf'(?:^|[{HARD},\t])[ ]*"([^"]*)"(?=[ ]*(?:[{HARD},\t]|\z))'
-    inside = quoted.select("field_name", F.explode(F.regexp_extract_all("field", F.lit(pattern), F.lit(1))).alias("v"))
+    inside = quoted.select("field_name", F.explode_outer(F.regexp_extract_all("field", F.lit(pattern), F.lit(1))).alias("v")).where("v IS NOT NULL")
     counts = cut(plain.unionByName(inside).groupBy("field_name", "v").agg(F.count("*").alias("n")))  # read three times
     shapes = counts.groupBy("field_name", shape(F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
     totals = {r[0]: r[1] for r in counts.groupBy("field_name").agg(F.sum("n")).collect()}
@@ -145,6 +146,7 @@ def with_values(fields: DataFrame) -> DataFrame:
 
 def unpack(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
     """(id, field_name, pos, value) of each value of each field that holds two or more; pos counts from 1."""
-    values = with_values(long_fields(df, fields, id_col)).where(F.size("values") >= 2)
-    rows = values.select("id", "field_name", F.posexplode("values").alias("pos", "value"))
-    return rows.withColumn("pos", F.col("pos") + 1)
+    # Sizes are tested within the array, and the outer explode needs no test of its own: fields are parsed once.
+    several = let(F.col("values"), lambda v: F.when(F.size(v) >= 2, v))
+    rows = with_values(long_fields(df, fields, id_col)).select("id", "field_name", F.posexplode_outer(several).alias("pos", "value"))
+    return rows.where("pos IS NOT NULL").withColumn("pos", F.col("pos") + 1)
