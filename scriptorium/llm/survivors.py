@@ -78,12 +78,16 @@ def survivors(members: DataFrame, records: DataFrame, files: DataFrame, fields:
 
 
 def truths(members: DataFrame, records: DataFrame, files: DataFrame, fields: list[str]) -> DataFrame:
-    """(group_id, field_name, value, support, votes): the value of highest support under learnt reliabilities."""
+    """(group_id, field_name, value, support, votes): the value of highest support under learnt reliabilities.
+
+    Values cut short stand only where a field has no whole one, so that every field with a claim has its row.
+    """
     spark = members.sparkSession
-    c = claims(members, records, files, fields).where("whole").groupBy("group_id", "field_name", "value", "site").agg(F.count("*").alias("n"))
+    of_field = Window.partitionBy("group_id", "field_name")
+    c = claims(members, records, files, fields).groupBy("group_id", "field_name", "value", "site", "whole").agg(F.count("*").alias("n"))
+    c = c.withColumn("some", F.max("whole").over(of_field)).where("whole = some").drop("whole", "some")
     c = cut(c)  # read again in each round
     weight = {r[0]: 1.0 for r in c.select("site").distinct().collect()}  # one row for each site
-    of_field = Window.partitionBy("group_id", "field_name")
 
     def supported() -> DataFrame:
         sites = spark.createDataFrame(list(weight.items()) or [("", 1.0)], "site string, w double")

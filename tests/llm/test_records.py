@@ -134,3 +134,16 @@ def test_truth_discovery(spark):
     got = {(r["group_id"], r["field_name"]): r["value"] for r in survivors.truths(members, bib, files, fields).collect()}
     assert got[1, "volume"] == "3" and got[2, "pages"] == "2-3" and (3, "pages") not in got
     assert survivors.truths(members.limit(0), bib, files, fields).collect() == []
+
+
+def test_truths_of_fields_cut_short(spark):
+    t = datetime(2020, 1, 1)
+    bib = [(1, "1-", "10.1/", "甲乙...", "3", "f1"), (2, "1-", "10.1/", "甲乙丙。", None, "f2"), (3, "1-9", "10.1/", None, None, "f1"), (4, "4-", None, None, "?", "f1")]
+    members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4)], "group_id long, id long")
+    records = spark.createDataFrame(bib, "id long, pages string, doi string, abstract string, volume string, source_file string")
+    files = spark.createDataFrame([("f1", "A", 1, t, t), ("f2", "B", 5, t, t)], "source_file string, site string, trust int, exported_at timestamp, loaded_at timestamp")
+    fields = ["pages", "doi", "abstract", "volume"]
+    got = {(r["group_id"], r["field_name"]): (r["value"], r["votes"]) for r in survivors.truths(members, records, files, fields).collect()}
+    # a whole value goes before any number of those cut short; a field with nothing else keeps them
+    assert got == {(1, "pages"): ("1-9", 1), (1, "doi"): ("10.1/", 3), (1, "abstract"): ("甲乙丙。", 1), (1, "volume"): ("3", 1), (2, "pages"): ("4-", 1)}
+    assert set(got) == {(r["group_id"], r["field_name"]) for r in survivors.survivors(members, records, files, fields).collect()}
