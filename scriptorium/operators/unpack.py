@@ -6,15 +6,16 @@ which gives eight dialects. A field that all of them parse alike needs no choice
 how often each value, and each shape of a value, occurs in its column over the whole corpus. The other fields take
 the dialect under which the codes of their values, in bits, are shortest.
 
-The book holds at most ``BOOK`` values and as many shapes, the most frequent ones; what it doesn't hold is spelled
-out, so that every field is parsed whatever the size of the corpus.
+The book holds every value that occurs twice or more, and every shape. It stays a distributed table and is joined to
+the values that a field may hold; only the ``HOT`` most frequent values and shapes of each column are at hand in every
+task instead, so that no join is skewed by them. What a field's parse is doesn't depend on ``HOT``.
 
 Null, empty and blank fields hold no value. Empty values between marks are skipped; repeats stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from math import log2
 from operator import and_ as and_op
@@ -32,8 +33,8 @@ WHOLE = r'^"[^"]*+(?:""[^"]*+)*+"$'
 WIDE = r"⺀-鿿豈-﫿（）“”《》"
 #: (comma, and, blank) of each dialect; the first marks are the plainest.
 DIALECTS = [(c, a, b) for b in (False, True) for a in (False, True) for c in (False, True)]
-#: Most values, and most shapes, that a code book holds.
-BOOK = 20_000
+#: Values, and shapes, of each column that are broadcast instead of joined; results don't depend on it.
+HOT = 2_000
 #: Bits of a spelled character, of a mark between two values, and of a shape never seen.
 SPELLED, MARK, UNSEEN = 5.0, 3.0, 17.0
 
@@ -89,44 +90,59 @@ def _open(field: Column) -> Column:
     return F.rlike(field, F.lit(rf'(?i),|[ ]and[ ]|[{WIDE}"][ ]+[^ {HARD}|\t$]|[^ {HARD}|\t$][ ]+[{WIDE}"]'))
 
 
-def code_book(fields: DataFrame) -> dict[tuple[str, str], float]:
-    """Bits of each frequent value and shape, from the fields on which all dialects agree.
+def code_book(fields: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(field_name, key, n) of each repeated value and each shape, and the number of values of each column.
 
-    Keys are (column, value), and (column, "\\0" + shape). At most 2 * BOOK entries come to the driver.
+    Counted are the fields on which all dialects agree. A key is a value, or "\\0" + a shape.
     """
     plain = fields.where(~_open(F.col("field"))).select("field_name", F.explode_outer(parse(F.col("field"), False, False, False)).alias("v")).where("v IS NOT NULL")
     quoted = fields.where(F.contains(F.col("field"), F.lit('"')) & _open(F.col("field")))  # what quotes enclose is one value in every dialect
     pattern = rf'(?:^|[{HARD},\t])[ ]*"([^"]*)"(?=[ ]*(?:[{HARD},\t]|\z))'
     inside = quoted.select("field_name", F.explode_outer(F.regexp_extract_all("field", F.lit(pattern), F.lit(1))).alias("v")).where("v IS NOT NULL")
     counts = cut(plain.unionByName(inside).groupBy("field_name", "v").agg(F.count("*").alias("n")))  # read three times
-    shapes = counts.groupBy("field_name", shape(F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
+    shapes = counts.groupBy("field_name", _shape_key(shape(F.col("v"))).alias("key")).agg(F.sum("n").alias("n"))
     totals = {r[0]: r[1] for r in counts.groupBy("field_name").agg(F.sum("n")).collect()}
-    book: dict[tuple[str, str], float] = {}
-    for prefix, part in (("", counts.where("n > 1")), ("\0", shapes)):
-        for r in part.orderBy(F.desc("n"), "field_name", "v").limit(BOOK).collect():
-            book[r["field_name"], prefix + r["v"]] = -log2(r["n"] / totals[r["field_name"]])
-    return book
+    return cut(counts.where("n > 1").select("field_name", F.col("v").alias("key"), "n").unionByName(shapes)), totals
 
 
-def _bits(book: dict, column: str, value: str, look: str) -> float:
-    spelled = book.get((column, "\0" + look), UNSEEN) + SPELLED * len(value)
-    known = book.get((column, value))
-    return spelled if known is None else min(known, spelled)
+def _shape_key(s: Column) -> Column:
+    return F.concat(F.lit("\0"), s)
 
 
-def with_values(fields: DataFrame) -> DataFrame:
-    """(id, field_name, values): the values of each field of ``long_fields``, under its cheapest dialect."""
+def _hot(book: DataFrame, columns: Iterable[str]) -> dict[tuple[str, str], int]:
+    """n by (column, key) of the most frequent values and shapes of each column, at most 2 * HOT for each."""
+    out: dict[tuple[str, str], int] = {}
+    for column in columns:
+        for of_shape in (False, True):
+            part = book.where((F.col("field_name") == column) & (F.startswith(F.col("key"), F.lit("\0")) == of_shape))
+            for r in part.orderBy(F.desc("n"), "key").limit(HOT).collect():
+                out[column, r["key"]] = r["n"]
+    return out
+
+
+def _bits(total: int, known: Callable[[str], int | None], value: str, look: str) -> float:
+    n, of_shape = known(value), known("\0" + look)
+    spelled = (UNSEEN if of_shape is None else -log2(of_shape / total)) + SPELLED * len(value)
+    return spelled if n is None else min(-log2(n / total), spelled)
+
+
+def _chosen(fields: DataFrame) -> DataFrame:
+    """(id, field_name, values) of the fields on which dialects may differ: those of the cheapest one."""
     spark = fields.sparkSession
-    book = spark.sparkContext.broadcast(code_book(fields))
+    book, totals = code_book(fields)
+    hot = _hot(book, totals)
+    at_hand = spark.sparkContext.broadcast((hot, totals))
 
     @F.arrow_udf("array<string>")
-    def cheapest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for columns, parses in batches:
+    def cheapest(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        often, total = at_hand.value
+        for columns, parses, joined in batches:
             out = []
-            for column, candidates in zip(columns.to_pylist(), parses.to_pylist(), strict=True):
+            for column, candidates, found in zip(columns.to_pylist(), parses.to_pylist(), joined.to_pylist(), strict=True):
+                here = {x["key"]: x["n"] for x in found or ()}
                 best, least = None, float("inf")
-                for values in candidates or ():
-                    bits = MARK * len(values) + sum(_bits(book.value, column, v["v"], v["s"]) for v in values)
+                for values in candidates:
+                    bits = MARK * len(values) + sum(_bits(total.get(column, 1), lambda k: often.get((column, k), here.get(k)), v["v"], v["s"]) for v in values)
                     if bits < least:
                         best, least = values, bits
                 out.append(None if best is None else [v["v"] for v in best])
@@ -139,9 +155,22 @@ def with_values(fields: DataFrame) -> DataFrame:
         values = F.transform(parse(field, comma, and_, blank), lambda v: F.struct(v.alias("v"), shape(v).alias("s")))
         needed = [may[k] for k, on in (("comma", comma), ("and", and_), ("blank", blank)) if on]
         candidates.append(F.when(reduce(and_op, needed), values) if needed else values)
-    chosen = cheapest(F.col("field_name"), F.when(_open(field), F.array_compact(F.array(*candidates))))
-    plain = F.when(~_open(field), parse(field, False, False, False))
-    return fields.withColumn("chosen", chosen).select("id", "field_name", F.coalesce("chosen", plain).alias("values"))
+    rows = cut(fields.where(_open(field)).select("id", "field_name", F.array_compact(F.array(*candidates)).alias("candidates")))  # parsed once, read twice
+    each = F.array_distinct(F.flatten("candidates"))
+    keys = F.array_distinct(F.concat(F.transform(each, lambda x: x["v"]), F.transform(each, lambda x: _shape_key(x["s"]))))
+    hot_keys = F.broadcast(spark.createDataFrame(list(hot), "field_name string, key string"))
+    rest = rows.select("id", "field_name", F.explode(keys).alias("key")).join(hot_keys, ["field_name", "key"], "left_anti")
+    found = rest.join(book, ["field_name", "key"]).groupBy("id", "field_name").agg(F.collect_list(F.struct("key", "n")).alias("found"))
+    return rows.join(found, ["id", "field_name"], "left").select("id", "field_name", cheapest("field_name", "candidates", "found").alias("values"))
+
+
+def with_values(fields: DataFrame) -> DataFrame:
+    """(id, field_name, values): the values of each field of ``long_fields``, under its cheapest dialect.
+
+    Ids are unique in each column.
+    """
+    plain = fields.where(~_open(F.col("field"))).select("id", "field_name", parse(F.col("field"), False, False, False).alias("values"))
+    return plain.unionByName(_chosen(fields))
 
 
 def unpack(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:

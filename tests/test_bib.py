@@ -101,6 +101,16 @@ def test_packed_fields(spark):
     assert [len(v) for v in got[n + 6, "keywords"]] == [50_000, 1]
 
 
+def test_rare_values_have_codes_beside_many_frequent_ones(spark):
+    frequent = [chr(0x4E00 + i % 200) + chr(0x6000 + i // 200) for i in range(20_000)]
+    lists = [";".join(frequent[i : i + 1000]) for i in range(0, 20_000, 1000)] * 3
+    quoted = ['"甲乙 丙丁"; 天地', '"甲乙 丙丁"; 天地']
+    got = packed(spark, [None] * (len(lists) + 4), lists + quoted + ["甲乙 丙丁", "甲乙 天地"])
+    n = len(lists) + len(quoted)
+    # known as one value, though 20,000 others are more frequent; the other field holds two
+    assert (n, "keywords") not in got and got[n + 1, "keywords"] == ["甲乙", "天地"]
+
+
 def test_packed_fields_of_an_empty_table(spark):
     assert packed(spark, [], []) == {}
 
