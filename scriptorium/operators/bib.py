@@ -131,7 +131,14 @@ def type_code() -> Column:
     return F.when(t.rlike("dissertation|thesis|学位"), "D").when(t.rlike("newspaper|报纸"), "N").when(t.rlike("conference|会议|proceedings"), "C").when(t.rlike("book|专著|monograph"), "M").otherwise("J")
 
 
-def format_gbt(bib: DataFrame) -> DataFrame:
+def clean_doi(c: Column) -> Column:
+    """Without DOIs and links to them, runs of white space a blank each."""
+    c = F.regexp_replace(c, rf"(?iu)[{R.WS}]*DOI[{R.WS}]*[:：][{R.WS}]*[^{R.WS}]+", "")
+    c = F.regexp_replace(c, rf"(?iu)[{R.WS}]*https?://(?:dx\.)?doi\.org/[^{R.WS}]+", "")
+    return strip(F.regexp_replace(c, f"[{R.WS}]+", " "))
+
+
+def format_gbt(bib: DataFrame, keep_doi: bool = False) -> DataFrame:
     """(id, entry) in the numeric style: at most three authors, type code, volume, issue and pages."""
     some = lambda before, v, after="": F.when(v != "", F.concat(F.lit(before), v, F.lit(after))).otherwise("")
     n = _names()
@@ -142,10 +149,11 @@ def format_gbt(bib: DataFrame) -> DataFrame:
         .when(code.isin("D", "C"), F.concat(F.lit(" "), _value("year")))
         .otherwise(F.concat(F.lit(" "), _value("journal"), F.lit(", "), _value("year")))
     )
-    return bib.select("id", F.concat(a, F.lit(". "), title, F.lit("["), code, F.lit("]."), tail, F.lit(".")).alias("entry"))
+    entry = F.concat(a, F.lit(". "), title, F.lit("["), code, F.lit("]."), tail, F.lit("."))
+    return bib.select("id", (entry if keep_doi else clean_doi(entry)).alias("entry"))
 
 
-def format_law(bib: DataFrame) -> DataFrame:
+def format_law(bib: DataFrame, keep_doi: bool = False) -> DataFrame:
     """(id, entry) in the style of law journals."""
     some = lambda before, v, after: F.when(v != "", F.concat(F.lit(before), v, F.lit(after))).otherwise("")
     a, code, year, journal = F.array_join(_names(), "、"), type_code(), _value("year"), _value("journal")
@@ -156,7 +164,8 @@ def format_law(bib: DataFrame) -> DataFrame:
         .when(code == "N", F.concat(F.lit("，《"), journal, F.lit("》"), year, F.lit("年")))
         .otherwise(F.concat(F.lit("，"), journal, year, F.lit("年版")))
     )
-    return bib.select("id", F.concat(some("", a, "："), title, tail, F.lit("。")).alias("entry"))
+    entry = F.concat(some("", a, "："), title, tail, F.lit("。"))
+    return bib.select("id", (entry if keep_doi else clean_doi(entry)).alias("entry"))
 
 
 def missing_pages(bib: DataFrame) -> DataFrame:

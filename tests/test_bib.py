@@ -71,6 +71,15 @@ def test_styles(spark):
     assert [r["id"] for r in bib.missing_pages(d).orderBy("id").collect()] == [3, 6]
 
 
+def test_entries_hold_no_doi(spark):
+    schema = "id long, type string, authors string, title string, journal string, year string, volume string, issue string, pages string"
+    rows = [(1, "J", "A  B", "T\t t doi： 10.1/x y", "J　J", "2020", "", "", ""), (2, "J", "", "Uhttp://dx.doi.org/10.1/z  v", "K", "2021", "", "", "")]
+    d = spark.createDataFrame(rows, schema)
+    assert [r["entry"] for r in bib.format_gbt(d).orderBy("id").collect()] == ["A B. T t y[J]. J J, 2020.", ". U v[J]. K, 2021."]
+    assert [r["entry"] for r in bib.format_law(d).orderBy("id").collect()] == ["A B：《T t y》《J J》2020年。", "《U v》《K》2021年。"]
+    assert bib.format_gbt(d, keep_doi=True).orderBy("id").first()["entry"] == "A  B. T\t t doi： 10.1/x y[J]. J　J, 2020."
+
+
 def packed(spark, authors, keywords):
     d = spark.createDataFrame([(i, a, k) for i, (a, k) in enumerate(zip(authors, keywords, strict=True))], "id long, authors string, keywords string")
     got = {}
