@@ -12,12 +12,18 @@ CJK_KANA = CJK + r"\x{3040}-\x{30ff}\x{3005}\x{3007}"
 # Citation marks. Integrity checks accept ranges after the first part, text statistics don't.
 CITATION = rf"\[([0-9]+(?:[{WS}]*[-–—][{WS}]*[0-9]+)?(?:[{WS}]*[,，][{WS}]*[0-9]+(?:[{WS}]*[-–—][{WS}]*[0-9]+)?)*)\]"
 CITATION_PLAIN = rf"\[[0-9]+(?:[{WS}]*[-–—][{WS}]*[0-9]+)?(?:[{WS}]*[,，][{WS}]*[0-9]+)*\]"
+# An entry of a reference list with all that follows up to the next one, and what stands for a missing one.
+ENTRY = rf"(?msd)^\[([0-9]+)\][{WS}]*(.+?)(?=\n\[[0-9]+\]|\z)"
+MISSING_ENTRY = ("[待补：原编号 ", " 的文献条目缺失]")
 NOTE_MARK = r"\[\^([0-9]+)\]"
 NOTE_ANY = r"\[\^[0-9]+\]"
 NOTE_LINE = rf"^[{WS}]*\[\^[0-9]+\][{WS}]*:"
 NOTE_HEAD = r"^\[\^([0-9]+)\]:"
 REFS_HEADING = "## 参考文献"
 ABSTRACT_LINE = rf"^#{{1,3}}[{WS}]*摘[{WS}]*要[{WS}]*\z"
+# Headings that part a text, as they stand in the whole of it. White space may hold line ends.
+REFS_HEAD = rf"#{{1,3}}[{WS}]*参考文献[{WS}]*"
+ABSTRACT_HEAD = rf"#{{1,3}}[{WS}]*摘[{WS}]*要[{WS}]*"
 HEADING_LINE = rf"^#{{1,6}}[{WS}]"
 NOISE = r"^(?:#|\||>|```|[-*]{3,})"
 NOISE_NO_HEADING = r"^(?:\||>|```|[-*]{3,})"
@@ -52,6 +58,7 @@ FILLER_PATTERNS = [
     ("就此而言|就前述而言", "就此而言"), ("综上所述|一言以蔽之|总而言之|归根结底", "综上所述/归根结底"), ("由此可见", "由此可见"),
     ("如前所述|上文已述|如前文所述", "如前所述"), ("本章将|本节将|下文将|本文将", "本章/本节/本文将"), ("在一定程度上|从某种意义上", "在一定程度上"), ("事实上|实际上", "事实上/实际上"),
 ]
+# An author who names themselves.
 FIRST_PERSON = "笔者认为|笔者主张|本人认为"
 
 # What redacted text looks like, and the rules for personal data: category, severity, name, pattern.
@@ -71,12 +78,29 @@ PII_RULES = [
     ("单位信息", "中", "英文机构名（含校名缩写）", rf"(?:[A-Z][a-z]+[{WS}]+){{1,4}}(?:of[{WS}]+)?[A-Z][a-z]+[{WS}]*,?[{WS}]*[A-Z]{{2,6}}\b"),
     ("单位信息", "中", "英文单位行含校名缩写", r"\b(?:University|College|Institute|School|Academy)\b[^\n]{0,40}?\b[A-Z]{2,8}\b"),
 ]
+# What the name of an institution looks like.
 INSTITUTION = r"[\x{4e00}-\x{9fff}]{2,6}(?:大学|学院|研究院)"
 # Pieces of words that name no institution, and marks of a citation.
 NO_INSTITUTION = ["的", "到", "是", "在", "和", "与", "或", "等", "用", "写", "为", "从", "对", "把", "被", "让", "使", "由", "向", "以", "将", "该", "本", "此", "各", "某", "所", "能", "可", "应", "需", "要", "国内", "国外", "境外", "知名", "重点", "普通", "民办", "公办", "中国", "全国", "各大", "法学", "政法", "财经", "师范", "医科"]
 CITATION_SIGNS = ["参见", "载《", "载于", "出处", "出版社", "学报", "期刊", "学位论文", "硕士", "博士", "编译", "译", "[J]", "[M]", "[D]", "第", "页", "年", "期"]
-#: Surnames that the rule for names after an author field accepts: frequent ones; a longer list is a parameter.
-SURNAMES = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛范彭鲁韦马苗方俞任袁柳史唐薛雷贺倪汤罗郝安于傅齐康伍余顾孟黄穆萧尹姚邵汪毛戴宋熊纪舒屈项祝董梁杜阮蓝席季贾江童颜郭梅林钟徐邱骆高夏蔡田樊胡凌霍万卢丁邓洪石崔龚程陆段侯武刘龙叶黎白赖乔谭温庄翟聂曾"
+# Surnames that the rule for names after an author field accepts.
+SURNAMES = (
+    "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华"
+    "金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方"
+    "俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅"
+    "皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧"
+    "计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危"
+    "江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯昝管卢莫"
+    "经房裘缪干解应宗丁宣贲邓郁单杭洪包诸左石崔吉钮龚程嵇邢滑"
+    "裴陆荣翁荀羊於惠甄曲家封芮羿储靳汲邴糜松井段富巫乌焦巴弓"
+    "牧隗山谷车侯宓蓬全郗班仰秋仲伊宫宁仇栾暴甘钭历戎祖武符刘"
+    "景詹束龙叶幸司韶郜黎蓟薄印宿白怀蒲邰从鄂索咸籍赖卓蔺屠蒙"
+    "池乔阴胥能苍双闻莘党翟谭贡劳逄姬申扶堵冉宰郦雍卻璩桑桂濮"
+    "牛寿通边扈燕冀郏浦尚农温别庄晏柴瞿阎充慕连茹习宦艾鱼容向"
+    "古易慎戈廖庾终暨居衡步都耿满弘匡国文寇广禄阙东欧殳沃利蔚"
+    "越夔隆师巩厍聂晁勾敖融冷訾辛阚那简饶空曾毋沙乜养鞠须丰巢"
+    "关蒯相查后荆红游竺权逯盖益桓公"
+)
 
 # Keys of the header block of a manuscript, and marks of unfinished work.
 META_KEYS = ["题目", "副标题", "作者", "基金项目", "引注体例", "篇幅", "目标期刊", "页眉", "写作状态", "篇幅目标", "字数目标", "评审轮次", "说明", "备注", "写作说明", "版本", "轮次", "日期", "字数"]

@@ -38,7 +38,7 @@ def count(x: str, pattern: str) -> str:
 
 
 def num(x: str) -> str:
-    return f"CASE WHEN length({x}) BETWEEN 1 AND 9 THEN CAST({x} AS INTEGER) END"
+    return f"TRY_CAST({x} AS BIGINT)"
 
 
 H = q(R.REFS_HEADING)
@@ -66,7 +66,7 @@ GROUPS = f"SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) AS occ FRO
 _PART = f"SELECT doc_id, occ, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, occ, list_filter(list_transform(string_split(replace(raw, '，', ','), ','), lambda x: {strip('x')}), lambda x: x <> '') AS p FROM ({GROUPS}))"
 _ENDS = f"SELECT *, {num(strip('string_split(d, chr(1))[1]'))} AS a, {num(strip('string_split(d, chr(1))[2]'))} AS b FROM (SELECT doc_id, occ, i, regexp_replace(part, '[-–—]', chr(1)) AS d FROM ({_PART}))"
 _NUMS = f"SELECT doc_id, occ, i, unnest(CASE WHEN a IS NULL THEN [] WHEN a <= b AND b - a < 200 THEN range(a, b + 1) ELSE [a] END) AS num, generate_subscripts(CASE WHEN a IS NULL THEN [] WHEN a <= b AND b - a < 200 THEN range(a, b + 1) ELSE [a] END, 1) AS j FROM ({_ENDS})"
-CITES = f"SELECT doc_id, occ, row_number() OVER (PARTITION BY doc_id, occ ORDER BY i, j) AS pos, num::INTEGER AS num FROM ({_NUMS})"
+CITES = f"SELECT doc_id, occ, row_number() OVER (PARTITION BY doc_id, occ ORDER BY i, j) AS pos, num FROM ({_NUMS})"
 _NO = num("nullif(regexp_extract(line, '^\\[([0-9]+)\\]', 1), '')")
 _E1 = f"SELECT *, {_NO} AS num FROM ({lines(REFS, f'instr(text, {H}) > 0')})"
 _E2 = f"SELECT *, sum((num IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM ({_E1})"
@@ -182,13 +182,13 @@ SQL = {
     "health_verdict": f"SELECT *, (long_sentences + bloated + filler > 0)::INT AS status FROM (SELECT d.doc_id, coalesce(l, 0) AS long_sentences, coalesce(b, 0) AS bloated, coalesce(f, 0) AS filler FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS l FROM ({MEASURED}) WHERE chars > 150 GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS b FROM ({BLOATED}) GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS f FROM ({FILLER} WHERE hits >= 3) GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL)",
     "near_dup_jaccard": NEAR,
     "doc_split": f"SELECT doc_id, length({BODY}) AS body_chars, length({REFS}) AS list_chars FROM documents WHERE instr(text, {H}) > 0",
-    "mode_detect": f"SELECT doc_id, CASE WHEN n AND NOT c THEN 'footnote' WHEN h AND c THEN 'journal' WHEN n THEN 'footnote' WHEN h THEN 'journal' ELSE 'error' END AS mode FROM (SELECT doc_id, {has('text', '(?m)' + R.NOTE_HEAD)} AS n, {has('text', R.CITATION)} AS c, instr(text, {H}) > 0 AS h FROM documents WHERE text IS NOT NULL)",
+    "mode_detect": f"SELECT doc_id, CASE WHEN n AND NOT c THEN 'footnote' WHEN h AND c THEN 'journal' WHEN n THEN 'footnote' WHEN h THEN 'journal' ELSE 'error' END AS mode FROM (SELECT doc_id, {has('text', '(?m)' + R.NOTE_HEAD)} AS n, {has(BODY, R.CITATION)} AS c, instr(text, {H}) > 0 AS h FROM documents WHERE text IS NOT NULL)",
     "citations": f"SELECT doc_id, occ, raw FROM ({GROUPS})",
     "citation_expand": CITES,
     "ref_entries": ENTRIES,
     "cite_missing": f"SELECT DISTINCT doc_id, num FROM ({CITES}) EXCEPT SELECT doc_id, num FROM ({ENTRIES})",
     "cite_extra": f"SELECT DISTINCT doc_id, num FROM ({ENTRIES}) EXCEPT SELECT doc_id, num FROM ({CITES})",
-    "cite_gaps": f"SELECT doc_id, unnest(range(1, m))::INTEGER AS num FROM (SELECT doc_id, max(num) AS m FROM ({ENTRIES}) GROUP BY 1) EXCEPT SELECT doc_id, num FROM ({ENTRIES})",
+    "cite_gaps": f"SELECT doc_id, b + 1 AS first, num - 1 AS last FROM (SELECT *, coalesce(lag(num) OVER (PARTITION BY doc_id ORDER BY num), 0) AS b FROM (SELECT DISTINCT doc_id, num FROM ({ENTRIES}))) WHERE num > b + 1",
     "cite_dup_numbers": f"SELECT doc_id, num, count(*) AS n FROM ({ENTRIES}) GROUP BY 1, 2 HAVING count(*) > 1",
     "cite_zombies": f"SELECT doc_id, canonical AS first_num, num FROM ({CANON}) WHERE canonical <> num",
     "cite_first_order": FIRST,
@@ -196,7 +196,7 @@ SQL = {
     "cite_summary": f"SELECT d.doc_id, coalesce(o, 0) AS occurrences, coalesce(c, 0) AS cited, coalesce(e, 0) AS entries, lowest, highest FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS o, count(DISTINCT num) AS c FROM ({CITES}) GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT num) AS e, min(num) AS lowest, max(num) AS highest FROM ({ENTRIES}) GROUP BY 1) USING (doc_id) WHERE instr(d.text, {H}) > 0",
     "cite_canonical": f"SELECT doc_id, num, canonical FROM ({CANON})",
     "renumber_map": RENUMBER,
-    "renumber_refs": f"SELECT r.doc_id, new, '[' || new || '] ' || coalesce(entry, '（缺失条目：原编号 ' || old || '）') AS line FROM ({RENUMBER}) r LEFT JOIN ({CANON}) c ON r.doc_id = c.doc_id AND r.old = c.num",
+    "renumber_refs": f"SELECT r.doc_id, new, '[' || new || '] ' || coalesce(entry, '[待补：原编号 ' || old || ' 的文献条目缺失]') AS line FROM ({RENUMBER}) r LEFT JOIN ({CANON}) c ON r.doc_id = c.doc_id AND r.old = c.num",
     "compress_ranges": COMPRESSED,
     "scan_detect": SCANS,
     "footnotes": NOTES,
