@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
-from scriptorium.functions.text import measured, strip
+from scriptorium.functions.text import let, measured, strip
 
 
 def lines(docs: DataFrame, text: str | Column = "text") -> DataFrame:
@@ -33,47 +33,64 @@ def references(c: Column, heading: str = R.REFS_HEADING) -> Column:
     return F.when(at > 0, c.substr(at, F.length(c)))
 
 
-def _kept(docs: DataFrame, text: Column, keep: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, line_no, line): stripped lines that keep accepts, given as fields line and s (stripped).
+def _kept_array(text: Column, keep: Callable[[Column], Column]) -> Column:
+    """(line_no, text): stripped lines that keep accepts, given as fields line and s (stripped).
 
-    Lines are stripped and tested within the array, once each; the outer explode keeps the optimizer from computing
-    the array a second time to see whether it is empty.
+    Lines are stripped and tested within the array, once each.
     """
     each = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), strip(x).alias("s")))
-    out = docs.select("doc_id", F.explode_outer(F.filter(each, keep)).alias("x")).where("x IS NOT NULL")
-    return out.select("doc_id", "x.line_no", F.col("x.s").alias("line"))
+    return F.transform(F.filter(each, keep), lambda x: F.struct(x["line_no"].alias("line_no"), x["s"].alias("text")))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, text): lines that are no heading, quotation, table, fence, rule or note."""
+def _rows(docs: DataFrame, array: Column) -> DataFrame:
+    """(doc_id, and the fields) of each item; the outer explode keeps the optimizer from computing the array a second time to see whether it is empty."""
+    return docs.select("doc_id", F.explode_outer(array).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
+
+
+def paragraph_array(text: Column) -> Column:
+    """(line_no, text): lines that are no heading, quotation, table, fence, rule or note."""
 
     def keep(x: Column) -> Column:
         t, line = x["s"], x["line"]
         fine = (t != "") & ~t.rlike(R.HEADING_LINE) & ~t.rlike(R.NOISE_NO_HEADING) & ~line.rlike(R.NOTE_LINE)
         return fine & (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) < 2)
 
-    return _kept(docs, F.col("text"), keep).withColumnRenamed("line", "text")
+    return _kept_array(text, keep)
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text): lines that are no heading, quotation, table, fence, rule or note."""
+    return _rows(docs, paragraph_array(F.col("text")))
+
+
+def prose_array(text: Column) -> Column:
+    """(line_no, text): stripped lines of a body that hold sentences."""
+    return _kept_array(text, lambda x: (x["s"] != "") & ~x["s"].rlike(R.NOISE) & ~x["line"].rlike(R.NOTE_LINE))
 
 
 def prose(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): stripped lines of the body that hold sentences."""
-    keep = lambda x: (x["s"] != "") & ~x["s"].rlike(R.NOISE) & ~x["line"].rlike(R.NOTE_LINE)
-    return _kept(docs, body(F.col("text")), keep)
+    return _rows(docs, prose_array(body(F.col("text")))).withColumnRenamed("text", "line")
 
 
-def measured_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, sent_no, sentence, norm, chars): prose cut after each wide stop, which stays with its sentence.
+def sentence_array(text: Column) -> Column:
+    """(line_no, sent_no, sentence, norm, chars): prose of a body cut after each wide stop, which stays with its sentence.
 
     norm is what is measured of a sentence, and chars its length.
     """
-    parts = F.filter(F.transform(F.split("line", "(?<=[。！？；])"), strip), lambda x: x != "")
-    each = F.transform(parts, lambda p: F.struct(p.alias("sentence"), measured(p).alias("norm")))
-    out = prose(docs).select("doc_id", "line_no", F.posexplode_outer(each).alias("sent_no", "x")).where("x IS NOT NULL")
-    return out.select("doc_id", "line_no", (F.col("sent_no") + 1).alias("sent_no"), "x.sentence", "x.norm", F.length("x.norm").alias("chars"))
+    parts = lambda t: F.filter(F.transform(F.split(t, "(?<=[。！？；])"), strip), lambda x: x != "")
+
+    def one(line_no: Column, p: Column, i: Column) -> Column:
+        return let(measured(p), lambda m: F.struct(line_no.alias("line_no"), (i + 1).alias("sent_no"), p.alias("sentence"), m.alias("norm"), F.length(m).alias("chars")))
+
+    return F.flatten(F.transform(prose_array(text), lambda x: F.transform(parts(x["text"]), lambda p, i: one(x["line_no"], p, i))))
+
+
+def measured_sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, sent_no, sentence, norm, chars) of each sentence of each body, as in sentence_array."""
+    return _rows(docs, sentence_array(body(F.col("text"))))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, sent_no, sentence): prose cut after each wide stop, which stays with its sentence."""
-    parts = F.filter(F.transform(F.split("line", "(?<=[。！？；])"), strip), lambda x: x != "")
-    out = prose(docs).select("doc_id", "line_no", F.posexplode_outer(parts).alias("sent_no", "sentence")).where("sentence IS NOT NULL")
-    return out.withColumn("sent_no", F.col("sent_no") + 1)
+    return measured_sentences(docs).select("doc_id", "line_no", "sent_no", "sentence")

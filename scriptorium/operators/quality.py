@@ -182,12 +182,6 @@ def version_curve(docs: DataFrame, collapse: float = -40.0) -> DataFrame:
     return out.select("project", "version", "doc_id", "n_chars", F.round(change, 6).alias("change"), F.coalesce(change <= collapse, F.lit(False)).alias("collapsed"))
 
 
-def lexicon_hits(docs: DataFrame, phrases: list[str]) -> DataFrame:
-    """(doc_id, phrase, hits) of each phrase that a text has."""
-    counts = F.array(*[F.struct(F.lit(p).alias("phrase"), literal_count(F.col("text"), p).alias("hits")) for p in phrases])
-    return docs.where("text IS NOT NULL").select("doc_id", F.explode(F.filter(counts, lambda x: x["hits"] > 0)).alias("x")).select("doc_id", "x.phrase", "x.hits")
-
-
 def health_verdict(docs: DataFrame, long: int = 150, bloated: int = 500) -> DataFrame:
     """(doc_id, long_sentences, bloated, filler, status) of each document with a text; status 1 if there is any."""
     parts = {"long_sentences": long_sentences(docs, long), "bloated": bloated_paragraphs(docs, bloated), "filler": filler_hits(docs)}

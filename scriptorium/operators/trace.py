@@ -1,7 +1,9 @@
 """Marks of mechanical writing, and punctuation.
 
-Null texts have no rows. Abstracts are the lines between their heading and the next one; line numbers stay those of
-the whole text.
+What is scanned ends at the heading of the reference list. The abstract is what stands between its heading and the
+next one; it counts as a paragraph of its own, number 0, with its white space collapsed. Other line numbers are those
+of the whole text. A text is one row, and every mark is computed within it: nothing is shuffled. Null texts have no
+rows.
 """
 
 from __future__ import annotations
@@ -9,38 +11,83 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from scriptorium.functions import rules as R
 from scriptorium.functions.text import let, literal_count, matches, strip, uncited
-from scriptorium.operators.lines import lines, paragraphs
+from scriptorium.operators.lines import paragraph_array
+
+LINE = "(?md)"
+
+
+def scanned(text: Column) -> Column:
+    """The text before the heading of its reference list, or all of it."""
+    return F.get(F.split(text, f"{LINE}^{R.REFS_HEAD}$", 2), F.lit(0))
+
+
+def split_abstract(text: Column) -> Column:
+    """(before, abstract, after): what stands before the heading of the abstract, up to the next heading, and from there on."""
+    around = F.split(text, f"{LINE}^{R.ABSTRACT_HEAD}$", 2)
+    inner = let(around, lambda a: F.struct(F.get(a, F.lit(0)).alias("before"), F.split(F.coalesce(F.get(a, F.lit(1)), F.lit("")), rf"{LINE}(?=^#{{1,6}}[{R.WS}])", 2).alias("x")))
+    part = lambda v, i: F.coalesce(F.get(v["x"], F.lit(i)), F.lit(""))
+    return let(inner, lambda v: F.struct(v["before"].alias("before"), part(v, 0).alias("abstract"), part(v, 1).alias("after")))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, abstract, rest, paras) of each text: what is scanned, its abstract and the rest of it, and its paragraphs.
+
+    paras holds (line_no, text): the abstract first, as line 0, if it isn't blank.
+    """
+    d = docs.where("text IS NOT NULL").select("doc_id", scanned(F.col("text")).alias("text"))
+    d = d.select("doc_id", "text", split_abstract(F.col("text")).alias("s"))
+    d = d.select("doc_id", "text", F.col("s.before").alias("before"), F.col("s.abstract").alias("abstract"), F.col("s.after").alias("after"))
+    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    upto = ends(F.col("before"))
+    shift = F.when(F.col("after") != "", ends(F.col("text")) - ends(F.col("after")) - upto).otherwise(0)
+    rest = F.concat("before", "after")
+    paras = let(F.struct(upto.alias("u"), shift.alias("s")), lambda k: F.transform(paragraph_array(rest), lambda p: F.struct(F.when(p["line_no"] > k["u"], p["line_no"] + k["s"]).otherwise(p["line_no"]).alias("line_no"), p["text"].alias("text"))))
+    whole = strip(F.regexp_replace("abstract", f"[{R.WS}]+", " "))
+    first = F.when(whole != "", F.array(F.struct(F.lit(0).alias("line_no"), whole.alias("text")))).otherwise(F.array().cast("array<struct<line_no:int,text:string>>"))
+    return d.select("doc_id", "text", "abstract", rest.alias("rest"), F.concat(first, paras).alias("paras"))
+
+
+def _all_text() -> Column:
+    return F.concat("abstract", F.lit("\n"), "rest")
 
 
 def abstract_split(docs: DataFrame) -> DataFrame:
-    """(doc_id, abstract, rest) of each text; the first abstract ends at the next heading."""
-    rows = lines(docs).withColumn("s", strip(F.col("line")))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.col("line").rlike(R.ABSTRACT_LINE)
-    rows = rows.withColumn("a", F.sum(opens.cast("int")).over(w))
-    closes = (F.col("a") > 0) & ~(opens & (F.col("a") == 1)) & F.col("line").rlike(R.HEADING_LINE)
-    rows = rows.withColumn("c", F.sum(closes.cast("int")).over(w))
-    inside = (F.col("a") > 0) & (F.col("c") == 0)
-    head = inside & opens
+    """(doc_id, abstract, rest) of what is scanned of each text; the first abstract ends at the next heading."""
+    return scan(docs).select("doc_id", strip(F.col("abstract")).alias("abstract"), "rest")
 
-    def joined(keep: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
 
-    return rows.groupBy("doc_id").agg(strip(joined(inside & ~head)).alias("abstract"), joined(~inside).alias("rest"))
+def _dense(paras: Column, least: int) -> Column:
+    """(line_no, total, chars) of each paragraph with so many phrases of the lexicon."""
+    total = lambda t: sum((literal_count(t, w) for w in R.AI_WORDS), F.lit(0))
+    one = lambda p: let(uncited(p["text"]), lambda t: F.struct(p["line_no"].alias("line_no"), total(t).alias("total"), F.length(t).alias("chars")))
+    # Most paragraphs hold no phrase, which one test tells.
+    some = F.filter(paras, lambda p: p["text"].rlike("|".join(R.AI_WORDS)))
+    return F.filter(F.transform(some, one), lambda x: x["total"] >= least)
 
 
 def lexicon_density(docs: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, line_no, total, chars) of each paragraph with so many phrases of the lexicon."""
-    total = lambda t: sum((literal_count(t, w) for w in R.AI_WORDS), F.lit(0))
-    counted = let(uncited(F.col("text")), lambda t: F.struct(total(t).alias("total"), F.length(t).alias("chars")))
-    dense = F.filter(F.array(counted), lambda x: x["total"] >= least)
-    return paragraphs(docs).select("doc_id", "line_no", F.explode(dense).alias("x")).select("doc_id", "line_no", "x.total", "x.chars")
+    return scan(docs).select("doc_id", F.explode(_dense(F.col("paras"), least)).alias("x")).select("doc_id", "x.line_no", "x.total", "x.chars")
+
+
+def _vague(clean: Column) -> Column:
+    """(minus, i, w): attributions without a source, by hits, then in the order of the lexicon."""
+    counts = F.array(*[F.struct((-literal_count(clean, w)).alias("minus"), F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(R.VAGUE)])
+    ranked = F.array_sort(F.filter(counts, lambda x: x["minus"] < 0))
+    kind = "array<struct<minus:int,i:int,w:string>>"
+    taken = F.aggregate(ranked, F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: F.contains(k["w"], x["w"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.when(clean.rlike("|".join(R.VAGUE)), taken).otherwise(F.array().cast(kind))
+
+
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """(doc_id, clean): abstract and rest, without citations."""
+    return scan(docs).select("doc_id", uncited(_all_text()).alias("clean"))
 
 
 def vague_attribution(docs: DataFrame) -> DataFrame:
@@ -49,72 +96,118 @@ def vague_attribution(docs: DataFrame) -> DataFrame:
     Phrases are taken by hits, then in the order of the lexicon; one that is part of a phrase taken before is left
     out.
     """
-    counts = F.array(*[F.struct((-literal_count(F.col("text"), w)).alias("minus"), F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(R.VAGUE)])
-    ranked = F.array_sort(F.filter(counts, lambda x: x["minus"] < 0))
-    taken = F.aggregate(ranked, F.array().cast("array<struct<minus:int,i:int,w:string>>"), lambda acc, x: F.when(F.exists(acc, lambda k: F.contains(k["w"], x["w"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return docs.where("text IS NOT NULL").select("doc_id", F.explode(taken).alias("x")).select("doc_id", F.col("x.w").alias("phrase"), (-F.col("x.minus")).alias("hits"))
+    out = _cleaned(docs).select("doc_id", F.explode(let(F.col("clean"), _vague)).alias("x"))
+    return out.select("doc_id", F.col("x.w").alias("phrase"), (-F.col("x.minus")).alias("hits"))
 
 
-def inflation_hits(docs: DataFrame) -> DataFrame:
-    """(doc_id, category, phrase, hits): inflated claims, by what was matched."""
+def _inflated(clean: Column) -> Column:
+    """(category, hits): what the patterns of each category match."""
     rows = []
     for category, patterns in R.INFLATION.items():
-        hits = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in patterns]))
+        hits = F.flatten(F.array(*[F.regexp_extract_all(clean, F.lit(p), F.lit(0)) for p in patterns]))
         rows.append(F.struct(F.lit(category).alias("category"), hits.alias("hits")))
-    each = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.category", F.explode("x.hits").alias("phrase"))
-    return each.groupBy("doc_id", "category", "phrase").agg(F.count("*").alias("hits"))
+    return F.array(*rows)
+
+
+def inflation_hits(docs: DataFrame) -> DataFrame:
+    """(doc_id, category, phrase, hits): inflated claims, by what was matched."""
+    each = _cleaned(docs).select("doc_id", F.explode(let(F.col("clean"), _inflated)).alias("x")).select("doc_id", "x.category", "x.hits")
+    phrases = F.transform(F.array_distinct("hits"), lambda p: F.struct(p.alias("phrase"), F.size(F.filter("hits", lambda h: h == p)).cast("bigint").alias("hits")))
+    return each.select("doc_id", "category", F.explode(phrases).alias("p")).select("doc_id", "category", "p.phrase", "p.hits")
+
+
+def lexicon_hits(docs: DataFrame, phrases: list[str]) -> DataFrame:
+    """(doc_id, phrase, hits) of each phrase that abstract and rest have, citations left aside."""
+    counts = lambda t: F.array(*[F.struct(F.lit(p).alias("phrase"), literal_count(t, p).alias("hits")) for p in phrases])
+    some = F.when(F.col("clean").rlike("|".join(phrases)), let(F.col("clean"), counts))
+    return _cleaned(docs).select("doc_id", F.explode(F.filter(some, lambda x: x["hits"] > 0)).alias("x")).select("doc_id", "x.phrase", "x.hits")
 
 
 def self_reference(docs: DataFrame) -> DataFrame:
     """(doc_id, in_abstract, in_rest, first_person): how often a text names itself or its author."""
-    a, r = F.col("abstract"), F.col("rest")
-    first = matches(a, R.FIRST_PERSON) + matches(r, R.FIRST_PERSON)
-    return abstract_split(docs).select("doc_id", literal_count(a, "本文").alias("in_abstract"), literal_count(uncited(r), "本文").alias("in_rest"), first.alias("first_person"))
+    return scan(docs).select("doc_id", *_self())
+
+
+def _self() -> list[Column]:
+    first = matches(F.concat("abstract", "rest"), R.FIRST_PERSON)
+    return [literal_count(F.col("abstract"), "本文").alias("in_abstract"), literal_count(uncited(F.col("rest")), "本文").alias("in_rest"), first.alias("first_person")]
+
+
+def _heads() -> list[Column]:
+    return [matches(F.col("text"), LINE + p).alias(n) for n, p in R.HEADINGS.items()]
 
 
 def heading_system(docs: DataFrame) -> DataFrame:
     """(doc_id, arabic_1, arabic_2, chinese_1, chinese_2, mixed): numbered headings of each kind."""
-    counts = [F.sum(F.col("line").rlike(p).cast("int")).alias(n) for n, p in R.HEADINGS.items()]
-    out = lines(docs).groupBy("doc_id").agg(*counts)
+    out = scan(docs).select("doc_id", *_heads())
     return out.withColumn("mixed", (F.col("arabic_1") + F.col("arabic_2") > 0) & (F.col("chinese_1") + F.col("chinese_2") > 0))
 
 
+def _punct() -> list[Column]:
+    t, raw = uncited(_all_text()), _all_text()
+    both = lambda mark: matches(raw, f"(?<=[{R.CJK}]){mark}(?=[{R.CJK}])")
+    return [
+        literal_count(t, "——").alias("dashes"), literal_count(t, "……").alias("ellipses"), F.length(t).alias("chars"),
+        literal_count(raw, '"').alias("straight_quotes"), both(",").alias("half_commas"), both(r"\.").alias("half_stops"), matches(raw, r"\.{3,}").alias("dots"),
+    ]
+
+
 def punct_profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, dashes, ellipses, chars, straight_quotes, half_commas, half_stops, dots) of each text."""
-    t = uncited(F.col("text"))
-    both = lambda mark: matches(F.col("text"), f"(?<=[{R.CJK}]){mark}(?=[{R.CJK}])")
-    return docs.where("text IS NOT NULL").select(
-        "doc_id", literal_count(t, "——").alias("dashes"), literal_count(t, "……").alias("ellipses"), F.length(t).alias("chars"),
-        literal_count(F.col("text"), '"').alias("straight_quotes"), both(",").alias("half_commas"), both(r"\.").alias("half_stops"), matches(F.col("text"), r"\.{3,}").alias("dots"),
-    )
+    """(doc_id, dashes, ellipses, chars, straight_quotes, half_commas, half_stops, dots) of what is scanned of each text."""
+    return scan(docs).select("doc_id", *_punct())
+
+
+def _evenness(paras: Column, shortest: int) -> Column:
+    """(paragraphs, mean, sd) of the lengths of paragraphs that aren't too short."""
+    sizes = F.filter(F.transform(paras, lambda p: F.length(uncited(p["text"]))), lambda n: n >= shortest)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, n: acc + n)
+    with_mean = let(sizes, lambda v: F.struct(v.alias("v"), F.size(v).cast("bigint").alias("n"), (total(v) / F.greatest(F.size(v), F.lit(1))).alias("mean")))
+
+    def spread(x: Column) -> Column:
+        squares = F.aggregate(x["v"], F.lit(0.0), lambda acc, n: acc + (n - x["mean"]) * (n - x["mean"]))
+        return F.struct(x["n"].alias("paragraphs"), x["mean"].alias("mean"), F.sqrt(squares / F.greatest(x["n"], F.lit(1))).alias("sd"))
+
+    return let(with_mean, spread)
 
 
 def uniformity(docs: DataFrame, shortest: int = 30, least: int = 5) -> DataFrame:
     """(doc_id, paragraphs, mean, sd, cv) of the lengths of paragraphs, where there are enough of them."""
-    p = paragraphs(docs).select("doc_id", F.length(uncited(F.col("text"))).alias("n")).where(F.col("n") >= shortest)
-    out = p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"))
+    out = scan(docs).select("doc_id", _evenness(F.col("paras"), shortest).alias("e")).select("doc_id", "e.*")
     return out.where(F.col("paragraphs") >= least).withColumn("cv", F.col("sd") / F.col("mean"))
 
 
+#: Marks of a text and what each counts; severe ones first.
+SEVERE = ("abstract_self", "first_person", "dense", "straight_quotes")
+WARNINGS = ("vague", "inflation", "formulaic", "filler", "rest_self", "dashes", "half_width", "arabic_heads", "even")
+
+
+def trace_marks(docs: DataFrame, density: int = 3) -> DataFrame:
+    """(doc_id, and a count for each mark): how often each text shows each of the thirteen marks, 0 where it passes."""
+    d = scan(docs).select("doc_id", "text", "abstract", "rest", "paras", uncited(_all_text()).alias("clean"))
+    words = lambda ws: F.when(F.col("clean").rlike("|".join(ws)), sum((literal_count(F.col("clean"), w) for w in ws), F.lit(0))).otherwise(0)
+    d = d.select("*", *_self(), *_punct(), *_heads(), _evenness(F.col("paras"), 30).alias("e"))
+    vague = F.aggregate(let(F.col("clean"), _vague), F.lit(0), lambda acc, x: acc - x["minus"])
+    infl = F.aggregate(let(F.col("clean"), _inflated), F.lit(0), lambda acc, x: acc + F.size(x["hits"]))
+    half, arabic = F.col("half_commas") + F.col("half_stops") + F.col("dots"), F.col("arabic_1") + F.col("arabic_2")
+    dashes = F.when(F.col("dashes") / F.greatest(F.lit(1.0), F.col("chars") / 1000) > 8, F.col("dashes")).otherwise(0)
+    even = (F.col("e.paragraphs") >= 5) & (F.col("e.sd") / F.col("e.mean") < 0.35)
+    counts = {
+        "abstract_self": F.col("in_abstract"), "first_person": F.col("first_person"), "dense": F.size(_dense(F.col("paras"), density)), "straight_quotes": F.col("straight_quotes"),
+        "vague": vague, "inflation": infl, "formulaic": words(R.FORMULAIC), "filler": words(R.FILLER), "rest_self": F.when(F.col("in_rest") > 3, F.col("in_rest")).otherwise(0),
+        "dashes": dashes, "half_width": half, "arabic_heads": arabic, "even": F.coalesce(even, F.lit(False)).cast("int"),
+    }
+    return d.select("doc_id", *[c.cast("bigint").alias(n) for n, c in counts.items()])
+
+
 def trace_verdict(docs: DataFrame) -> DataFrame:
-    """(doc_id, severe, warnings): how many of the four severe and of the nine other marks a text shows."""
-    d = docs.where("text IS NOT NULL")
-    t = F.col("text")
-    any_of = lambda words: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
-    flags = d.select("doc_id", any_of(R.VAGUE).alias("w1"), any_of(R.FORMULAIC).alias("w3"), any_of(R.FILLER).alias("w4"))
-    infl = inflation_hits(d).groupBy("doc_id").agg(F.lit(True).alias("w2"))
-    dens = lexicon_density(d).groupBy("doc_id").agg(F.lit(True).alias("s3"))
-    selfs = self_reference(d).select("doc_id", (F.col("in_abstract") > 0).alias("s1"), (F.col("first_person") > 0).alias("s2"), (F.col("in_rest") > 3).alias("w5"))
-    p = punct_profile(d)
-    dashes = F.col("dashes") / F.greatest(F.lit(1.0), F.col("chars") / 1000) > 8
-    p = p.select("doc_id", dashes.alias("w6"), (F.col("straight_quotes") > 0).alias("s4"), (F.col("half_commas") + F.col("half_stops") + F.col("dots") > 0).alias("w7"))
-    heads = heading_system(d).select("doc_id", (F.col("arabic_1") + F.col("arabic_2") > 0).alias("w8"))
-    even = uniformity(d).select("doc_id", (F.col("cv") < 0.35).alias("w9"))
-    out = flags
-    for part in (infl, dens, selfs, p, heads, even):
-        out = out.join(part, "doc_id", "left")
-    total = lambda names: sum((F.coalesce(F.col(n), F.lit(False)).cast("int") for n in names), F.lit(0))
-    return out.select("doc_id", total(["s1", "s2", "s3", "s4"]).alias("severe"), total([f"w{i}" for i in range(1, 10)]).alias("warnings"))
+    """(doc_id, severe, warnings, findings, status): how many marks of each weight a text shows, which, and how often.
+
+    findings lists them as mark:count, severe ones first; status is 1 if there is any.
+    """
+    shown = lambda ns: sum(((F.col(n) > 0).cast("int") for n in ns), F.lit(0))
+    text = F.concat_ws(",", *[F.when(F.col(n) > 0, F.concat(F.lit(f"{n}:"), F.col(n).cast("string"))) for n in (*SEVERE, *WARNINGS)])
+    out = trace_marks(docs).select("doc_id", shown(SEVERE).alias("severe"), shown(WARNINGS).alias("warnings"), text.alias("findings"))
+    return out.withColumn("status", (F.col("severe") + F.col("warnings") > 0).cast("int"))
 
 
 def fix_double_quotes(c: Column) -> Column:

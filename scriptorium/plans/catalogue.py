@@ -166,7 +166,7 @@ def queries() -> dict[str, Query]:
         "bib_missing_pages": _bib(bib.missing_pages),
         # traces
         "abstract_split": _docs(trace.abstract_split, "doc_id", _chars("abstract"), _chars("rest")),
-        "lexicon_hits": _docs(lambda d: quality.lexicon_hits(d, [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])),
+        "lexicon_hits": _docs(lambda d: trace.lexicon_hits(d, [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])),
         "lexicon_density": _docs(lambda d: trace.lexicon_density(d, 1)),
         "vague_attribution": _docs(trace.vague_attribution),
         "inflation_hits": _docs(trace.inflation_hits),

@@ -93,16 +93,25 @@ LAW = f"""SELECT id, CASE WHEN len(names) > 0 THEN array_to_string(names, '、')
  CASE WHEN code = 'J' THEN '《' || j || '》' || y || '年' || CASE WHEN i <> '' THEN '第' || i || '期' ELSE '' END || CASE WHEN p <> '' THEN '、第' || replace(p, '-', '—') || '页' ELSE '' END
  WHEN code = 'D' THEN '，' || y || '年学位论文' WHEN code = 'N' THEN '，《' || j || '》' || y || '年' ELSE '，' || j || y || '年版' END || '。' AS entry FROM ({FORMAT})"""
 
-_AB1 = f"SELECT *, sum({has('line', R.ABSTRACT_LINE)}::INT) OVER w AS a, {has('line', R.ABSTRACT_LINE)} AS o, {has('line', R.HEADING_LINE)} AS h FROM ({lines()}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"
-_AB2 = f"SELECT *, sum((a > 0 AND NOT (o AND a = 1) AND h)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS c FROM ({_AB1})"
-ABSTRACT = f"SELECT doc_id, {strip('coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE a > 0 AND c = 0 AND NOT o), ' + q('') + ')')} AS abstract, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT (a > 0 AND c = 0)), '') AS rest FROM ({_AB2}) GROUP BY doc_id"
-_VAGUE = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {q(w)} AS w, {literal('text', w)} AS n FROM documents" for i, w in enumerate(R.VAGUE))
+_NL = lambda c: f"(length({c}) - length(replace({c}, chr(10), '')))"
+_AHEAD = q("(?m)^" + R.ABSTRACT_HEAD + "$")
+_SC1 = f"SELECT doc_id, string_split_regex(text, {q('(?m)^' + R.REFS_HEAD + '$')})[1] AS text FROM documents WHERE text IS NOT NULL"
+_SC2 = f"SELECT *, string_split_regex(text, {_AHEAD})[1] AS before, CASE WHEN regexp_matches(text, {_AHEAD}) THEN substring(text, length(string_split_regex(text, {_AHEAD})[1]) + length(regexp_extract(text, {_AHEAD})) + 1) ELSE '' END AS r FROM ({_SC1})"
+_TAIL = q(rf"\A((?s:.*?))(\n#{{1,6}}[{R.WS}](?s:.*))?\z")
+_SC3 = f"SELECT doc_id, text, before, regexp_extract(r, {_TAIL}, 1) || CASE WHEN regexp_extract(r, {_TAIL}, 2) <> '' THEN chr(10) ELSE '' END AS abstract, substring(regexp_extract(r, {_TAIL}, 2), 2) AS after FROM ({_SC2})"
+SCAN = f"SELECT doc_id, text, abstract, before || after AS rest, abstract || chr(10) || before || after AS whole, {_NL('before')} AS u, CASE WHEN after <> '' THEN {_NL('text')} - {_NL('after')} - {_NL('before')} ELSE 0 END AS s FROM ({_SC3})"
+ABSTRACT = f"SELECT doc_id, {strip('abstract')} AS abstract, rest FROM ({SCAN})"
+_TL = f"SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS n, u, sh FROM (SELECT doc_id, string_split(rest, chr(10)) AS a, u, s AS sh FROM ({SCAN}))"
+TPARAS = f"""SELECT doc_id, CASE WHEN n > u THEN n + sh ELSE n END AS line_no, s AS text FROM (SELECT *, {strip('line')} AS s FROM ({_TL})) WHERE s <> '' AND NOT {has('s', R.HEADING_LINE)} AND NOT {has('s', R.NOISE_NO_HEADING)} AND NOT {has('line', R.NOTE_LINE)} AND {_PIPES}
+ UNION ALL SELECT doc_id, 0, {strip(sub('abstract', f'[{R.WS}]+', ' '))} FROM ({SCAN}) WHERE {strip('abstract')} <> ''"""
+CLEAN = f"SELECT doc_id, {uncited('whole')} AS text FROM ({SCAN})"
+_VAGUE = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {q(w)} AS w, {literal('text', w)} AS n FROM cl" for i, w in enumerate(R.VAGUE))
 # A phrase is left out if one taken before it contains it; containing phrases of the lexicon are never left out first.
-VAGUE = f"SELECT doc_id, w AS phrase, n AS hits FROM ({_VAGUE}) x WHERE n > 0 AND NOT EXISTS (SELECT 1 FROM ({_VAGUE}) y WHERE y.doc_id = x.doc_id AND y.n > 0 AND y.w <> x.w AND contains(y.w, x.w) AND (y.n > x.n OR (y.n = x.n AND y.i < x.i)))"
-_INFL = " UNION ALL ".join(f"SELECT doc_id, {q(c)} AS category, unnest(regexp_extract_all(text, {q(p)})) AS phrase FROM documents" for c, ps in R.INFLATION.items() for p in ps)
-INFLATION = f"SELECT doc_id, category, phrase, count(*) AS hits FROM ({_INFL}) GROUP BY 1, 2, 3"
-SELF = f"SELECT doc_id, {literal('abstract', '本文')} AS in_abstract, {literal(uncited('rest'), '本文')} AS in_rest, {count('abstract', R.FIRST_PERSON)} + {count('rest', R.FIRST_PERSON)} AS first_person FROM ({ABSTRACT})"
-HEADS = f"SELECT *, (arabic_1 + arabic_2 > 0) AND (chinese_1 + chinese_2 > 0) AS mixed FROM (SELECT doc_id, {', '.join(f'sum({has("line", p)}::INT)::BIGINT AS {n}' for n, p in R.HEADINGS.items())} FROM ({lines()}) GROUP BY 1)"
+VAGUE = f"WITH cl AS MATERIALIZED ({CLEAN}), x AS MATERIALIZED ({_VAGUE}) SELECT doc_id, w AS phrase, n AS hits FROM x WHERE n > 0 AND NOT EXISTS (SELECT 1 FROM x y WHERE y.doc_id = x.doc_id AND y.n > 0 AND y.w <> x.w AND contains(y.w, x.w) AND (y.n > x.n OR (y.n = x.n AND y.i < x.i)))"
+_INFL = " UNION ALL ".join(f"SELECT doc_id, {q(c)} AS category, unnest(regexp_extract_all(text, {q(p)})) AS phrase FROM cl" for c, ps in R.INFLATION.items() for p in ps)
+INFLATION = f"WITH cl AS MATERIALIZED ({CLEAN}) SELECT doc_id, category, phrase, count(*) AS hits FROM ({_INFL}) GROUP BY 1, 2, 3"
+SELF = f"SELECT doc_id, {literal('abstract', '本文')} AS in_abstract, {literal(uncited('rest'), '本文')} AS in_rest, {count('abstract || rest', R.FIRST_PERSON)} AS first_person FROM ({SCAN})"
+HEADS = f"SELECT *, (arabic_1 + arabic_2 > 0) AND (chinese_1 + chinese_2 > 0) AS mixed FROM (SELECT doc_id, {', '.join(f'{count("text", "(?m)" + p)} AS {n}' for n, p in R.HEADINGS.items())} FROM ({SCAN}))"
 
 
 def between(mark: str) -> str:
@@ -111,20 +120,24 @@ def between(mark: str) -> str:
     return f"length({text}) - length({gone})"
 
 
-PUNCT = f"SELECT doc_id, {literal(uncited('text'), '——')} AS dashes, {literal(uncited('text'), '……')} AS ellipses, length({uncited('text')}) AS chars, {literal('text', chr(34))} AS straight_quotes, {between(',')} AS half_commas, {between(chr(92) + '.')} AS half_stops, {count('text', chr(92) + '.{3,}')} AS dots FROM documents WHERE text IS NOT NULL"
-DENSITY = f"SELECT * FROM (SELECT doc_id, line_no, {' + '.join(literal('t', w) for w in R.AI_WORDS)} AS total, length(t) AS chars FROM (SELECT doc_id, line_no, {uncited('text')} AS t FROM ({PARAGRAPHS})))"
-UNIFORM = f"SELECT doc_id, count(*) AS paragraphs, avg(n) AS mean, stddev_pop(n) AS sd, stddev_pop(n) / avg(n) AS cv FROM (SELECT doc_id, length({uncited('text')}) AS n FROM ({PARAGRAPHS})) WHERE n >= 30 GROUP BY 1 HAVING count(*) >= 5"
+PUNCT = f"SELECT doc_id, {literal(uncited('text'), '——')} AS dashes, {literal(uncited('text'), '……')} AS ellipses, length({uncited('text')}) AS chars, {literal('text', chr(34))} AS straight_quotes, {between(',')} AS half_commas, {between(chr(92) + '.')} AS half_stops, {count('text', chr(92) + '.{3,}')} AS dots FROM (SELECT doc_id, whole AS text FROM ({SCAN}))"
+DENSITY = f"SELECT * FROM (SELECT doc_id, line_no, {' + '.join(literal('t', w) for w in R.AI_WORDS)} AS total, length(t) AS chars FROM (SELECT doc_id, line_no, {uncited('text')} AS t FROM ({TPARAS})))"
+UNIFORM = f"SELECT doc_id, count(*) AS paragraphs, avg(n) AS mean, stddev_pop(n) AS sd, stddev_pop(n) / avg(n) AS cv FROM (SELECT doc_id, length({uncited('text')}) AS n FROM ({TPARAS})) WHERE n >= 30 GROUP BY 1 HAVING count(*) >= 5"
 
 
-def _some(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(text, {q(w)})" for w in words) + ")::INT"
+def _times(words: list[str]) -> str:
+    return "(" + " + ".join(literal("c.text", w) for w in words) + ")"
 
 
-VERDICT = f"""SELECT d.doc_id, (coalesce(s.in_abstract > 0, false)::INT + coalesce(s.first_person > 0, false)::INT + (n.doc_id IS NOT NULL)::INT + (p.straight_quotes > 0)::INT) AS severe,
- ({_some(R.VAGUE)} + (i.doc_id IS NOT NULL)::INT + {_some(R.FORMULAIC)} + {_some(R.FILLER)} + coalesce(s.in_rest > 3, false)::INT + (p.dashes / greatest(1.0::DOUBLE, p.chars / 1000::DOUBLE) > 8)::INT
- + (p.half_commas + p.half_stops + p.dots > 0)::INT + (h.arabic_1 + h.arabic_2 > 0)::INT + coalesce(u.cv < 0.35, false)::INT) AS warnings
- FROM documents d LEFT JOIN ({SELF}) s USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM ({DENSITY}) WHERE total >= 3) n USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM ({INFLATION})) i USING (doc_id)
- LEFT JOIN ({PUNCT}) p USING (doc_id) LEFT JOIN ({HEADS}) h USING (doc_id) LEFT JOIN ({UNIFORM}) u USING (doc_id) WHERE d.text IS NOT NULL"""
+_MARKS = f"""SELECT c.doc_id, s.in_abstract AS abstract_self, s.first_person, coalesce(n.k, 0) AS dense, p.straight_quotes, coalesce(v.k, 0) AS vague, coalesce(i.k, 0) AS inflation, {_times(R.FORMULAIC)} AS formulaic, {_times(R.FILLER)} AS filler,
+ CASE WHEN s.in_rest > 3 THEN s.in_rest ELSE 0 END AS rest_self, CASE WHEN p.dashes / greatest(1.0::DOUBLE, p.chars / 1000::DOUBLE) > 8 THEN p.dashes ELSE 0 END AS dashes, p.half_commas + p.half_stops + p.dots AS half_width, h.arabic_1 + h.arabic_2 AS arabic_heads, coalesce(u.cv < 0.35, false)::INT AS even
+ FROM ({CLEAN}) c JOIN ({SELF}) s USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS k FROM ({DENSITY}) WHERE total >= 3 GROUP BY 1) n USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hits) AS k FROM ({VAGUE}) GROUP BY 1) v USING (doc_id)
+ LEFT JOIN (SELECT doc_id, sum(hits) AS k FROM ({INFLATION}) GROUP BY 1) i USING (doc_id) JOIN ({PUNCT}) p USING (doc_id) JOIN ({HEADS}) h USING (doc_id) LEFT JOIN ({UNIFORM}) u USING (doc_id)"""
+_SEVERE = ("abstract_self", "first_person", "dense", "straight_quotes")
+_WARN = ("vague", "inflation", "formulaic", "filler", "rest_self", "dashes", "half_width", "arabic_heads", "even")
+_SHOWN = lambda ns: " + ".join(f"({n} > 0)::INT" for n in ns)
+_LIST = "concat_ws(',', " + ", ".join(f"CASE WHEN {n} > 0 THEN '{n}:' || {n}::BIGINT END" for n in (*_SEVERE, *_WARN)) + ")"
+VERDICT = f"SELECT doc_id, {_SHOWN(_SEVERE)} AS severe, {_SHOWN(_WARN)} AS warnings, {_LIST} AS findings, ({_SHOWN((*_SEVERE, *_WARN))} > 0)::INT AS status FROM ({_MARKS})"
 
 
 def fixed(expr: str) -> str:
@@ -158,7 +171,7 @@ _SEC = f"SELECT *, s LIKE '## %' AS head, NOT (s LIKE '## %') AND s <> '' AND NO
 SECTIONS = f"SELECT doc_id, section, title, chars FROM (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN {strip('substring(s, 4)')} END), '（前言）') AS title, sum(CASE WHEN txt THEN length({measured('s')}) END)::BIGINT AS chars FROM (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS section FROM ({_SEC}) WHERE head OR txt) GROUP BY 1, 2) WHERE chars IS NOT NULL"
 CURVE = f"""SELECT project, version, doc_id, n_chars, round(change, 6) AS change, coalesce(change <= -40, false) AS collapsed FROM (SELECT *, (n_chars - p) / greatest(1, p)::DOUBLE * 100 AS change FROM
  (SELECT d.project, d.version, doc_id, s.n_chars, lag(s.n_chars) OVER (PARTITION BY d.project ORDER BY d.version, d.saved_at, doc_id) AS p FROM documents d JOIN ({DOC_STATS}) s USING (doc_id) WHERE d.project IS NOT NULL))"""
-LEXICON = " UNION ALL ".join(f"SELECT doc_id, {q(w)} AS phrase, {literal('text', w)} AS hits FROM documents WHERE contains(text, {q(w)})" for w in [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])
+LEXICON = " UNION ALL ".join(f"SELECT doc_id, {q(w)} AS phrase, {literal('text', w)} AS hits FROM cl WHERE contains(text, {q(w)})" for w in [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])
 DEDUPE = f"SELECT min(id) AS id, count(*) AS copies FROM bib GROUP BY lower({sub('coalesce(title, ' + q('') + ')', R.TITLE_ASIDE)}), coalesce({strip('string_split(coalesce(authors, ' + q('') + '), ' + q(';') + ')[1]')}, '')"
 
 _ISLANDS = f"SELECT doc_id, occ, min(num) AS a, max(num) AS b FROM (SELECT *, num - row_number() OVER (PARTITION BY doc_id, occ ORDER BY num) AS k FROM (SELECT DISTINCT doc_id, occ, num FROM ({CITES}))) GROUP BY doc_id, occ, k"
@@ -213,7 +226,7 @@ SQL = {
     "bib_format_law": LAW,
     "bib_missing_pages": f"SELECT id, p = '' AS no_pages, j = '' AS no_journal FROM ({FORMAT}) WHERE code = 'J' AND (p = '' OR j = '')",
     "abstract_split": f"SELECT doc_id, length(abstract) AS abstract_chars, length(rest) AS rest_chars FROM ({ABSTRACT})",
-    "lexicon_hits": LEXICON,
+    "lexicon_hits": f"WITH cl AS MATERIALIZED ({CLEAN}) {LEXICON}",
     "lexicon_density": f"{DENSITY} WHERE total >= 1",
     "vague_attribution": VAGUE,
     "inflation_hits": INFLATION,
