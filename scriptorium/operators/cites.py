@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
-from scriptorium.functions.text import let, strip
+from scriptorium.functions.text import each, let, strip
 from scriptorium.operators.lines import body, lines, references
 
 
@@ -37,8 +37,7 @@ def mode_detect(docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, occ, raw): each citation mark of the body, in order."""
     found = F.regexp_extract_all(body(F.col("text")), F.lit(R.CITATION), F.lit(1))
-    out = _manuscripts(docs).select("doc_id", F.posexplode(found).alias("occ", "raw"))
-    return out.withColumn("occ", F.col("occ") + 1)
+    return each(_manuscripts(docs), ["doc_id"], found, "raw", "occ").select("doc_id", "occ", "raw")
 
 
 def _number(digits: Column) -> Column:
@@ -59,8 +58,7 @@ def expand(raw: Column) -> Column:
 
 def citations(docs: DataFrame) -> DataFrame:
     """(doc_id, occ, pos, num): each number cited, in order."""
-    out = groups(docs).select("doc_id", "occ", F.posexplode(expand(F.col("raw"))).alias("pos", "num"))
-    return out.withColumn("pos", F.col("pos") + 1)
+    return each(groups(docs), ["doc_id", "occ"], expand(F.col("raw")), "num", "pos").select("doc_id", "occ", "pos", "num")
 
 
 def _entries(refs: Column) -> Column:
@@ -108,17 +106,17 @@ def _listed() -> Column:
 
 def ref_entries(docs: DataFrame) -> DataFrame:
     """(doc_id, num, ord, entry): the entries of each list; lines without a number continue the one before."""
-    return _parsed(docs).select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.num", "e.ord", "e.entry")
+    return each(_parsed(docs), ["doc_id"], F.col("entries"), "e").select("doc_id", "e.num", "e.ord", "e.entry")
 
 
 def cite_missing(docs: DataFrame) -> DataFrame:
     """(doc_id, num) of each number cited but not listed."""
-    return _parsed(docs).select("doc_id", F.explode(F.array_except(_used(), _listed())).alias("num"))
+    return each(_parsed(docs), ["doc_id"], F.array_except(_used(), _listed()), "num")
 
 
 def cite_extra(docs: DataFrame) -> DataFrame:
     """(doc_id, num) of each number listed but not cited."""
-    return _parsed(docs).select("doc_id", F.explode(F.array_except(_listed(), _used())).alias("num"))
+    return each(_parsed(docs), ["doc_id"], F.array_except(_listed(), _used()), "num")
 
 
 def _gaps(nums: Column) -> Column:
@@ -129,7 +127,7 @@ def _gaps(nums: Column) -> Column:
 
 def cite_gaps(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last): each range of numbers up to the highest of a list that it lacks."""
-    return _parsed(docs).select("doc_id", F.explode(_gaps(_listed())).alias("g")).select("doc_id", "g.first", "g.last")
+    return each(_parsed(docs), ["doc_id"], _gaps(_listed()), "g").select("doc_id", "g.first", "g.last")
 
 
 def _repeated(entries: Column) -> Column:
@@ -140,12 +138,12 @@ def _repeated(entries: Column) -> Column:
 
 def cite_dup_numbers(docs: DataFrame) -> DataFrame:
     """(doc_id, num, n) of each number listed more than once."""
-    return _parsed(docs).select("doc_id", F.explode(_repeated(F.col("entries"))).alias("x")).select("doc_id", "x.num", "x.n")
+    return each(_parsed(docs), ["doc_id"], _repeated(F.col("entries")), "x").select("doc_id", "x.num", "x.n")
 
 
 def first_entries(docs: DataFrame) -> DataFrame:
     """(doc_id, num, entry, key, canonical): the first entry of each number, what tells it from others, and the lowest number with the same."""
-    return _parsed(docs).select("doc_id", F.explode(_canonical(F.col("entries"))).alias("e")).select("doc_id", "e.num", "e.entry", "e.key", "e.canonical")
+    return each(_parsed(docs), ["doc_id"], _canonical(F.col("entries")), "e").select("doc_id", "e.num", "e.entry", "e.key", "e.canonical")
 
 
 def cite_canonical(docs: DataFrame) -> DataFrame:
@@ -160,8 +158,7 @@ def cite_zombies(docs: DataFrame) -> DataFrame:
 
 def cite_first_order(docs: DataFrame) -> DataFrame:
     """(doc_id, num, place): the numbers cited, in the order in which they first appear."""
-    out = _parsed(docs).select("doc_id", F.posexplode(_used()).alias("place", "num"))
-    return out.select("doc_id", "num", (F.col("place") + 1).alias("place"))
+    return each(_parsed(docs), ["doc_id"], _used(), "num", "place").select("doc_id", "num", "place")
 
 
 def cite_order_mismatch(docs: DataFrame) -> DataFrame:
@@ -229,8 +226,8 @@ def renumber_map(docs: DataFrame, keep_uncited: bool = True) -> DataFrame:
 
     Entries of one content share the number of the first; a number cited but not listed keeps a place.
     """
-    out = _plan(docs, keep_uncited).select("doc_id", "listed", F.posexplode("order").alias("new", "old"))
-    return out.select("doc_id", "old", (F.col("new") + 1).alias("new"), F.array_contains("listed", F.col("old")).alias("listed"))
+    out = each(_plan(docs, keep_uncited), ["doc_id", "listed"], F.col("order"), "old", "new")
+    return out.select("doc_id", "old", "new", F.array_contains("listed", F.col("old")).alias("listed"))
 
 
 def _list_lines(order: Column, nums: Column, canon: Column) -> Column:
@@ -246,8 +243,7 @@ def _list_lines(order: Column, nums: Column, canon: Column) -> Column:
 
 def renumber_refs(docs: DataFrame) -> DataFrame:
     """(doc_id, new, line): the reference list under new numbers; a missing entry has a placeholder."""
-    out = _plan(docs).select("doc_id", F.posexplode(_list_lines(F.col("order"), F.col("nums"), F.col("canon"))).alias("new", "line"))
-    return out.select("doc_id", (F.col("new") + 1).alias("new"), "line")
+    return each(_plan(docs), ["doc_id"], _list_lines(F.col("order"), F.col("nums"), F.col("canon")), "line", "new").select("doc_id", "new", "line")
 
 
 def _ranges(nums: Column) -> Column:
@@ -294,7 +290,8 @@ def renumber(docs: DataFrame, keep_uncited: bool = True, merge: bool = True, com
 
 def renumber_body(docs: DataFrame) -> DataFrame:
     """(doc_id, body): the body of each manuscript that cites, its marks rewritten; missing entries have placeholders."""
-    return renumber(docs, allow_missing=True).where("status = 0").select("doc_id", "body")
+    out = renumber(docs, allow_missing=True)
+    return each(out, ["doc_id"], F.array(F.col("body")), "body").select("doc_id", "body")
 
 
 def _notes(text: Column) -> tuple[Column, Column]:
@@ -308,7 +305,7 @@ def footnotes(docs: DataFrame) -> DataFrame:
     """(doc_id, num, refs, defs): how often each note is referred to and defined."""
     refs, defs = _notes(F.col("text"))
     flagged = lambda c, r, d: F.transform(c, lambda n: F.struct(n.alias("num"), F.lit(r).alias("r"), F.lit(d).alias("d")))
-    rows = docs.select("doc_id", F.explode(F.concat(flagged(refs, 1, 0), flagged(defs, 0, 1))).alias("x")).select("doc_id", "x.*")
+    rows = each(docs, ["doc_id"], F.concat(flagged(refs, 1, 0), flagged(defs, 0, 1))).select("doc_id", "x.*")
     return rows.where("num IS NOT NULL").groupBy("doc_id", "num").agg(F.sum("r").alias("refs"), F.sum("d").alias("defs"))
 
 

@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
-from scriptorium.functions.text import let, measured, strip
+from scriptorium.functions.text import each, let, measured, strip
 
 
 def lines(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """(doc_id, line_no, line) of each line of each text."""
     c = F.col(text) if isinstance(text, str) else text
-    out = docs.select("doc_id", F.posexplode(F.split(c, "\n")).alias("line_no", "line"))
-    return out.withColumn("line_no", F.col("line_no") + 1)
+    return each(docs, ["doc_id"], F.split(c, "\n"), "line", "line_no").select("doc_id", "line_no", "line")
 
 
 def body(c: Column, heading: str = R.REFS_HEADING) -> Column:
@@ -43,8 +42,7 @@ def _kept_array(text: Column, keep: Callable[[Column], Column]) -> Column:
 
 
 def _rows(docs: DataFrame, array: Column) -> DataFrame:
-    """(doc_id, and the fields) of each item; the outer explode keeps the optimizer from computing the array a second time to see whether it is empty."""
-    return docs.select("doc_id", F.explode_outer(array).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
+    return each(docs, ["doc_id"], array).select("doc_id", "x.*")
 
 
 def paragraph_array(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from scriptorium.functions import rules as R
-from scriptorium.functions.text import let, literal_count, matches, strip, uncited
+from scriptorium.functions.text import each, let, literal_count, matches, strip, uncited
 from scriptorium.operators.lines import paragraph_array
 
 LINE = "(?md)"
@@ -73,7 +73,7 @@ def _dense(paras: Column, least: int) -> Column:
 
 def lexicon_density(docs: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, line_no, total, chars) of each paragraph with so many phrases of the lexicon."""
-    return scan(docs).select("doc_id", F.explode(_dense(F.col("paras"), least)).alias("x")).select("doc_id", "x.line_no", "x.total", "x.chars")
+    return each(scan(docs), ["doc_id"], _dense(F.col("paras"), least)).select("doc_id", "x.line_no", "x.total", "x.chars")
 
 
 def _vague(clean: Column) -> Column:
@@ -96,7 +96,7 @@ def vague_attribution(docs: DataFrame) -> DataFrame:
     Phrases are taken by hits, then in the order of the lexicon; one that is part of a phrase taken before is left
     out.
     """
-    out = _cleaned(docs).select("doc_id", F.explode(let(F.col("clean"), _vague)).alias("x"))
+    out = each(_cleaned(docs), ["doc_id"], let(F.col("clean"), _vague))
     return out.select("doc_id", F.col("x.w").alias("phrase"), (-F.col("x.minus")).alias("hits"))
 
 
@@ -111,16 +111,16 @@ def _inflated(clean: Column) -> Column:
 
 def inflation_hits(docs: DataFrame) -> DataFrame:
     """(doc_id, category, phrase, hits): inflated claims, by what was matched."""
-    each = _cleaned(docs).select("doc_id", F.explode(let(F.col("clean"), _inflated)).alias("x")).select("doc_id", "x.category", "x.hits")
+    rows = each(_cleaned(docs), ["doc_id"], let(F.col("clean"), _inflated)).select("doc_id", "x.category", "x.hits")
     phrases = F.transform(F.array_distinct("hits"), lambda p: F.struct(p.alias("phrase"), F.size(F.filter("hits", lambda h: h == p)).cast("bigint").alias("hits")))
-    return each.select("doc_id", "category", F.explode(phrases).alias("p")).select("doc_id", "category", "p.phrase", "p.hits")
+    return each(rows, ["doc_id", "category"], phrases, "p").select("doc_id", "category", "p.phrase", "p.hits")
 
 
 def lexicon_hits(docs: DataFrame, phrases: list[str]) -> DataFrame:
     """(doc_id, phrase, hits) of each phrase that abstract and rest have, citations left aside."""
     counts = lambda t: F.array(*[F.struct(F.lit(p).alias("phrase"), literal_count(t, p).alias("hits")) for p in phrases])
     some = F.when(F.col("clean").rlike("|".join(phrases)), let(F.col("clean"), counts))
-    return _cleaned(docs).select("doc_id", F.explode(F.filter(some, lambda x: x["hits"] > 0)).alias("x")).select("doc_id", "x.phrase", "x.hits")
+    return each(_cleaned(docs), ["doc_id"], F.filter(some, lambda x: x["hits"] > 0)).select("doc_id", "x.phrase", "x.hits")
 
 
 def self_reference(docs: DataFrame) -> DataFrame:
@@ -172,8 +172,8 @@ def _evenness(paras: Column, shortest: int) -> Column:
 
 def uniformity(docs: DataFrame, shortest: int = 30, least: int = 5) -> DataFrame:
     """(doc_id, paragraphs, mean, sd, cv) of the lengths of paragraphs, where there are enough of them."""
-    out = scan(docs).select("doc_id", _evenness(F.col("paras"), shortest).alias("e")).select("doc_id", "e.*")
-    return out.where(F.col("paragraphs") >= least).withColumn("cv", F.col("sd") / F.col("mean"))
+    enough = let(_evenness(F.col("paras"), shortest), lambda e: F.when(e["paragraphs"] >= least, F.array(e)))
+    return each(scan(docs), ["doc_id"], enough).select("doc_id", "x.*").withColumn("cv", F.col("sd") / F.col("mean"))
 
 
 #: Marks of a text and what each counts; severe ones first.

@@ -118,6 +118,7 @@ def queries() -> dict[str, Query]:
         "sentences": _docs(lines.sentences, "doc_id", "line_no", "sent_no", _chars("sentence")),
         "sentence_normalize": _docs(quality.measured_sentences, "doc_id", "line_no", "sent_no", "chars", _digest("norm")),
         "doc_stats": _docs(quality.doc_stats),
+        "doc_stats_baseline": _docs(lambda d: quality.doc_stats(d, 47.0), "doc_id", "n_sentences", "n_chars", *map(_rounded, ("avg_chars", "deviation")), "near"),
         "sentence_quantiles": _docs(quality.sentence_quantiles),
         "section_stats": _docs(quality.section_stats),
         "long_sentences": _docs(quality.long_sentences),
@@ -128,6 +129,8 @@ def queries() -> dict[str, Query]:
         "health_verdict": _docs(quality.health_verdict),
         "near_dup_jaccard": _docs(quality.near_dup_jaccard),
         "near_dup_ratio": _docs(quality.near_dup_ratio),
+        "near_dup_top": _docs(quality.top_near_pairs),
+        "longest": _docs(quality.longest),
         # citations
         "doc_split": _docs(cites.doc_split),
         "mode_detect": _docs(cites.mode_detect),
@@ -142,14 +145,17 @@ def queries() -> dict[str, Query]:
         "cite_first_order": _docs(cites.cite_first_order),
         "cite_order_mismatch": _docs(cites.cite_order_mismatch),
         "cite_summary": _docs(cites.cite_summary),
+        "cite_verdict": _docs(cites.cite_verdict),
         "cite_canonical": _docs(cites.cite_canonical),
         "renumber_map": _docs(cites.renumber_map),
         "renumber_refs": _docs(cites.renumber_refs),
         "renumber_body": _docs(cites.renumber_body, "doc_id", _chars("body"), _digest("body")),
+        "renumber_strict": _docs(lambda d: cites.renumber(d, compress=True), "doc_id", "status", "missing", "changed", _digest("body"), lambda: F.md5(F.encode("refs", "utf-8")).alias("refs_digest")),
         "compress_ranges": _docs(cites.compress_ranges),
         "footnotes": _docs(cites.footnotes),
         "footnote_missing": _docs(cites.footnote_missing),
         "footnote_unused": _docs(cites.footnote_unused),
+        "footnote_verdict": _docs(cites.footnote_verdict),
         "footnote_resolve": _docs(cites.footnote_resolve),
         # bibliography
         "bib_detect_format": _formats,

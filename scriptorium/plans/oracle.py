@@ -59,7 +59,7 @@ PARAGRAPHS = f"SELECT doc_id, line_no, s AS text FROM (SELECT *, {strip('line')}
 DOC_STATS = f"SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(c, 0)::BIGINT AS n_chars, coalesce(c, 0) / greatest(1, coalesce(n, 0))::DOUBLE AS avg_chars FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(chars) AS c FROM ({MEASURED}) GROUP BY 1) s USING (doc_id) WHERE d.text IS NOT NULL"
 BLOATED = f"SELECT doc_id, line_no, length({measured('s')}) AS chars FROM ({PROSE}) WHERE length({measured('s')}) > 500"
 _KEPT = f"array_to_string(list_filter(string_split({BODY}, chr(10)), lambda x: NOT {has('x', R.NOTE_LINE)}), chr(10))"
-FILLER = " UNION ALL ".join(f"SELECT doc_id, {q(label)} AS label, {count('b', p)} AS hits FROM b" for p, label in R.FILLER_PATTERNS)
+FILLER = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {q(label)} AS label, {count('b', p)} AS hits FROM b" for i, (p, label) in enumerate(R.FILLER_PATTERNS))
 FILLER = f"WITH b AS (SELECT doc_id, {_KEPT} AS b FROM documents WHERE text IS NOT NULL) SELECT * FROM ({FILLER})"
 
 GROUPS = f"SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) AS occ FROM (SELECT doc_id, regexp_extract_all({BODY}, {q(R.CITATION)}, 1) AS a FROM documents WHERE instr(text, {H}) > 0)"
@@ -159,16 +159,16 @@ INSTITUTIONS = f"SELECT doc_id, line_no, fragment FROM (SELECT *, {_HEAD} AS hea
 TERMS = " UNION ALL ".join(f"SELECT doc_id, line_no, {q(t)} AS term, {literal('line', t)} AS hits FROM l" for t in ("平台请求权", "duty of care", "终稿"))
 PATHS = "SELECT source_file AS path FROM export_file UNION ALL SELECT 'd' || doc_id || (['.pdf', '.docx', '.md', '.CAJ'])[doc_id % 4 + 1] FROM documents"
 CLASSES = f"SELECT doc_id, norm, min((line_no, sent_no)) AS pl, count(*) AS copies, list_distinct(string_split(norm, '')) AS letters FROM ({MEASURED}) WHERE chars >= 20 GROUP BY 1, 2"
-NEAR = f"""WITH c AS MATERIALIZED ({CLASSES}), p AS (SELECT a.doc_id, a.pl AS a, b.pl AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pl < b.pl AND len(a.letters) >= 0.8 * len(b.letters) - 1e-9 AND len(b.letters) >= 0.8 * len(a.letters) - 1e-9
- WHERE len(list_intersect(a.letters, b.letters))::DOUBLE / (len(a.letters) + len(b.letters) - len(list_intersect(a.letters, b.letters))) >= 0.8),
+NEAR = f"""WITH c AS MATERIALIZED ({CLASSES}), p AS (SELECT a.doc_id, a.pl AS a, b.pl AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pl < b.pl AND len(a.letters) >= 0.65 * len(b.letters) - 1e-9 AND len(b.letters) >= 0.65 * len(a.letters) - 1e-9
+ WHERE len(list_intersect(a.letters, b.letters))::DOUBLE / (len(a.letters) + len(b.letters) - len(list_intersect(a.letters, b.letters))) >= 0.65),
  e AS (SELECT doc_id, pl, count(*) AS links FROM (SELECT doc_id, a AS pl FROM p UNION ALL SELECT doc_id, b FROM p) GROUP BY 1, 2)
  SELECT c.doc_id, c.pl[1] AS line_no, c.pl[2] AS sent_no, copies, coalesce(links, 0) AS links FROM c LEFT JOIN e ON c.doc_id = e.doc_id AND c.pl = e.pl"""
 NGRAMS = f"""WITH g AS (SELECT doc_id, substring(norm, k, 10) AS gram, (line_no, sent_no, k) AS pl FROM (SELECT *, unnest(range(1, chars - 8)) AS k FROM ({MEASURED}) WHERE chars >= 10)),
  h AS (SELECT doc_id, gram, count(*) AS hits, min(pl) AS pl FROM g GROUP BY 1, 2 HAVING count(*) >= 3)
  SELECT doc_id, rank, gram, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pl) AS rank FROM h) WHERE rank <= 10"""
-QUANT = f"SELECT doc_id, l[least(n - 1, floor(n * 0.5)::INT) + 1] AS q50, l[least(n - 1, floor(n * 0.75)::INT) + 1] AS q75, l[least(n - 1, floor(n * 0.9)::INT) + 1] AS q90, l[n] AS longest, len(list_filter(l, lambda x: x > 100)) AS over_100 FROM (SELECT doc_id, list(chars ORDER BY chars) AS l, count(*)::INT AS n FROM ({MEASURED}) GROUP BY 1)"
+QUANT = f"SELECT doc_id, l[least(n - 1, floor(n * 0.5)::INT) + 1] AS q50, l[least(n - 1, floor(n * 0.75)::INT) + 1] AS q75, l[least(n - 1, floor(n * 0.9)::INT) + 1] AS q90, l[n] AS longest, len(list_filter(l, lambda x: x > 100)) AS over_100, len(list_filter(l, lambda x: x > 100)) / n::DOUBLE AS share_100 FROM (SELECT doc_id, list(chars ORDER BY chars) AS l, count(*)::INT AS n FROM ({MEASURED}) GROUP BY 1)"
 _SEC = f"SELECT *, s LIKE '## %' AS head, NOT (s LIKE '## %') AND s <> '' AND NOT {has('s', R.NOISE)} AND NOT {has('line', R.NOTE_LINE)} AS txt FROM (SELECT *, {strip('line')} AS s FROM ({lines(BODY)}))"
-SECTIONS = f"SELECT doc_id, section, title, chars FROM (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN {strip('substring(s, 4)')} END), '（前言）') AS title, sum(CASE WHEN txt THEN length({measured('s')}) END)::BIGINT AS chars FROM (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS section FROM ({_SEC}) WHERE head OR txt) GROUP BY 1, 2) WHERE chars IS NOT NULL"
+SECTIONS = f"SELECT doc_id, section, title, chars, repeat('█', greatest(1, round_even(chars / 200.0, 0)::INT)) AS bar FROM (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN {strip('substring(s, 4)')} END), '（前言）') AS title, sum(CASE WHEN txt THEN length({measured('s')}) END)::BIGINT AS chars FROM (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS section FROM ({_SEC}) WHERE head OR txt) GROUP BY 1, 2) WHERE chars IS NOT NULL"
 CURVE = f"""SELECT project, version, doc_id, n_chars, round(change, 6) AS change, coalesce(change <= -40, false) AS collapsed FROM (SELECT *, (n_chars - p) / greatest(1, p)::DOUBLE * 100 AS change FROM
  (SELECT d.project, d.version, doc_id, s.n_chars, lag(s.n_chars) OVER (PARTITION BY d.project ORDER BY d.version, d.saved_at, doc_id) AS p FROM documents d JOIN ({DOC_STATS}) s USING (doc_id) WHERE d.project IS NOT NULL))"""
 LEXICON = " UNION ALL ".join(f"SELECT doc_id, {q(w)} AS phrase, {literal('text', w)} AS hits FROM cl WHERE contains(text, {q(w)})" for w in [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])
@@ -190,9 +190,10 @@ SQL = {
     "long_sentences": f"SELECT doc_id, line_no, sent_no, chars FROM ({MEASURED}) WHERE chars > 150",
     "bloated_paragraphs": BLOATED,
     "repeated_ngrams": NGRAMS,
-    "filler_hits": f"{FILLER} WHERE hits >= 1",
+    "filler_hits": f"SELECT doc_id, rank, label, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS rank FROM ({FILLER} WHERE hits >= 3)) WHERE rank <= 12",
+    "doc_stats_baseline": f"SELECT doc_id, n_sentences, n_chars, round(avg_chars, 6) AS avg_chars, round((avg_chars - 47) / 47 * 100, 6) AS deviation, abs((avg_chars - 47) / 47 * 100) <= 20 AS near FROM ({DOC_STATS})",
+    "longest": f"SELECT doc_id, 'sentence' AS kind, r AS rank, chars, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, line_no, sent_no) AS r FROM ({MEASURED}) WHERE chars > 150) WHERE r <= 10 UNION ALL SELECT doc_id, 'paragraph', r, chars, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, line_no) AS r FROM ({BLOATED})) WHERE r <= 8",
     "version_curve": CURVE,
-    "health_verdict": f"SELECT *, (long_sentences + bloated + filler > 0)::INT AS status FROM (SELECT d.doc_id, coalesce(l, 0) AS long_sentences, coalesce(b, 0) AS bloated, coalesce(f, 0) AS filler FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS l FROM ({MEASURED}) WHERE chars > 150 GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS b FROM ({BLOATED}) GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS f FROM ({FILLER} WHERE hits >= 3) GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL)",
     "near_dup_jaccard": NEAR,
     "doc_split": f"SELECT doc_id, length({BODY}) AS body_chars, length({REFS}) AS list_chars FROM documents WHERE instr(text, {H}) > 0",
     "mode_detect": f"SELECT doc_id, CASE WHEN n AND NOT c THEN 'footnote' WHEN h AND c THEN 'journal' WHEN n THEN 'footnote' WHEN h THEN 'journal' ELSE 'error' END AS mode FROM (SELECT doc_id, {has('text', '(?m)' + R.NOTE_HEAD)} AS n, {has(BODY, R.CITATION)} AS c, instr(text, {H}) > 0 AS h FROM documents WHERE text IS NOT NULL)",
