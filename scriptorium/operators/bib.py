@@ -9,36 +9,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
-from scriptorium.functions.text import strip
+from scriptorium.functions.text import each, let, strip
+from scriptorium.session import cut
 
+# The fields of a record.
 FIELDS = ["type", "authors", "title", "journal", "year", "volume", "issue", "pages", "keywords", "doi", "abstract"]
 LINE_END = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 ENDNOTE_FIELD = r"^(%[A-Z0-9@!?+*$&])"
 
 
+def _keys(exports: DataFrame) -> list[str]:
+    return ["export_id", "source_file"] if "source_file" in exports.columns else ["export_id"]
+
+
 def export_lines(exports: DataFrame) -> DataFrame:
-    """(export_id, line_no, line) of each line of (export_id, text)."""
-    out = exports.select("export_id", F.posexplode(F.split("text", LINE_END)).alias("line_no", "line"))
-    return out.withColumn("line_no", F.col("line_no") + 1)
+    """(export_id[, source_file], line_no, line) of each line of (export_id[, source_file], text) that isn't blank, stripped."""
+    out = each(exports, _keys(exports), F.transform(F.split("text", LINE_END), strip), "line", "line_no")
+    return out.select(*_keys(exports), "line_no", "line").where("line <> ''")
 
 
 def detect_format(exports: DataFrame) -> DataFrame:
     """(export_id, fmt): endnote, refworks or unknown, by the first line that isn't blank."""
-    first = export_lines(exports).where(strip(F.col("line")) != "").groupBy("export_id").agg(F.min_by(strip(F.col("line")), "line_no").alias("l"))
-    fmt = F.when(F.col("l").rlike("^%[0AT]"), "endnote").when(F.col("l").rlike("^(?:RT|A1|T1) "), "refworks").otherwise("unknown")
-    return first.select("export_id", fmt.alias("fmt"))
+    first = F.get(F.filter(F.transform(F.split("text", LINE_END), strip), lambda x: x != ""), F.lit(0))
+    fmt = lambda l: F.when(l.rlike("^%[0AT]"), "endnote").when(l.rlike("^(?:RT|A1|T1) "), "refworks").otherwise("unknown")
+    return each(exports, ["export_id"], let(first, lambda l: F.when(l.isNotNull(), F.array(fmt(l)))), "fmt")
 
 
 def field_lines(exports: DataFrame, fmt: str = "refworks") -> DataFrame:
-    """(export_id, rec, line_no, code, value): field lines, later lines joined to the one before them.
+    """(export_id[, source_file], rec, line_no, code, value): field lines, later lines joined to the one before them.
 
     Lines before the first record are dropped. A line that begins like a field counts as one, even within an
     abstract; its code decides whether it is kept later on.
     """
-    rows = export_lines(exports)
-    w = Window.partitionBy("export_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows, keys = export_lines(exports), _keys(exports)
+    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     if fmt == "refworks":
-        bare = F.col("line").isin([*R.REFWORKS, *R.REFWORKS_OTHER])
+        bare = F.col("line").isin(list(R.REFWORKS)) | F.lower("line").isin(R.REFWORKS_OTHER)
         code = F.when(bare, F.col("line")).otherwise(F.regexp_extract("line", rf"^([A-Za-z][A-Za-z0-9]?)[{R.WS}]+", 1))
         known = code.isin(list(R.REFWORKS)) | F.lower(code).isin(R.REFWORKS_OTHER)
         code, start = F.when(known, code), F.col("line").startswith("RT ")
@@ -49,16 +55,17 @@ def field_lines(exports: DataFrame, fmt: str = "refworks") -> DataFrame:
     rows = rows.withColumns({"code": code, "rec": F.sum(start.cast("int")).over(w), "value": F.when(code.isNotNull(), value).otherwise(F.col("line"))})
     rows = rows.where("rec > 0").withColumn("f", F.sum(F.col("code").isNotNull().cast("int")).over(w)).where("f > 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), " ")
-    out = rows.groupBy("export_id", "rec", "f").agg(F.min("line_no").alias("line_no"), F.max("code").alias("code"), text.alias("value"))
-    return out.select("export_id", "rec", "line_no", "code", strip(F.col("value")).alias("value"))
+    out = rows.groupBy(*keys, "rec", "f").agg(F.min("line_no").alias("line_no"), F.max("code").alias("code"), text.alias("value"))
+    return out.select(*keys, "rec", "line_no", "code", strip(F.col("value")).alias("value"))
 
 
-def records(exports: DataFrame, fmt: str = "refworks") -> DataFrame:
-    """(export_id, rec, and the fields): the first value of each field; authors joined, abstracts collapsed.
+def records(exports: DataFrame, fmt: str = "refworks", abstract_limit: int = 0) -> DataFrame:
+    """(export_id, rec, the fields[, source_file]): the first value of each field; authors joined, abstracts collapsed.
 
-    Records without a title are dropped; codes without a field are, too.
+    Records without a title are dropped; codes without a field are, too. Abstracts are cut to abstract_limit
+    characters, if that isn't 0.
     """
-    table = R.REFWORKS if fmt == "refworks" else R.ENDNOTE
+    table, keys = R.REFWORKS if fmt == "refworks" else R.ENDNOTE, _keys(exports)
     lookup = {**{k.lower(): v for k, v in table.items()}, **table}
     name = F.create_map(*[F.lit(x) for pair in lookup.items() for x in pair])
     rows = field_lines(exports, fmt).withColumn("field", F.coalesce(F.try_element_at(name, F.col("code")), F.try_element_at(name, F.lower("code")))).where("field IS NOT NULL")
@@ -72,11 +79,28 @@ def records(exports: DataFrame, fmt: str = "refworks") -> DataFrame:
         if f == "authors":
             v = joined(f, "; ")
         elif f == "abstract":
-            v = F.regexp_replace(joined(f, " "), f"[{R.WS}]+", " ")
+            v = strip(F.regexp_replace(joined(f, " "), f"[{R.WS}]+", " "))
+            v = F.left(v, F.lit(abstract_limit)) if abstract_limit > 0 else v
         else:
             v = F.coalesce(F.min_by("value", F.when(F.col("field") == f, F.col("line_no"))), F.lit(""))
         values.append(v.alias(f))
-    return rows.groupBy("export_id", "rec").agg(*values).where("title <> ''")
+    out = rows.groupBy("export_id", *keys[1:], "rec").agg(*values).where("title <> ''")
+    return out.select("export_id", "rec", *FIELDS, *keys[1:])
+
+
+def numbered(bib: DataFrame, start: int = 1, order: str = "id") -> DataFrame:
+    """bib with num: places in the order of a column, from start on, without gaps.
+
+    Rows are sorted across all partitions; a row for each of them tells how many come before it.
+    """
+    placed = cut(bib.orderBy(order)).withColumn("_part", F.spark_partition_id())
+    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row for each partition
+    before, total = {}, start
+    for part, n in sizes:
+        before[part], total = total, total + n
+    offset = F.create_map(*[F.lit(x) for pair in (before or {0: start}).items() for x in pair])
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return placed.withColumn("num", (F.element_at(offset, F.col("_part")) + place).cast("bigint")).drop("_part")
 
 
 def title_key(c: Column) -> Column:
@@ -90,10 +114,13 @@ def dedupe(bib: DataFrame) -> DataFrame:
 
 
 def summary(bib: DataFrame) -> DataFrame:
-    """One row: records, records with an abstract, first and last year (as text), and number of sources."""
+    """One row: records, records with an abstract, first and last year (as text), number of sources, and the sources, sorted.
+
+    There is a source for each file, so that the list is as short as a list of files.
+    """
     year = F.when(F.coalesce("year", F.lit("")) != "", F.col("year"))
     some = (F.coalesce("abstract", F.lit("")) != "").cast("int")
-    return bib.agg(F.count("*").alias("records"), F.sum(some).alias("with_abstract"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count_distinct("source_file").alias("sources"))
+    return bib.agg(F.count("*").alias("records"), F.sum(some).alias("with_abstract"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count_distinct("source_file").alias("sources"), F.array_join(F.array_sort(F.collect_set("source_file")), ", ").alias("source_files"))
 
 
 def top_journals(bib: DataFrame, k: int = 10) -> DataFrame:
@@ -174,12 +201,26 @@ def missing_pages(bib: DataFrame) -> DataFrame:
     return bib.where(type_code() == "J").select("id", no_pages.alias("no_pages"), no_journal.alias("no_journal")).where("no_pages OR no_journal")
 
 
-def as_exports(bib: DataFrame, per_file: int = 20) -> DataFrame:
-    """(export_id, text): records written as tagged exports, so many to a file."""
-    tags = [("RT", "type"), ("T1", "title"), ("JF", "journal"), ("YR", "year"), ("vo", "volume"), ("IS", "issue"), ("OP", "pages"), ("K1", "keywords"), ("DO", "doi"), ("AB", "abstract")]
-    authors = F.array_join(F.transform(F.split(F.coalesce("authors", F.lit("")), ";"), lambda a: F.concat(F.lit("A1 "), a)), "\n")
-    rest = [F.concat(F.lit(f"{t} "), F.coalesce(F.col(f), F.lit(""))) for t, f in tags]
-    text = F.concat_ws("\n", rest[0], authors, *rest[1:])
-    rows = bib.select(F.floor((F.col("id") - 1) / per_file).alias("export_id"), "id", text.alias("t"))
+#: Codes of the fields in the order in which the two formats write them.
+WRITTEN = {
+    "refworks": [("RT", "type"), ("A1", "authors"), ("T1", "title"), ("JF", "journal"), ("YR", "year"), ("vo", "volume"), ("IS", "issue"), ("OP", "pages"), ("K1", "keywords"), ("DO", "doi"), ("AB", "abstract")],
+    "endnote": [("%0", "type"), ("%A", "authors"), ("%T", "title"), ("%J", "journal"), ("%D", "year"), ("%V", "volume"), ("%N", "issue"), ("%P", "pages"), ("%K", "keywords"), ("%R", "doi"), ("%X", "abstract")],
+}
+
+
+def as_exports(bib: DataFrame, per_file: int = 20, fmt: str = "refworks") -> DataFrame:
+    """(export_id, source_file, text): records written as tagged exports, so many to a file; a line for each author.
+
+    A record without a type is written as Generic, for a record opens with its type.
+    """
+
+    def written(code: str, f: str) -> Column:
+        value = F.coalesce(F.col(f), F.lit(""))
+        if f == "authors":
+            return F.array_join(F.transform(F.split(value, ";"), lambda a: F.concat(F.lit(f"{code} "), a)), "\n")
+        return F.concat(F.lit(f"{code} "), F.when(strip(value) == "", "Generic").otherwise(value) if f == "type" else value)
+
+    lines_ = [written(code, f) for code, f in WRITTEN[fmt]]
+    rows = bib.select(F.floor((F.col("id") - 1) / per_file).alias("export_id"), "id", F.concat_ws("\n", *lines_).alias("t"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x["t"]), "\n")
-    return rows.groupBy("export_id").agg(body.alias("text"))
+    return rows.groupBy("export_id").agg(body.alias("text")).select("export_id", F.format_string("export-%d.txt", "export_id").alias("source_file"), "text")

@@ -16,7 +16,7 @@ META = rf"^>[{R.WS}]*({'|'.join(R.META_KEYS)})[{R.WS}]*[:：][{R.WS}]*([^\n]*)\z
 LAYOUT_META = rf"^>[{R.WS}]*({'|'.join(R.LAYOUT_KEYS)})[{R.WS}]*[:：][{R.WS}]*([^\n]+)\z"
 KEYWORDS = rf"^\*{{0,2}}关键词\*{{0,2}}[{R.WS}]*[:：]"
 REFS_LINE = rf"^#{{1,3}}[{R.WS}]*参考文献[{R.WS}]*\z"
-#: Font, size in points, first-line indent and bold of each kind of block.
+#: Font, size in points, first-line indent and bold of each kind of block.
 STYLES = [("title", "黑体", 18, False, True), ("h1", "黑体", 14, False, True), ("h2", "黑体", 12, False, True), ("quote", "楷体", 10, True, False), ("table", "宋体", 9, False, False), ("p", "宋体", 12, True, False), ("abstract", "楷体", 10, True, False), ("keywords", "楷体", 10, False, False), ("ref", "宋体", 9, False, False)]
 
 

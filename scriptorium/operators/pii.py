@@ -17,6 +17,7 @@ from scriptorium.functions import rules as R
 from scriptorium.functions.text import strip
 from scriptorium.operators.lines import lines
 
+# Kinds of files that carry data of their author.
 DENSE = {".pdf": "高", ".caj": "高", ".doc": "中", ".docx": "中"}
 
 

@@ -15,6 +15,7 @@ Null, empty and blank fields hold no value. Empty values between marks are skipp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from math import log2
@@ -35,6 +36,8 @@ WIDE = r"⺀-鿿豈-﫿（）“”《》"
 DIALECTS = [(c, a, b) for b in (False, True) for a in (False, True) for c in (False, True)]
 #: Values, and shapes, of each column that are broadcast instead of joined; results don't depend on it.
 HOT = 2_000
+#: Longer values and shapes are known by their digest.
+LONG = 64
 #: Bits of a spelled character, of a mark between two values, and of a shape never seen.
 SPELLED, MARK, UNSEEN = 5.0, 3.0, 17.0
 
@@ -76,7 +79,7 @@ def shape(v: Column) -> Column:
     v = F.regexp_replace(v, r"[\p{L}&&[^\p{IsHan}]][\p{L}\p{M}'’\-&&[^\p{IsHan}]]*+", "@")
     v = F.regexp_replace(v, rf"[{WIDE}·《》]{{2,}}+", "#")
     v = F.regexp_replace(v, rf"[{WIDE}]", "%")
-    return F.left(F.regexp_replace(v, r"[0-9]++", "0"), F.lit(24))
+    return F.regexp_replace(v, r"[0-9]++", "0")
 
 
 def long_fields(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
@@ -93,7 +96,8 @@ def _open(field: Column) -> Column:
 def code_book(fields: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """(field_name, key, n) of each repeated value and each shape, and the number of values of each column.
 
-    Counted are the fields on which all dialects agree. A key is a value, or "\\0" + a shape.
+    Counted are the fields on which all dialects agree. A key is a value, or "\\0" + a shape; long ones are digested,
+    so that a key has at most LONG characters, whatever the values are.
     """
     plain = fields.where(~_open(F.col("field"))).select("field_name", F.explode_outer(parse(F.col("field"), False, False, False)).alias("v")).where("v IS NOT NULL")
     quoted = fields.where(F.contains(F.col("field"), F.lit('"')) & _open(F.col("field")))  # what quotes enclose is one value in every dialect
@@ -102,11 +106,20 @@ def code_book(fields: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     counts = cut(plain.unionByName(inside).groupBy("field_name", "v").agg(F.count("*").alias("n")))  # read three times
     shapes = counts.groupBy("field_name", _shape_key(shape(F.col("v"))).alias("key")).agg(F.sum("n").alias("n"))
     totals = {r[0]: r[1] for r in counts.groupBy("field_name").agg(F.sum("n")).collect()}
-    return cut(counts.where("n > 1").select("field_name", F.col("v").alias("key"), "n").unionByName(shapes)), totals
+    return cut(counts.where("n > 1").select("field_name", _key(F.col("v")).alias("key"), "n").unionByName(shapes)), totals
+
+
+def _key(c: Column) -> Column:
+    return F.when(F.length(c) > LONG, F.concat(F.left(c, F.lit(1)), F.md5(F.encode(c, "utf-8")))).otherwise(c)
 
 
 def _shape_key(s: Column) -> Column:
-    return F.concat(F.lit("\0"), s)
+    return _key(F.concat(F.lit("\0"), s))
+
+
+def _plain_key(text: str) -> str:
+    """The same, of a value or a shape at hand."""
+    return text[0] + hashlib.md5(text.encode()).hexdigest() if len(text) > LONG else text
 
 
 def _hot(book: DataFrame, columns: Iterable[str]) -> dict[tuple[str, str], int]:
@@ -121,7 +134,7 @@ def _hot(book: DataFrame, columns: Iterable[str]) -> dict[tuple[str, str], int]:
 
 
 def _bits(total: int, known: Callable[[str], int | None], value: str, look: str) -> float:
-    n, of_shape = known(value), known("\0" + look)
+    n, of_shape = known(_plain_key(value)), known(_plain_key("\0" + look))
     spelled = (UNSEEN if of_shape is None else -log2(of_shape / total)) + SPELLED * len(value)
     return spelled if n is None else min(-log2(n / total), spelled)
 
@@ -157,7 +170,7 @@ def _chosen(fields: DataFrame) -> DataFrame:
         candidates.append(F.when(reduce(and_op, needed), values) if needed else values)
     rows = cut(fields.where(_open(field)).select("id", "field_name", F.array_compact(F.array(*candidates)).alias("candidates")))  # parsed once, read twice
     each = F.array_distinct(F.flatten("candidates"))
-    keys = F.array_distinct(F.concat(F.transform(each, lambda x: x["v"]), F.transform(each, lambda x: _shape_key(x["s"]))))
+    keys = F.array_distinct(F.concat(F.transform(each, lambda x: _key(x["v"])), F.transform(each, lambda x: _shape_key(x["s"]))))
     hot_keys = F.broadcast(spark.createDataFrame(list(hot), "field_name string, key string"))
     rest = rows.select("id", "field_name", F.explode(keys).alias("key")).join(hot_keys, ["field_name", "key"], "left_anti")
     found = rest.join(book, ["field_name", "key"]).groupBy("id", "field_name").agg(F.collect_list(F.struct("key", "n")).alias("found"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
 from scriptorium.operators import bib, cites, lines, manuscript, pii, quality, trace, unpack
-from scriptorium.plans import oracle
+from scriptorium.plans import oracle, seeds
 from scriptorium.session import spread, table
 from scriptorium.sources import files
 
@@ -59,18 +59,23 @@ def _digest(name: str) -> Callable[[], F.Column]:
     return lambda: F.md5(F.encode(name, "utf-8")).alias("digest")
 
 
+def _seeded(operator: Callable[[DataFrame], DataFrame], *shown) -> Query:
+    """A query over all documents, each with the marks of seeds.SEEDS before and after its text, which the tables lack."""
+    return _docs(lambda d: operator(seeds.seeded(d)), *shown)
+
+
 def _rounded(name: str) -> Callable[[], F.Column]:
     return lambda: F.round(name, 6).alias(name)
 
 
-def _fixed(fix: Callable[[F.Column], F.Column]) -> Query:
+def _fixed(fix: Callable[[F.Column], F.Column], query: Callable = _docs) -> Query:
     """Documents that a fix changes, with the length of the text and a digest of it."""
 
     def run(docs: DataFrame) -> DataFrame:
         out = docs.where("text IS NOT NULL").select("doc_id", "text", fix(F.col("text")).alias("fixed"))
         return out.where("fixed <> text").select("doc_id", F.length("fixed").alias("chars"), F.md5(F.encode("fixed", "utf-8")).alias("digest"))
 
-    return _docs(run)
+    return query(run)
 
 
 def _paged(docs: DataFrame) -> DataFrame:
@@ -96,13 +101,6 @@ def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bib.detect_format(exports)
 
 
-def _endnote(b: DataFrame) -> DataFrame:
-    """Records written in the other tagged format."""
-    tags = [("%0", "type"), ("%T", "title"), ("%J", "journal"), ("%D", "year"), ("%X", "abstract")]
-    text = F.concat_ws("\n", *[F.concat(F.lit(f"{t} "), F.coalesce(F.col(f), F.lit(""))) for t, f in tags])
-    return b.select(F.col("id").alias("export_id"), text.alias("text"))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack.unpack(spread(table(spark, sf_dir, "bib"), "id"), ["authors", "keywords"])
 
@@ -124,7 +122,7 @@ def queries() -> dict[str, Query]:
         "long_sentences": _docs(quality.long_sentences),
         "bloated_paragraphs": _docs(quality.bloated_paragraphs),
         "repeated_ngrams": _docs(quality.repeated_ngrams),
-        "filler_hits": _docs(lambda d: quality.filler_hits(d, 1)),
+        "filler_hits": _seeded(quality.filler_hits),
         "version_curve": _docs(quality.version_curve),
         "health_verdict": _docs(quality.health_verdict),
         "near_dup_jaccard": _docs(quality.near_dup_jaccard),
@@ -140,17 +138,17 @@ def queries() -> dict[str, Query]:
         "cite_missing": _docs(cites.cite_missing),
         "cite_extra": _docs(cites.cite_extra),
         "cite_gaps": _docs(cites.cite_gaps),
-        "cite_dup_numbers": _docs(cites.cite_dup_numbers),
-        "cite_zombies": _docs(cites.cite_zombies),
+        "cite_dup_numbers": _seeded(cites.cite_dup_numbers),
+        "cite_zombies": _seeded(cites.cite_zombies),
         "cite_first_order": _docs(cites.cite_first_order),
         "cite_order_mismatch": _docs(cites.cite_order_mismatch),
         "cite_summary": _docs(cites.cite_summary),
-        "cite_verdict": _docs(cites.cite_verdict),
+        "cite_verdict": _seeded(cites.cite_verdict),
         "cite_canonical": _docs(cites.cite_canonical),
         "renumber_map": _docs(cites.renumber_map),
         "renumber_refs": _docs(cites.renumber_refs),
         "renumber_body": _docs(cites.renumber_body, "doc_id", _chars("body"), _digest("body")),
-        "renumber_strict": _docs(lambda d: cites.renumber(d, compress=True), "doc_id", "status", "missing", "changed", _digest("body"), lambda: F.md5(F.encode("refs", "utf-8")).alias("refs_digest")),
+        "renumber_strict": _seeded(lambda d: cites.renumber(d, compress=True), "doc_id", "status", "missing", "changed", _digest("body"), lambda: F.md5(F.encode("refs", "utf-8")).alias("refs_digest")),
         "compress_ranges": _docs(cites.compress_ranges),
         "footnotes": _docs(cites.footnotes),
         "footnote_missing": _docs(cites.footnote_missing),
@@ -159,9 +157,9 @@ def queries() -> dict[str, Query]:
         "footnote_resolve": _docs(cites.footnote_resolve),
         # bibliography
         "bib_detect_format": _formats,
-        "bib_field_lines": _exports(bib.field_lines, "export_id", "rec", "line_no", "code", _chars("value")),
-        "bib_records": _exports(bib.records, "export_id", "rec", "title", "year", "authors", _chars("abstract")),
-        "bib_records_endnote": _bib(lambda b: bib.records(_endnote(b), "endnote"), "export_id", "rec", "title", "journal", "year", _chars("abstract")),
+        "bib_field_lines": _exports(bib.field_lines, "export_id", "source_file", "rec", "line_no", "code", _digest("value")),
+        "bib_records": _exports(bib.records),
+        "bib_records_endnote": _bib(lambda b: bib.records(bib.as_exports(b, fmt="endnote"), "endnote")),
         "bib_dedupe": _bib(bib.dedupe),
         "bib_summary": _bib(bib.summary),
         "bib_top_journals": _bib(bib.top_journals),
@@ -171,35 +169,36 @@ def queries() -> dict[str, Query]:
         "bib_format_law": _bib(bib.format_law),
         "bib_missing_pages": _bib(bib.missing_pages),
         # traces
-        "abstract_split": _docs(trace.abstract_split, "doc_id", _chars("abstract"), _chars("rest")),
-        "lexicon_hits": _docs(lambda d: trace.lexicon_hits(d, [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])),
-        "lexicon_density": _docs(lambda d: trace.lexicon_density(d, 1)),
-        "vague_attribution": _docs(trace.vague_attribution),
-        "inflation_hits": _docs(trace.inflation_hits),
+        "abstract_split": _docs(trace.abstract_split, "doc_id", _digest("abstract"), _chars("rest")),
+        "lexicon_hits": _seeded(lambda d: trace.lexicon_hits(d, [*R.AI_WORDS, *R.FILLER, *R.FORMULAIC])),
+        "lexicon_density": _seeded(trace.lexicon_density),
+        "vague_attribution": _seeded(trace.vague_attribution),
+        "inflation_hits": _seeded(trace.inflation_hits),
         "self_reference": _docs(trace.self_reference),
         "heading_system": _docs(trace.heading_system),
         "punct_profile": _docs(trace.punct_profile),
         "uniformity": _docs(trace.uniformity, "doc_id", "paragraphs", *map(_rounded, ("mean", "sd", "cv"))),
         "trace_verdict": _docs(trace.trace_verdict),
+        "trace_verdict_seeded": _seeded(trace.trace_verdict),
         # punctuation
-        "fix_double_quotes": _fixed(trace.fix_double_quotes),
-        "fix_single_quotes": _fixed(trace.fix_single_quotes),
-        "fix_ellipsis": _fixed(trace.fix_ellipsis),
+        "fix_double_quotes": _fixed(trace.fix_double_quotes, _seeded),
+        "fix_single_quotes": _fixed(trace.fix_single_quotes, _seeded),
+        "fix_ellipsis": _fixed(trace.fix_ellipsis, _seeded),
         "fix_cjk_punct": _fixed(trace.fix_cjk_punct),
         "fix_year_range": _fixed(trace.fix_year_range),
-        "normalize_doc": _docs(lambda d: d.where("text IS NOT NULL").select("doc_id", F.length(trace.normalize_doc(F.col("text"), True)).alias("chars"))),
+        "normalize_doc": _fixed(lambda c: trace.normalize_doc(c, True), _seeded),
         # personal data
-        "pii_hits": _docs(pii.hits),
-        "pii_institutions": _docs(pii.institutions),
+        "pii_hits": _seeded(pii.hits),
+        "pii_institutions": _seeded(pii.institutions),
         "pii_terms": _docs(lambda d: pii.term_hits(d, TERMS)),
         "pii_file_hygiene": _listings(pii.file_hygiene),
-        "pii_severity": _docs(pii.severity),
+        "pii_severity": _seeded(pii.severity),
         # manuscripts and files
-        "md_blocks": _docs(manuscript.blocks, "doc_id", "line_no", "kind", _chars("text")),
-        "md_table_cells": _docs(manuscript.table_cells, "doc_id", "line_no", "col", _chars("cell")),
-        "md_runs": _docs(manuscript.runs, "doc_id", "line_no", "run", "kind", _chars("text")),
-        "layout_blocks": _docs(manuscript.layout, "doc_id", "line_no", "kind", "font", "size", "indent", "bold", _chars("text")),
-        "packet_clean": _docs(manuscript.packet_clean, "doc_id", "title", "comments", "status_lines", "placeholders", "todos", _chars("text")),
+        "md_blocks": _docs(manuscript.blocks, "doc_id", "line_no", "kind", _digest("text")),
+        "md_table_cells": _docs(manuscript.table_cells),
+        "md_runs": _docs(manuscript.runs, "doc_id", "line_no", "run", "kind", _digest("text")),
+        "layout_blocks": _docs(manuscript.layout, "doc_id", "line_no", "kind", "font", "size", "indent", "bold", _digest("text")),
+        "packet_clean": _docs(manuscript.packet_clean, "doc_id", "title", "comments", "status_lines", "placeholders", "todos", _digest("text")),
         "scan_detect": _docs(lambda d: files.scan_detect(_paged(d))),
         "incremental_skip": _skip,
     }

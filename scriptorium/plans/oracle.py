@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scriptorium.functions import rules as R
+from scriptorium.plans import seeds
 
 
 def q(text: str) -> str:
@@ -180,6 +181,107 @@ COMPRESSED = f"SELECT g.doc_id, g.occ, coalesce(shown, '') AS shown FROM ({GROUP
 _PAGE = "SELECT doc_id, n, '===== PAGE ' || n || ' =====' || chr(10) || substring(text, (n - 1) * 2000 + 1, 2000) AS t FROM (SELECT doc_id, text, unnest(range(1, 1 + greatest(1, ceil(length(text) / 2000.0)::INT))) AS n FROM documents WHERE text IS NOT NULL)"
 SCANS = f"SELECT doc_id, count(*) AS pages, sum(length({strip('t')}))::BIGINT AS chars, sum(length({strip('t')})) / count(*)::DOUBLE < 80 AS scanned FROM ({_PAGE}) GROUP BY 1"
 
+_TAGS = {"refworks": [("RT", "type"), ("A1", "authors"), ("T1", "title"), ("JF", "journal"), ("YR", "year"), ("vo", "volume"), ("IS", "issue"), ("OP", "pages"), ("K1", "keywords"), ("DO", "doi"), ("AB", "abstract")]}
+_TAGS["endnote"] = [(t, f) for t, (_, f) in zip(("%0", "%A", "%T", "%J", "%D", "%V", "%N", "%P", "%K", "%R", "%X"), _TAGS["refworks"], strict=True)]
+
+
+def _written(code: str, f: str) -> str:
+    if f == "authors":
+        return f"array_to_string(list_transform(string_split(coalesce(authors, ''), ';'), lambda a: {q(code + ' ')} || a), chr(10))"
+    if f == "type":
+        return f"{q(code + ' ')} || CASE WHEN {strip(_C('type'))} = '' THEN 'Generic' ELSE type END"
+    return f"{q(code + ' ')} || {_C(f)}"
+
+
+def _C(f: str) -> str:
+    return f"coalesce({f}, '')"
+
+
+def _field_lines(fmt: str) -> str:
+    text = " || chr(10) || ".join(_written(c, f) for c, f in _TAGS[fmt])
+    ends = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+    exports = f"SELECT (id - 1) // 20 AS export_id, string_agg({text}, chr(10) ORDER BY id) AS t FROM bib GROUP BY 1"
+    rows = f"SELECT export_id, line_no, {strip('l')} AS line FROM (SELECT export_id, unnest(a) AS l, generate_subscripts(a, 1) AS line_no FROM (SELECT export_id, string_split_regex(t, {q(ends)}) AS a FROM ({exports})))"
+    if fmt == "refworks":
+        known = ", ".join(q(c) for c in [*R.REFWORKS, *R.REFWORKS_OTHER])
+        lower = ", ".join(q(c) for c in R.REFWORKS_OTHER)
+        word = f"regexp_extract(line, '^([A-Za-z][A-Za-z0-9]?)(?:[{R.WS}]|\\z)', 1)"
+        code = f"CASE WHEN {word} IN ({known}) OR lower({word}) IN ({lower}) THEN {word} END"
+        start, value = "starts_with(line, 'RT ')", f"regexp_replace(line, '^[A-Za-z][A-Za-z0-9]?(?:[{R.WS}]+|\\z)', '')"
+    else:
+        code, start, value = "nullif(regexp_extract(line, '^(%[A-Z0-9@!?+*$&])', 1), '')", "starts_with(line, '%0')", f"regexp_replace(line, '^%[A-Z0-9@!?+*$&][{R.WS}]*', '')"
+    a = f"SELECT *, {code} AS code, {start} AS st FROM ({rows}) WHERE line <> ''"
+    b = f"SELECT *, sum(st::INT) OVER (PARTITION BY export_id ORDER BY line_no) AS rec, CASE WHEN code IS NULL THEN line ELSE {value} END AS v FROM ({a})"
+    c = f"SELECT *, sum((code IS NOT NULL)::INT) OVER (PARTITION BY export_id ORDER BY line_no) AS f FROM ({b}) WHERE rec > 0"
+    return f"SELECT export_id, rec::BIGINT AS rec, min(line_no) AS line_no, max(code) AS code, {strip('string_agg(v, chr(32) ORDER BY line_no)')} AS value FROM ({c}) WHERE f > 0 GROUP BY export_id, rec, f"
+
+
+def _records(fmt: str) -> str:
+    named = [f"WHEN code = {q(c)} OR code = {q(c.lower())} THEN {q(f)}" for c, f in _TAGS[fmt]]
+    rows = f"SELECT *, CASE {' '.join(named)} END AS field FROM ({_field_lines(fmt)})"
+    pick = []
+    for _, f in _TAGS[fmt]:
+        if f in ("authors", "abstract"):
+            sep = "; " if f == "authors" else " "
+            x = f"coalesce(string_agg(value, {q(sep)} ORDER BY line_no) FILTER (WHERE field = {q(f)} AND value <> ''), '')"
+            x = strip(sub(x, f"[{R.WS}]+", " ")) if f == "abstract" else x
+        else:
+            x = f"coalesce(arg_min(value, line_no) FILTER (WHERE field = {q(f)}), '')"
+        pick.append(f"{x} AS {f}")
+    return f"SELECT *, 'export-' || export_id || '.txt' AS source_file FROM (SELECT export_id, rec, {', '.join(pick)} FROM ({rows}) GROUP BY 1, 2) WHERE title <> ''"
+
+
+_INNER = "(length(p[i]) > 0 AND " + has("right(p[i], 1)", f"[{R.CJK_KANA}]") + ") OR (length(p[i + 1]) > 0 AND " + has("left(p[i + 1], 1)", f"[{R.CJK_KANA}]") + ")"
+_TURNS = f"list_transform(range(1, len(p)), lambda i: (CASE WHEN {_INNER} THEN 1 ELSE 0 END))"
+
+
+def single(text: str) -> str:
+    """Single quotes beside a wide character made curly, by turns within each line: quote i stands between parts i and i + 1."""
+    lines_ = f"SELECT doc_id, generate_subscripts(a, 1) AS n, string_split(unnest(a), '''') AS p FROM (SELECT doc_id, string_split({text}, chr(10)) AS a FROM t)"
+    turned = f"SELECT doc_id, n, p, {_TURNS} AS k FROM ({lines_})"
+    mark = "CASE WHEN k[i] = 0 THEN '''' WHEN list_sum(k[1:i]) % 2 = 1 THEN '‘' ELSE '’' END"
+    fixed_line = f"SELECT doc_id, n, p[1] || array_to_string(list_transform(range(1, len(p)), lambda i: {mark} || p[i + 1]), '') AS l FROM ({turned})"
+    return f"SELECT doc_id, string_agg(l, chr(10) ORDER BY n) AS f FROM ({fixed_line}) GROUP BY 1"
+
+
+SINGLE = f"WITH t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT s.doc_id, length(f) AS chars, md5(f) AS digest FROM ({single('text')}) s JOIN t USING (doc_id) WHERE f <> text"
+_REST = sub(_wide_marks(sub("f", r"\.{3,}|。{2,}", "……")), rf"([0-9]{{4}})[{R.WS}]*[—–][{R.WS}]*([0-9]{{4}})", r"\1-\2")
+NORMALIZED = f"WITH t AS (SELECT doc_id, text AS raw, {DOUBLE} AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(g) AS chars, md5(g) AS digest FROM (SELECT s.doc_id, raw, {_REST} AS g FROM ({single('text')}) s JOIN t USING (doc_id)) WHERE g <> raw"
+
+# A body is cut at its marks, and put together again with the new ones between.
+_NEWS = f"SELECT x.doc_id, x.occ, list_sort(list_distinct(list(r.new))) AS news FROM ({CITES}) x LEFT JOIN ({CANON}) k ON x.doc_id = k.doc_id AND x.num = k.num JOIN ({RENUMBER}) r ON r.doc_id = x.doc_id AND r.old = coalesce(k.canonical, x.num) GROUP BY 1, 2"
+_PIECES = f"SELECT doc_id, unnest(a) AS piece, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split_regex({BODY}, {q(R.CITATION)}) AS a FROM documents WHERE instr(text, {H}) > 0 AND {has(BODY, R.CITATION)})"
+
+
+def body_with(mark: str) -> str:
+    return f"SELECT p.doc_id, string_agg(piece || coalesce({mark}, ''), '' ORDER BY i) AS body FROM ({_PIECES}) p LEFT JOIN ({_NEWS}) n ON p.doc_id = n.doc_id AND p.i = n.occ GROUP BY 1"
+
+
+BODY_NEW = body_with("'[' || array_to_string(news, '][') || ']'")
+_RUN = f"SELECT doc_id, occ, '[' || string_agg(CASE WHEN b - a >= 2 THEN a || '-' || b WHEN a = b THEN a::VARCHAR ELSE a || '][' || b END, '][' ORDER BY a) || ']' AS m FROM (SELECT doc_id, occ, min(x) AS a, max(x) AS b FROM (SELECT doc_id, occ, x, x - row_number() OVER (PARTITION BY doc_id, occ ORDER BY x) AS k FROM (SELECT doc_id, occ, unnest(news) AS x FROM ({_NEWS}))) GROUP BY doc_id, occ, k) GROUP BY 1, 2"
+_BODY_RUNS = f"SELECT p.doc_id, string_agg(piece || coalesce(m, ''), '' ORDER BY i) AS body FROM ({_PIECES}) p LEFT JOIN ({_RUN}) n ON p.doc_id = n.doc_id AND p.i = n.occ GROUP BY 1"
+REFLINES = f"SELECT r.doc_id, new, '[' || new || '] ' || coalesce(entry, '[待补：原编号 ' || old || ' 的文献条目缺失]') AS line FROM ({RENUMBER}) r LEFT JOIN ({CANON}) c ON r.doc_id = c.doc_id AND r.old = c.num"
+STRICT = f"""WITH canon AS MATERIALIZED ({CANON}), u AS MATERIALIZED (SELECT DISTINCT x.doc_id, coalesce(k.canonical, x.num) AS num FROM ({CITES}) x LEFT JOIN canon k ON x.doc_id = k.doc_id AND x.num = k.num),
+ m AS (SELECT u.doc_id, count(*) AS k FROM u WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.doc_id = u.doc_id AND c.canonical = u.num) GROUP BY 1), g AS (SELECT r.doc_id, count(*) AS k FROM ({RENUMBER}) r JOIN u ON u.doc_id = r.doc_id AND u.num = r.old WHERE r.old <> r.new GROUP BY 1),
+ s AS (SELECT d.doc_id, CASE WHEN NOT {has(BODY.replace('text', 'd.text'), R.CITATION)} THEN 2 WHEN m.k > 0 THEN 1 ELSE 0 END AS status, coalesce(m.k, 0) AS missing, coalesce(g.k, 0) AS changed FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id) WHERE instr(d.text, {H}) > 0)
+ SELECT s.*, md5(CASE WHEN status = 0 THEN b.body END) AS digest, md5(CASE WHEN status = 0 THEN l.t END) AS refs_digest FROM s LEFT JOIN ({_BODY_RUNS}) b USING (doc_id) LEFT JOIN (SELECT doc_id, {H} || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY new) || chr(10) AS t FROM ({REFLINES}) GROUP BY 1) l USING (doc_id)"""
+
+
+def _shown(numbers: str, most: int = 40) -> str:
+    return f"CASE WHEN len({numbers}) = 0 THEN '（空）' ELSE '[' || array_to_string({numbers}[1:{most}], '] [') || ']' || CASE WHEN len({numbers}) > {most} THEN ' … 共 ' || len({numbers}) || ' 个' ELSE '' END END"
+
+
+_LISTED = f"SELECT DISTINCT doc_id, num FROM ({ENTRIES})"
+CHECKED = f"""WITH c AS MATERIALIZED (SELECT doc_id, num, min(place) AS place FROM ({FIRST}) GROUP BY 1, 2), l AS MATERIALIZED ({_LISTED}),
+ a AS (SELECT doc_id, list(num ORDER BY num) AS u, list(num ORDER BY place) FILTER (WHERE num <> place) AS w, count(*) FILTER (WHERE num <> place) AS mismatch, count(*) FILTER (WHERE (doc_id, num) NOT IN (SELECT (doc_id, num) FROM l)) AS missing FROM c GROUP BY 1),
+ b AS (SELECT doc_id, list(num ORDER BY num) AS u, max(num) - count(*) FILTER (WHERE num > 0) AS gaps, count(*) FILTER (WHERE (doc_id, num) NOT IN (SELECT (doc_id, num) FROM c)) AS extra FROM l GROUP BY 1),
+ r AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, num FROM ({ENTRIES}) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), z AS (SELECT doc_id, count(*) AS k FROM ({CANON}) WHERE canonical <> num GROUP BY 1),
+ o AS (SELECT d.doc_id, coalesce(missing, 0) AS missing, coalesce(extra, 0) AS extra, coalesce(gaps, 0) AS gaps, coalesce(r.k, 0) AS repeated, coalesce(z.k, 0) AS zombies, coalesce(mismatch, 0) AS mismatch, coalesce(a.u, []) AS au, coalesce(b.u, []) AS bu, coalesce(a.w, []) AS w
+ FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN z USING (doc_id) WHERE instr(d.text, {H}) > 0)
+ SELECT doc_id, missing, extra, gaps, repeated, zombies, mismatch, {_shown('au')} AS cited_shown, {_shown('bu')} AS listed_shown, {_shown('w', 8)} AS mismatch_shown, (missing + extra + gaps + repeated + zombies + mismatch > 0)::INT AS status FROM o"""
+NOTES_CHECKED = f"""SELECT doc_id, coalesce(count(*) FILTER (WHERE refs > 0 AND defs = 0), 0) AS missing, coalesce(count(*) FILTER (WHERE refs = 0 AND defs > 0), 0) AS unused, coalesce(max(num) FILTER (WHERE defs > 0) - count(*) FILTER (WHERE defs > 0), 0) AS gaps FROM ({NOTES}) GROUP BY 1"""
+
+
 SQL = {
     "paragraphs": f"SELECT doc_id, line_no, length(text) AS text_chars FROM ({PARAGRAPHS})",
     "sentences": f"SELECT doc_id, line_no, sent_no, length(sentence) AS sentence_chars FROM ({SENTENCES})",
@@ -190,7 +292,7 @@ SQL = {
     "long_sentences": f"SELECT doc_id, line_no, sent_no, chars FROM ({MEASURED}) WHERE chars > 150",
     "bloated_paragraphs": BLOATED,
     "repeated_ngrams": NGRAMS,
-    "filler_hits": f"SELECT doc_id, rank, label, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS rank FROM ({FILLER} WHERE hits >= 3)) WHERE rank <= 12",
+    "filler_hits": seeds.sql(f"SELECT doc_id, rank, label, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS rank FROM ({FILLER} WHERE hits >= 3)) WHERE rank <= 12"),
     "doc_stats_baseline": f"SELECT doc_id, n_sentences, n_chars, round(avg_chars, 6) AS avg_chars, round((avg_chars - 47) / 47 * 100, 6) AS deviation, abs((avg_chars - 47) / 47 * 100) <= 20 AS near FROM ({DOC_STATS})",
     "longest": f"SELECT doc_id, 'sentence' AS kind, r AS rank, chars, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, line_no, sent_no) AS r FROM ({MEASURED}) WHERE chars > 150) WHERE r <= 10 UNION ALL SELECT doc_id, 'paragraph', r, chars, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, line_no) AS r FROM ({BLOATED})) WHERE r <= 8",
     "version_curve": CURVE,
@@ -203,14 +305,24 @@ SQL = {
     "cite_missing": f"SELECT DISTINCT doc_id, num FROM ({CITES}) EXCEPT SELECT doc_id, num FROM ({ENTRIES})",
     "cite_extra": f"SELECT DISTINCT doc_id, num FROM ({ENTRIES}) EXCEPT SELECT doc_id, num FROM ({CITES})",
     "cite_gaps": f"SELECT doc_id, b + 1 AS first, num - 1 AS last FROM (SELECT *, coalesce(lag(num) OVER (PARTITION BY doc_id ORDER BY num), 0) AS b FROM (SELECT DISTINCT doc_id, num FROM ({ENTRIES}))) WHERE num > b + 1",
-    "cite_dup_numbers": f"SELECT doc_id, num, count(*) AS n FROM ({ENTRIES}) GROUP BY 1, 2 HAVING count(*) > 1",
-    "cite_zombies": f"SELECT doc_id, canonical AS first_num, num FROM ({CANON}) WHERE canonical <> num",
+    "cite_dup_numbers": seeds.sql(f"SELECT doc_id, num, count(*) AS n FROM ({ENTRIES}) GROUP BY 1, 2 HAVING count(*) > 1"),
+    "cite_zombies": seeds.sql(f"SELECT doc_id, canonical AS first_num, num FROM ({CANON}) WHERE canonical <> num"),
     "cite_first_order": FIRST,
     "cite_order_mismatch": f"SELECT * FROM ({FIRST}) WHERE num <> place",
     "cite_summary": f"SELECT d.doc_id, coalesce(o, 0) AS occurrences, coalesce(c, 0) AS cited, coalesce(e, 0) AS entries, lowest, highest FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS o, count(DISTINCT num) AS c FROM ({CITES}) GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT num) AS e, min(num) AS lowest, max(num) AS highest FROM ({ENTRIES}) GROUP BY 1) USING (doc_id) WHERE instr(d.text, {H}) > 0",
     "cite_canonical": f"SELECT doc_id, num, canonical FROM ({CANON})",
     "renumber_map": RENUMBER,
-    "renumber_refs": f"SELECT r.doc_id, new, '[' || new || '] ' || coalesce(entry, '[待补：原编号 ' || old || ' 的文献条目缺失]') AS line FROM ({RENUMBER}) r LEFT JOIN ({CANON}) c ON r.doc_id = c.doc_id AND r.old = c.num",
+    "renumber_refs": REFLINES,
+    "renumber_body": f"SELECT doc_id, length(body) AS body_chars, md5(body) AS digest FROM ({BODY_NEW})",
+    "renumber_strict": seeds.sql(STRICT),
+    "cite_verdict": seeds.sql(CHECKED),
+    "footnote_verdict": f"SELECT *, (missing + unused + gaps > 0)::INT AS status FROM ({NOTES_CHECKED})",
+    "bib_field_lines": f"SELECT export_id, 'export-' || export_id || '.txt' AS source_file, rec, line_no, code, md5(value) AS digest FROM ({_field_lines('refworks')})",
+    "bib_records": _records("refworks"),
+    "bib_records_endnote": _records("endnote"),
+    "fix_single_quotes": seeds.sql(SINGLE),
+    "normalize_doc": seeds.sql(NORMALIZED),
+    "trace_verdict_seeded": seeds.sql(VERDICT),
     "compress_ranges": COMPRESSED,
     "scan_detect": SCANS,
     "footnotes": NOTES,
@@ -219,28 +331,28 @@ SQL = {
     "footnote_resolve": f"SELECT n.doc_id, n.num, definition, refs FROM ({NOTES}) n JOIN (SELECT doc_id, {num('d')} AS num, arg_max({strip(sub('line', R.NOTE_HEAD + f'[{R.WS}]*'))}, line_no) AS definition FROM ({_NOTES}) WHERE d <> '' GROUP BY 1, 2) d ON n.doc_id = d.doc_id AND n.num = d.num WHERE refs > 0",
     "bib_detect_format": "SELECT DISTINCT (id - 1) // 20 AS export_id, 'refworks' AS fmt FROM bib",
     "bib_dedupe": DEDUPE,
-    "bib_summary": "SELECT count(*) AS records, sum((coalesce(abstract, '') <> '')::INT)::BIGINT AS with_abstract, min(nullif(year, '')) AS first_year, max(nullif(year, '')) AS last_year, count(DISTINCT source_file) AS sources FROM bib",
+    "bib_summary": "SELECT count(*) AS records, sum((coalesce(abstract, '') <> '')::INT)::BIGINT AS with_abstract, min(nullif(year, '')) AS first_year, max(nullif(year, '')) AS last_year, count(DISTINCT source_file) AS sources, array_to_string(list_sort(list(DISTINCT source_file)), ', ') AS source_files FROM bib",
     "bib_top_journals": "SELECT journal, count(*) AS n FROM bib WHERE journal <> '' GROUP BY 1 ORDER BY n DESC, min(id) LIMIT 10",
     "bib_filter": "SELECT id FROM bib WHERE id IN (SELECT bib_id + 3 FROM cite_occ WHERE bib_id IS NOT NULL)",
     "bib_filter_missing": "SELECT DISTINCT bib_id + 3 AS id FROM cite_occ WHERE bib_id IS NOT NULL EXCEPT SELECT id FROM bib",
     "bib_format_gbt": GBT,
     "bib_format_law": LAW,
     "bib_missing_pages": f"SELECT id, p = '' AS no_pages, j = '' AS no_journal FROM ({FORMAT}) WHERE code = 'J' AND (p = '' OR j = '')",
-    "abstract_split": f"SELECT doc_id, length(abstract) AS abstract_chars, length(rest) AS rest_chars FROM ({ABSTRACT})",
-    "lexicon_hits": f"WITH cl AS MATERIALIZED ({CLEAN}) {LEXICON}",
-    "lexicon_density": f"{DENSITY} WHERE total >= 1",
-    "vague_attribution": VAGUE,
-    "inflation_hits": INFLATION,
+    "abstract_split": f"SELECT doc_id, md5(abstract) AS digest, length(rest) AS rest_chars FROM ({ABSTRACT})",
+    "lexicon_hits": seeds.sql(f"WITH cl AS MATERIALIZED ({CLEAN}) {LEXICON}"),
+    "lexicon_density": seeds.sql(f"{DENSITY} WHERE total >= 3"),
+    "vague_attribution": seeds.sql(VAGUE),
+    "inflation_hits": seeds.sql(INFLATION),
     "self_reference": SELF,
     "heading_system": HEADS,
     "punct_profile": PUNCT,
     "uniformity": f"SELECT doc_id, paragraphs, round(mean, 6) AS mean, round(sd, 6) AS sd, round(cv, 6) AS cv FROM ({UNIFORM})",
     "trace_verdict": VERDICT,
-    "fix_double_quotes": fixed(DOUBLE),
-    "fix_ellipsis": fixed(sub("text", r"\.{3,}|。{2,}", "……")),
+    "fix_double_quotes": seeds.sql(fixed(DOUBLE)),
+    "fix_ellipsis": seeds.sql(fixed(sub("text", r"\.{3,}|。{2,}", "……"))),
     "fix_cjk_punct": fixed(_wide_marks("text")),
     "fix_year_range": fixed(sub("text", rf"([0-9]{{4}})[{R.WS}]*[—–][{R.WS}]*([0-9]{{4}})", r"\1-\2")),
-    "pii_institutions": INSTITUTIONS,
+    "pii_institutions": seeds.sql(INSTITUTIONS),
     "pii_terms": f"WITH l AS ({lines()}) SELECT * FROM ({TERMS}) WHERE hits > 0",
     "pii_file_hygiene": f"SELECT path, CASE WHEN regexp_matches(lower(path), '\\.(pdf|caj)$') THEN '高' ELSE '中' END AS severity FROM ({PATHS}) WHERE regexp_matches(lower(path), '\\.(pdf|caj|doc|docx)$')",
     "incremental_skip": "SELECT d.doc_id::VARCHAR AS path, coalesce(m >= saved_at, false) AS skip FROM documents d LEFT JOIN (SELECT doc_id, max(extracted_at) AS m FROM cite_occ GROUP BY 1) USING (doc_id)",
