@@ -55,6 +55,8 @@ INSIDE = re.compile("(?<=[A-Za-z])[\u4e00-\u9fff](?=[a-z])|\\b[\u4e00-\u9fff](?=
 DASH_AS_BIG5 = re.compile("(?<=[0-9])〞(?=[0-9])")
 TWO_BYTES = re.compile("[\x80-\u07ff]{2,}")
 NOT_ASCII = re.compile("[^\x00-\x7f]{2,}")
+#: Letters that none of the languages here is written in, nor made to look like; GBK read as UTF-8 holds them, or lost bytes.
+EXOTIC = re.compile("[\u0180-\u019f\u01a2-\u01ae\u01b1-\u0217\u021c-\u0250\u0252-\u0260\u0262-\u02af\u0590-\u07ff]")
 UTF8_SPAN = re.compile(f"{UTF8}+")
 #: GBK that opens with a level 1 character, as text and names do, and has no ASCII byte.
 GBK_SPAN = re.compile("[\xa1-\xa3\xb0-\xd7][\xa1-\xfe](?:[\xa1-\xfe]{2})*")
@@ -127,6 +129,8 @@ def _gbk_as_big5(text: str) -> tuple[str, str] | None:
     """The text with the span decoded that gains most; both encodings have two bytes a character."""
     out, at, found = [], 0, False
     for m in NOT_ASCII.finditer(text):
+        if not HAN.search(m.group()):  # nearly all characters of Big5 are Chinese: a Russian or Greek word is what it is
+            continue
         pairs = []
         for c in m.group():
             raw = c.encode("cp950", "ignore")
@@ -178,6 +182,8 @@ def _broad(text: str) -> tuple[str, str] | None:
 
 def _gbk_as_utf8(m: re.Match) -> str:
     """The wide characters whose bytes happened to be well-formed UTF-8 of two bytes each, if they were."""
+    if not EXOTIC.search(m.group()) and "\ufffd" not in m.string:
+        return m.group()
     try:
         now = m.group().encode("utf-8").decode("gbk")
     except UnicodeError:
@@ -199,12 +205,11 @@ def examine(text: str | None, depth: int = 3) -> tuple[bool, str | None, str | N
     if not text or not HIGH.search(text):
         return False, None, None
     lost = LOST.search(text) is not None
-    rare = RARE.search(text) is not None
-    if not lost and not rare and not SUSPECT.search(text):
+    if not lost and not RARE.search(text) and not SUSPECT.search(text) and not INSIDE.search(text):
         return False, None, None
     now, how = text, None
     for _ in range(depth):
-        fixed = (SUSPECT.search(now) and _narrow(now)) or (RARE.search(now) and _broad(now)) or None
+        fixed = (SUSPECT.search(now) and _narrow(now)) or ((RARE.search(now) or INSIDE.search(now)) and _broad(now)) or None
         if not fixed or fixed[0] == now:
             break
         now, how = fixed[0], how or fixed[1]
