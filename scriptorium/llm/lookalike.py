@@ -4,9 +4,10 @@ Each value is first mapped, character by character, to what it looks like: full-
 digits, compatibility ideographs and radicals to the plain ones, spaces of any kind to the blank, invisible
 characters to nothing, combining accents to precomposed letters, and letters of another script inside a Latin word
 to Latin ones. A word that is wholly of its own script stays as it is. Distinct values are then grouped in SQL by the
-mapped form under an accent-sensitive Unicode collation, for which canonically equivalent spellings are equal; the
-plainest member of each class, the first in code point order among equals, is its canonical member, and is joined
-back to every row. In page ranges, dashes become hyphens, and letters that stand for digits become digits.
+mapped form under an accent-sensitive Unicode collation, for which canonically equivalent spellings are equal. The
+canonical member of a class is the one that is written as it looks, the first in code point order among several; a
+class in which every member is written otherwise has the form they look like. It is joined back to every row. In page
+ranges, dashes become hyphens, and letters that stand for digits become digits.
 
 The tables are built from the Unicode database, not listed. Punctuation of titles is left alone. Null values have
 no canonical form; empty values keep theirs.
@@ -15,11 +16,13 @@ no canonical form; empty values keep theirs.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Cyrillic, Greek, Armenian and IPA letters, and the Latin letters they look like.
 LIKE_FROM = "АВСЕНІЈКМОРЅТХУԚԜасеіјорѕухһԁԛԝѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινυαρϲոսօցհɡıɑ"
@@ -31,9 +34,8 @@ UNUSUAL = r"[^\x00-\x7f\x{4e00}-\x{9fff}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{130}
 LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
 YEAR = r"(?<![A-Za-z0-9])(?=[lIoO]{0,2}[0-9])(?=[0-9]*[lIoO])[0-9lIoO]{4}(?![A-Za-z0-9])"
 #: A number of a page range in which letters stand for digits; it has a digit, or is made of such letters alone.
-NUMBER = r"(?<![A-Za-z0-9])(?:(?=[lIoO]*[0-9])[0-9lIoO]+|[lIoO]*[oOl][lIoO]*)(?![A-Za-z0-9])|(?<=\b[A-Z])(?=[lIoO]*[0-9])[0-9lIoO]+(?![A-Za-z0-9])"
+NUMBER = r"(?<![A-Za-z0-9])I+(?=-[0-9])|(?<=[0-9]-)I+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:(?=[lIoO]*[0-9])[0-9lIoO]+|[lIoO]*[oOl][lIoO]*)(?![A-Za-z0-9])|(?<=\b[A-Z])(?=[lIoO]*[0-9])[0-9lIoO]+(?![A-Za-z0-9])"
 DASHES = "‐‑‒–—―−﹘﹣－⁃⸺"
-MARKS = "̧̨̀́̂̃̄̆̇̈̊̋̌"
 
 
 @cache
@@ -55,35 +57,16 @@ def _plain_table() -> tuple[str, str]:
     return "".join(before), "".join(after)
 
 
-@cache
-def _composed(mark: str) -> tuple[str, str]:
-    """Letters that have a precomposed form with a mark, and those forms."""
-    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x370, 0x500)] if chr(c).isalpha()]
-    pairs = [(c, n) for c in letters if len(n := unicodedata.normalize("NFC", c + mark)) == 1]
-    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
-
-
 def _let(v: Column, body: Callable[[Column], Column]) -> Column:
     """body(v), with v computed once however often the body names it."""
     return F.get(F.transform(F.array(v), body), F.lit(0))
 
 
-def _with_mark(v: Column, mark: str) -> Column:
-    before, after = _composed(mark)
-
-    def close(parts: Column) -> Column:
-        last = F.size(parts) - 1
-        put = lambda p, i: F.when(i < last, F.concat(F.left(p, F.length(p) - 1), F.translate(F.right(p, F.lit(1)), before, after))).otherwise(p)
-        return F.array_join(F.transform(parts, put), "")
-
-    return _let(F.split(v, mark), close)
-
-
-def _compose(v: Column) -> Column:
-    out = v
-    for mark in MARKS:
-        out = _with_mark(out, mark)
-    return F.when(v.rlike(f"[{MARKS}]"), out).otherwise(v)
+@F.arrow_udf(StringType())
+def _precomposed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Combining marks put on their letters; Spark has no function for it. Null where there are none, as nearly everywhere."""
+    for batch in batches:
+        yield pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in batch.to_pylist()], pa.string())
 
 
 def _latin_words(v: Column) -> Column:
@@ -98,13 +81,18 @@ def _latin_words(v: Column) -> Column:
     return F.when(v.rlike(like), F.array_join(pieces, "")).otherwise(v)
 
 
-def looks(v: Column) -> Column:
-    """What a value looks like, in ordinary characters."""
+def _widths(v: Column) -> Column:
+    """v without invisible characters, and with letters and spaces of the ordinary width and style."""
     before, after = _plain_table()
     out = _let(F.regexp_replace(v, f"[{INVISIBLE}]", ""), lambda x: F.translate(x, before, after))
     for joined in LIGATURES:
         out = F.replace(out, F.lit(joined), F.lit(unicodedata.normalize("NFKC", joined)))
-    plain = F.when(v.rlike(UNUSUAL), _let(_let(out, _compose), _latin_words)).otherwise(v)
+    return F.when(v.rlike(UNUSUAL), out).otherwise(v)
+
+
+def _letters(v: Column) -> Column:
+    """v with letters of another script within Latin words, and letters within years, as what they look like."""
+    plain = F.when(v.rlike(f"[{LIKE_FROM}]"), _let(v, _latin_words)).otherwise(v)
     # A letter within a number of four digits stands for a digit.
     return _let(plain, lambda x: F.when(x.rlike("[0-9][lIoO]|[lIoO][0-9]") & x.rlike(YEAR), _digits_of(x, YEAR)).otherwise(x))
 
@@ -115,24 +103,29 @@ def _digits_of(v: Column, number: str) -> Column:
     return _let(digits, lambda d: F.array_join(F.transform(F.split(v, number), lambda b, i: F.concat(b, F.coalesce(F.get(d, i), F.lit("")))), ""))
 
 
-def looks_as_pages(v: Column) -> Column:
-    """What a page range looks like: as looks, with hyphens, and with digits for letters that stand for them."""
+def _page_digits(v: Column) -> Column:
+    """A page range with hyphens, and with digits for letters that stand for them."""
+    return _digits_of(F.translate(v, DASHES + "Ƽ", "-" * len(DASHES) + "5"), NUMBER)
 
-    def digits(x: Column) -> Column:
-        return _digits_of(F.translate(x, DASHES + "Ƽ", "-" * len(DASHES) + "5"), NUMBER)
 
-    return F.when(v.rlike(r"^[\s\u00a0\u3000]*[-/—–]*[\s\u00a0\u3000]*$"), v).otherwise(_let(looks(v), digits))
+def looks(df: DataFrame) -> DataFrame:
+    """(field_name, value, ...) with mapped: what each value looks like, in ordinary characters."""
+    marked = F.col("_w").rlike("[\u0300-\u036f]")
+    out = df.withColumn("_w", _widths(F.col("value")))
+    out = out.withColumn("_c", F.coalesce(_precomposed(F.when(marked, F.col("_w"))), F.col("_w")))
+    nothing = F.col("value").rlike(r"^[\s\u00a0\u3000]*[-/—–]*[\s\u00a0\u3000]*$")
+    pages = F.when(nothing, F.col("value")).otherwise(_let(_letters(F.col("_c")), _page_digits))
+    return out.withColumn("mapped", F.when(F.col("field_name") == "pages", pages).otherwise(_letters(F.col("_c")))).drop("_w", "_c")
 
 
 def canonical(values: DataFrame) -> DataFrame:
     """(field_name, value, canonical, n) of each distinct value of (field_name, value)."""
     distinct = values.where("value IS NOT NULL").groupBy("field_name", "value").agg(F.count("*").alias("n"))
-    mapped = distinct.withColumn("mapped", F.when(F.col("field_name") == "pages", looks_as_pages(F.col("value"))).otherwise(looks(F.col("value"))))
-    # A value that equals what it looks like is the plainest of its class; where a class lacks it, it is made.
+    mapped = looks(distinct)
     return values.sparkSession.sql(
         """
-        SELECT field_name, value, min(mapped) OVER (PARTITION BY field_name, mapped COLLATE UNICODE) AS canonical, n
-        FROM {mapped}
+        SELECT field_name, value, n, coalesce(min(CASE WHEN value = mapped THEN value END) OVER alike, min(mapped) OVER alike) AS canonical
+        FROM {mapped} WINDOW alike AS (PARTITION BY field_name, mapped COLLATE UNICODE)
         """,
         mapped=mapped,
     )
