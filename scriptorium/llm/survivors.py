@@ -18,13 +18,17 @@ listed have the lowest trust. A file listed again keeps its latest listing.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.session import cut
 
 NOTHING = r"(?i)^[\s　]*(?:n/?a|none|null|nil|nan|unknown|missing|not available|无|不详|未知|暂缺|暂无|缺|空|[?？.。…/\\_—–-]+)?[\s　]*$"
-ROUNDS, TOLERANCE = 20, 1e-4
+ROUNDS, TOLERANCE = 100, 1e-4
+#: Characters by which a group's abstracts are spread when those that continue one another are looked for.
+PREFIX = 16
 #: What the end of a value looks like that was cut short, for each field.
 CUT = {
     "pages": r"[-~–—‐‑‒−－][\s?？.…]*$|[?？…]+\s*$",
@@ -57,20 +61,38 @@ def claims(members: DataFrame, records: DataFrame, files: DataFrame, fields: lis
     return out.withColumn("whole", ~_cut_short(F.col("field_name"), F.col("value")))
 
 
+def _begun(c: DataFrame) -> DataFrame:
+    """(group_id, value) of each abstract of fewer than PREFIX characters with which a longer one of its group begins.
+
+    Only groups that have so short an abstract are looked at, and of their abstracts only the first characters.
+    """
+    a = c.where("field_name = 'abstract'").select("group_id", F.left("value", F.lit(PREFIX)).alias("p")).distinct()
+    short = a.where(F.length("p") < PREFIX)
+    longer = a.join(short.select("group_id").distinct(), "group_id", "left_semi")
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 1), lambda k: F.left(F.col("p"), k))).alias("p")
+    begins = longer.where(F.length("p") > 1).select("group_id", begins).distinct()
+    return short.join(begins, ["group_id", "p"], "left_semi").select("group_id", F.col("p").alias("value"))
+
+
 def survivors(members: DataFrame, records: DataFrame, files: DataFrame, fields: list[str]) -> DataFrame:
     """(group_id, field_name, id, value, trust, votes) of the surviving value of each field of each group.
 
     Votes are combined for each value, then for each field, both before they are shuffled, so that a group of any
     size travels as few rows. An abstract that another one of its group continues was cut short, too; such a pair has
-    its first characters in common, so that a group is spread over them.
+    its first characters in common, so that a group is spread over them; abstracts shorter than that are looked up
+    among the beginnings of the others.
     """
-    c = claims(members, records, files, fields)
+    c = cut(claims(members, records, files, fields))  # read for the values, and for their beginnings
     when = F.coalesce(F.col("exported_at"), F.timestamp_micros(F.lit(0)))
     vote = F.struct(F.col("trust").alias("trust"), when.alias("exported_at"), (-F.col("id")).alias("minus_id"))
     values = c.groupBy("group_id", "field_name", "value").agg(F.max(vote).alias("v"), F.count("*").alias("n"), F.max("whole").alias("whole"))
-    near = Window.partitionBy("group_id", "field_name", F.left("value", F.lit(16))).orderBy("value")
+    near = Window.partitionBy("group_id", "field_name", F.left("value", F.lit(PREFIX))).orderBy("value")
     values = values.withColumn("next", F.lead("value").over(near))
-    continued = (F.col("field_name") == "abstract") & (F.length("value") >= 16) & F.startswith(F.col("next"), F.col("value"))
+    short = (F.col("field_name") == "abstract") & (F.length("value") < PREFIX)
+    begun = _begun(c).select(F.col("group_id").alias("_g"), F.col("value").alias("begun"))
+    values = values.join(begun, short & (F.col("group_id") == F.col("_g")) & (F.col("value") == F.col("begun")), "left").drop("_g")
+    goes_on = (F.length("value") >= PREFIX) & F.startswith(F.col("next"), F.col("value"))
+    continued = (F.col("field_name") == "abstract") & (goes_on | F.col("begun").isNotNull())
     whole = (F.col("whole") & ~F.coalesce(continued, F.lit(False))).cast("int")
     strength = F.struct(whole.alias("whole"), F.col("v"))
     top = values.groupBy("group_id", "field_name").agg(F.max_by(F.struct("value", "v"), strength).alias("best"), F.sum("n").alias("votes"))
@@ -104,5 +126,7 @@ def truths(members: DataFrame, records: DataFrame, files: DataFrame, fields: lis
         weight = new
         if moved < TOLERANCE:
             break
+    else:
+        warnings.warn(f"reliabilities still moved by {moved:.2g} after {ROUNDS} rounds", stacklevel=2)
     best = F.max_by(F.struct("value", "support", "votes"), F.struct("support", "votes", "value")).alias("b")
     return supported().groupBy("group_id", "field_name").agg(best).select("group_id", "field_name", "b.value", F.round("b.support", 6).alias("support"), "b.votes")
