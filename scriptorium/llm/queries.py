@@ -105,19 +105,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(_docs(spark, sf_dir), _shared(spark))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _docs(spark, sf_dir).select("doc_id", "source", "text")
-    counts = cut(bpe.token_counts(docs, _shared(spark)))  # three short columns, used for the rates and the draw
-    rate_table = mixture.rates(counts, table(spark, sf_dir, "mix_target"))
-    return mixture.draw(counts, rate_table), rate_table
+    counts = cut(bpe.token_counts(docs, _shared(spark)))  # three short columns, read again for the rates and the report
+    return counts, cut(mixture.rates(counts, table(spark, sf_dir, "mix_target")))
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir)[0]
+    _, rate_table = _rates(spark, sf_dir)
+    return mixture.draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), rate_table)
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.report(*_mixture(spark, sf_dir))
+    counts, rate_table = _rates(spark, sf_dir)
+    return mixture.report(mixture.draw(counts, rate_table), rate_table)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
