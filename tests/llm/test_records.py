@@ -147,3 +147,35 @@ def test_truths_of_fields_cut_short(spark):
     # a whole value goes before any number of those cut short; a field with nothing else keeps them
     assert got == {(1, "pages"): ("1-9", 1), (1, "doi"): ("10.1/", 3), (1, "abstract"): ("甲乙丙。", 1), (1, "volume"): ("3", 1), (2, "pages"): ("4-", 1)}
     assert set(got) == {(r["group_id"], r["field_name"]) for r in survivors.survivors(members, records, files, fields).collect()}
+
+
+def test_short_abstracts_that_go_on(spark):
+    whole, cut = "甲乙丙丁。戊己庚。", "甲乙丙丁。"
+    columns = "id long, source_file string, pages string, doi string, abstract string, volume string"
+    records = spark.createDataFrame([(1, "a", None, None, cut, None), (2, "b", None, None, whole, None), (3, "a", None, None, cut, None), (4, "b", None, None, "子丑。", None), (5, "a", None, None, "子。", None)], columns)
+    files = spark.createDataFrame([("a", 5, "2020", "2020", "s"), ("b", 1, "2020", "2020", "t")], "source_file string, trust int, exported_at string, loaded_at string, site string").selectExpr("source_file", "trust", "timestamp(exported_at || '-01-01') AS exported_at", "loaded_at", "site")
+    members = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (3, 4), (3, 5)], "group_id long, id long")
+    got = {r["group_id"]: r["id"] for r in survivors.survivors(members, records, files, ["abstract"]).collect()}
+    assert got == {1: 2, 2: 3, 3: 5}
+
+
+def test_members_of_hot_ways_of_writing(spark):
+    rows = [(i, "Title" if i % 3 else "title!", "A; B", "f") for i in range(1500)] + [(i, f"t{i}", None, "f") for i in range(1500, 1600)] + [(2000, "t1500", None, "f"), (2001, "t1501", "", "f")]
+    d = spark.createDataFrame(rows, "id long, title string, authors string, source_file string")
+    got = {r["id"]: (r["class_id"], r["copies"]) for r in loose.members(d).collect()}
+    assert len(got) == 1504 and got[7] == (0, 1500) and got[2000] == (1500, 2) and got[2001] == (1501, 2)
+
+
+@pytest.mark.parametrize("title", ["Реестр and νόμος: ｄesign of labour escrow", "SaаЅ时代商标程序的完善", "La fidélité\xa0et la équité", "“任意性合规”：\xad\xad食品法", "Реес\u200dтр and νόμος"])
+def test_foreign_words_and_look_alikes_are_not_garbled(title):
+    assert encoding.examine(title) == (False, None, None)
+
+
+def test_a_latin_letter_read_as_a_wide_character():
+    assert encoding.examine("M眉ller")[1] == "Müller" and encoding.examine("基于web的")[0] is False
+
+
+def test_composed_letters_are_the_canonical_ones(spark):
+    d = spark.createDataFrame([(1, "b\u01a1", None), (2, "bo\u031b", None), (3, "Vie\u0323\u0302t", "I-9"), (4, "Vi\u1ec7t", "3-II"), (5, "\uff45\u0301", "A1-A2")], "id long, title string, pages string")
+    got = sorted((r["id"], r["field_name"]) for r in lookalike.odd_fields(d, ["title", "pages"]).collect())
+    assert got == [(2, "title"), (3, "pages"), (3, "title"), (4, "pages"), (5, "title")]
