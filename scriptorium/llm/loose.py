@@ -2,8 +2,13 @@
 
 Byte-identical rows are collapsed first, with their counts. Only the distinct survivors are brought to canonical
 text, and these are grouped again on that whole text, the counts summed. A hot group thus travels as one row for
-each way of writing it. Where pairs of members are wanted, a class is cut into blocks of ``BLOCK`` members: one side
-of a pair goes to its own block, the other to each block, so that no task holds a large class.
+each way of writing it.
+
+Where members are wanted, texts are named by the 256-bit digest of the whole of them, so that what is grouped and
+joined after the first collapse is short. Ways of writing that hold a thousandth of all records or more are at most a
+thousand; records come to these by broadcast, so that no key of the join back is hot. Where pairs are wanted, a class is
+cut into blocks of ``BLOCK`` members: one side of a pair goes to its own block, the other to each block, so that no
+task holds a large class.
 
 Canonical text: letters and digits in lower case. Names lose their order, and the order of their parts; the word
 *and* and a blank inside a name of wide characters are left aside. Missing names equal only missing names.
@@ -15,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut
+
 KEYS = ["title", "authors", "source_file"]
 CANON = ["_title", "_authors", "_file"]
 BLOCK = 512
@@ -54,13 +61,26 @@ def collapse(records: DataFrame) -> DataFrame:
     return classes.select("id", *[F.col(f"r.{k}").alias(k) for k in KEYS], "copies", "writings")
 
 
+def _digest(columns: list[str]) -> Column:
+    """Names the texts of columns together, null apart from empty; each is led by its length."""
+    text = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns]
+    return F.unhex(F.sha2(F.encode(F.concat(*text), "utf-8"), 256))
+
+
 def members(records: DataFrame) -> DataFrame:
     """(id, class_id, copies) of each record that has a copy."""
-    ways = _survivors(records)
-    classes = ways.groupBy(*CANON).agg(F.min("first_id").alias("class_id"), F.sum("n").alias("copies")).where("copies > 1")
-    of_way = ways.join(classes, CANON).select(*[F.col(k).alias(f"_{k}_raw") for k in KEYS], "class_id", "copies")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}_raw")) for k in KEYS]
-    return records.select("id", *KEYS).join(of_way, same[0] & same[1] & same[2]).select("id", "class_id", "copies")
+    ways = cut(_survivors(records).select(_digest(KEYS).alias("way"), _digest(CANON).alias("class"), "n", "first_id"))  # read three times
+    classes = ways.groupBy("class").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("copies")).where("copies > 1")
+    of_way = ways.join(classes, "class").select("way", "n", "class_id", "copies")
+    total = ways.agg(F.sum("n")).first()[0] or 0  # one row
+    hot = F.col("n") * 1000 >= total
+    rows = records.select("id", _digest(KEYS).alias("way"))
+    if ways.where(hot).limit(1).count() == 0:
+        return rows.join(of_way, "way").select("id", "class_id", "copies")
+    few = F.broadcast(of_way.where(hot).select("way", "class_id", "copies"))  # at most a thousand rows
+    found = rows.join(few, "way", "left")
+    rest = found.where("class_id IS NULL").select("id", "way").join(of_way.where(~hot), "way")
+    return found.where("class_id IS NOT NULL").select("id", "class_id", "copies").unionByName(rest.select("id", "class_id", "copies"))
 
 
 def pairs(records: DataFrame) -> DataFrame:
