@@ -17,7 +17,13 @@ LAYOUT_META = rf"^>[{R.WS}]*({'|'.join(R.LAYOUT_KEYS)})[{R.WS}]*[:：][{R.WS}]*(
 KEYWORDS = rf"^\*{{0,2}}关键词\*{{0,2}}[{R.WS}]*[:：]"
 REFS_LINE = rf"^#{{1,3}}[{R.WS}]*参考文献[{R.WS}]*\z"
 #: Font, size in points, first-line indent and bold of each kind of block.
-STYLES = [("title", "黑体", 18, False, True), ("h1", "黑体", 14, False, True), ("h2", "黑体", 12, False, True), ("quote", "楷体", 10, True, False), ("table", "宋体", 9, False, False), ("p", "宋体", 12, True, False), ("abstract", "楷体", 10, True, False), ("keywords", "楷体", 10, False, False), ("ref", "宋体", 9, False, False)]
+STYLES = [
+    ("title", "黑体", 16.0, False, False), ("subtitle", "黑体", 14.0, False, False), ("author", "楷体", 12.0, False, False), ("running_head", "楷体", 9.0, False, False),
+    ("abstract", "楷体", 12.0, True, False), ("keywords", "楷体", 12.0, False, False), ("h1", "黑体", 15.0, False, False), ("h2", "黑体", 12.0, False, False),
+    ("quote", "楷体", 12.0, True, False), ("table", "宋体", 9.0, False, False), ("p", "宋体", 12.0, True, False), ("ref", "宋体", 10.5, False, False),
+]
+#: What lines of the header block are printed as.
+META_KINDS = {"题目": "title", "副标题": "subtitle", "作者": "author", "页眉": "running_head"}
 
 
 def unwrap(c: Column) -> Column:
@@ -27,8 +33,8 @@ def unwrap(c: Column) -> Column:
     return F.when(s.startswith("《") & s.endswith("》") & (F.length(s) > 2) & ~F.contains(inner, F.lit("》")), strip(inner)).otherwise(s)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, kind, text): each line of a manuscript that isn't blank or a rule, and what it is.
+def blocks(docs: DataFrame, with_keys: bool = False) -> DataFrame:
+    """(doc_id, line_no, kind, text[, key]): each line of a manuscript that isn't blank or a rule, and what it is.
 
     Kinds: meta, title, note, abstract, keywords, ref (a numbered entry), ref_more (its continuation), h1, h2,
     quote, table, p. The header block lasts until the first line of another kind.
@@ -76,7 +82,8 @@ def blocks(docs: DataFrame) -> DataFrame:
         .when(k == "quote", strip(F.expr("substring(s, 3)")))
         .otherwise(s)
     )
-    return rows.select("doc_id", "line_no", "kind", text.alias("text"))
+    keys = [F.when(k == "meta", F.regexp_extract("s", LAYOUT_META, 1)).alias("key")] if with_keys else []
+    return rows.select("doc_id", "line_no", "kind", text.alias("text"), *keys)
 
 
 def table_cells(docs: DataFrame) -> DataFrame:
@@ -108,10 +115,22 @@ def runs(docs: DataFrame) -> DataFrame:
 def layout(docs: DataFrame, profile: str = "journal", keep_refs: bool = False) -> DataFrame:
     """(doc_id, line_no, kind, font, size, indent, bold, text): blocks with their style.
 
-    The journal profile prints references; the footnote profile only if keep_refs is set.
+    Lines of the header block are printed by what they name; a title there comes before one in the text. Continued
+    entries are part of the entry before them. The journal profile prints references; the footnote profile only if
+    keep_refs is set.
     """
-    styles = docs.sparkSession.createDataFrame(STYLES, "kind string, font string, size int, indent boolean, bold boolean")
-    out = blocks(docs).join(F.broadcast(styles), "kind")  # one row for each kind
+    styles = docs.sparkSession.createDataFrame(STYLES, "kind string, font string, size double, indent boolean, bold boolean")
+    b = blocks(docs, with_keys=True)
+    names = F.create_map(*[F.lit(x) for pair in META_KINDS.items() for x in pair])
+    kind = F.when(F.col("kind") == "meta", F.try_element_at(names, F.col("key"))).when(F.col("kind") == "ref_more", "ref").otherwise(F.col("kind"))
+    per_doc = Window.partitionBy("doc_id").orderBy("line_no")
+    named = F.max(F.coalesce((F.col("kind") == "meta") & (F.col("key") == "题目"), F.lit(False))).over(Window.partitionBy("doc_id"))
+    entry = F.sum((F.col("kind") == "ref").cast("int")).over(per_doc)
+    b = b.withColumns({"named": named, "entry": F.when(F.col("kind").isin("ref", "ref_more"), entry), "out": kind}).where("out IS NOT NULL AND NOT (kind = 'title' AND named)")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")
+    key = F.coalesce(F.when(F.col("entry").isNotNull(), -F.col("entry")), F.col("line_no").cast("bigint"))
+    b = b.groupBy("doc_id", key.alias("k"), F.col("out").alias("kind")).agg(F.min("line_no").alias("line_no"), whole.alias("text"))
+    out = b.join(F.broadcast(styles), "kind")  # one row for each kind
     if profile == "footnote" and not keep_refs:
         out = out.where("kind <> 'ref'")
     return out.select("doc_id", "line_no", "kind", "font", "size", "indent", "bold", "text")

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
@@ -27,18 +27,28 @@ def _python(pattern: str) -> str:
     return p.replace(r"[\p{L}\p{N}_", r"[\w").replace(r"\p{L}\p{N}_", r"\w").replace(r"\z", r"\Z")
 
 
+#: Rules by name that only texts with one of these characters or words can match: a cheap test before the rule itself.
+_HINTS = [r"@", r"1[3-9][0-9]{9}", r"[0-9]{17}", r"[0-9]{8}", r":[\\/](?:Users|用户)", r"[A-Za-z]:[\\/]", r"/(?:home|Users)/", r"(?:大学|学院|研究院)", r"作者|姓名|著作人|执笔人", r"《", r"[A-Z]{2}", r"[A-Z]{2}"]
+
+
 def hits(docs: DataFrame, allow: list[str] = (), surnames: str = R.SURNAMES) -> DataFrame:
-    """(doc_id, category, severity, description, line, fragment): a table function with offsets, for rules may cross lines."""
+    """(doc_id, category, severity, description, line, fragment): what the rules find, with its line.
+
+    A text goes to a rule only if it holds what the rule can't match without, which is tested where it is read; most
+    texts thus never leave the scan, and the rest come with the numbers of the rules that are to be run. Rules may
+    cross lines, so lines are counted from offsets.
+    """
     rules = [(c, s, d, re.compile(_python(p))) for c, s, d, p in R.PII_RULES]
     redacted = re.compile(_python(R.REDACTED))
     field = re.compile(r"^(?:作者|姓名|著作人|执笔人)\s*[:：]\s*")
     columns = ["doc_id", "category", "severity", "description", "line", "fragment"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for category, severity, description, rule in rules if text else ():
+            for i, text, due in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for category, severity, description, rule in (rules[k] for k in due):
                     at, line = 0, 1
                     for m in rule.finditer(text):
                         fragment = m.group().strip()
@@ -48,10 +58,12 @@ def hits(docs: DataFrame, allow: list[str] = (), surnames: str = R.SURNAMES) ->
                             continue
                         line, at = line + text.count("\n", at, m.start()), m.start()
                         rows.append((i, category, severity, description, line, fragment[:80]))
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()], strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, category string, severity string, description string, line int, fragment string")
+    due = F.array_compact(F.array(*[F.when(F.col("text").rlike(h), F.lit(k)) for k, h in enumerate(_HINTS)]))
+    suspects = docs.select("doc_id", "text", due.alias("due")).where(F.col("text").rlike("|".join(dict.fromkeys(_HINTS))))
+    return suspects.mapInArrow(run, "doc_id bigint, category string, severity string, description string, line int, fragment string")
 
 
 def institutions(docs: DataFrame, allow: list[str] = ()) -> DataFrame:
@@ -78,9 +90,24 @@ def term_hits(docs: DataFrame, terms: list[str]) -> DataFrame:
     return out.select("doc_id", "line_no", "x.term", "x.hits")
 
 
+#: Kinds of files that are read as text, and kinds that aren't.
+TEXT_KINDS = [".md", ".markdown", ".txt", ".py", ".json", ".yml", ".yaml", ".toml", ".ini", ".cfg", ".html", ".htm", ".js", ".ts", ".css", ".sh", ".bat", ".ps1", ".csv", ".tsv", ""]
+BINARY_KINDS = [".pdf", ".caj", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".png", ".jpg", ".jpeg", ".gif", ".zip", ".7z", ".rar", ".pyc", ".exe", ".dll"]
+
+
+def _extension() -> Column:
+    return F.lower(F.regexp_extract("path", r"[^./\\](\.[^./\\]*)$", 1))
+
+
+def file_kinds(files: DataFrame) -> DataFrame:
+    """(path, kind) of each file: text, binary, or other; only texts are scanned."""
+    ext = _extension()
+    return files.select("path", F.when(ext.isin(BINARY_KINDS), "binary").when(ext.isin(TEXT_KINDS), "text").otherwise("other").alias("kind"))
+
+
 def file_hygiene(files: DataFrame) -> DataFrame:
     """(path, severity) of each file whose kind carries data of its author."""
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
+    ext = _extension()
     table = F.create_map(*[F.lit(x) for pair in DENSE.items() for x in pair])
     return files.select("path", F.try_element_at(table, ext).alias("severity")).where("severity IS NOT NULL")
 

@@ -61,7 +61,7 @@ def long_sentences(docs: DataFrame, most: int = 150) -> DataFrame:
     return measured_sentences(docs).where(F.col("chars") > most).select("doc_id", "line_no", "sent_no", "chars")
 
 
-def _bloated(text: Column, most: int) -> Column:
+def bloated_array(text: Column, most: int) -> Column:
     """(line_no, chars, text) of each paragraph of a body longer than most."""
     each = F.transform(prose_array(text), lambda x: F.struct(x["line_no"].alias("line_no"), F.length(measured(x["text"])).alias("chars"), x["text"].alias("text")))
     return F.filter(each, lambda x: x["chars"] > most)
@@ -69,7 +69,7 @@ def _bloated(text: Column, most: int) -> Column:
 
 def bloated_paragraphs(docs: DataFrame, most: int = 500) -> DataFrame:
     """(doc_id, line_no, chars) of each paragraph longer than most."""
-    return each(docs, ["doc_id"], _bloated(body(F.col("text")), most)).select("doc_id", "x.line_no", "x.chars")
+    return each(docs, ["doc_id"], bloated_array(body(F.col("text")), most)).select("doc_id", "x.line_no", "x.chars")
 
 
 def longest(docs: DataFrame, sentences: int = 10, paragraphs: int = 8, long: int = 150, bloated: int = 500) -> DataFrame:
@@ -84,7 +84,7 @@ def longest(docs: DataFrame, sentences: int = 10, paragraphs: int = 8, long: int
         return F.transform(top(items, k), lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("rank"), (-x["m"]).alias("chars"), x["line_no"].alias("line_no")))
 
     too_long = F.filter(sentence_array(F.col("b")), lambda x: x["chars"] > long)
-    both = F.concat(named("sentence", too_long, sentences), named("paragraph", _bloated(F.col("b"), bloated), paragraphs))
+    both = F.concat(named("sentence", too_long, sentences), named("paragraph", bloated_array(F.col("b"), bloated), paragraphs))
     return each(d, ["doc_id"], both).select("doc_id", "x.*")
 
 
@@ -117,7 +117,7 @@ def bar(marks: Column) -> Column:
     return F.repeat(F.lit("█"), F.greatest(F.lit(1), F.bround(marks, 0).cast("int")))
 
 
-def _filler(text: Column, least: int) -> Column:
+def filler_array(text: Column, least: int) -> Column:
     """(label, hits) of each filler phrase that a body has at least so often, notes left aside; the most frequent first."""
     counts = lambda b: F.array(*[F.struct((-matches(b, p)).alias("m"), F.lit(i).alias("i"), F.lit(label).alias("label")) for i, (p, label) in enumerate(R.FILLER_PATTERNS)])
     some = let(without_notes(text), lambda b: F.when(b.rlike("|".join(p for p, _ in R.FILLER_PATTERNS)), counts(b)))
@@ -127,7 +127,7 @@ def _filler(text: Column, least: int) -> Column:
 
 def filler_hits(docs: DataFrame, least: int = 3, top: int = 12) -> DataFrame:
     """(doc_id, rank, label, hits) of the top filler phrases that a body has at least so often; equal ones in the order of the patterns."""
-    return each(docs, ["doc_id"], F.slice(_filler(body(F.col("text")), least), 1, top), "x", "rank").select("doc_id", "rank", "x.label", "x.hits")
+    return each(docs, ["doc_id"], F.slice(filler_array(body(F.col("text")), least), 1, top), "x", "rank").select("doc_id", "rank", "x.label", "x.hits")
 
 
 def without_notes(text: Column) -> Column:
@@ -373,7 +373,7 @@ def health_verdict(docs: DataFrame, least: float = 0.65, long: int = 150, bloate
     b = body(F.col("text"))
     size = lambda c: F.size(c).cast("bigint")
     here = docs.where("text IS NOT NULL").select(
-        "doc_id", size(F.filter(sentence_array(b), lambda x: x["chars"] > long)).alias("long_sentences"), size(_bloated(b, bloated)).alias("bloated"), size(F.slice(_filler(b, 3), 1, 12)).alias("filler")
+        "doc_id", size(F.filter(sentence_array(b), lambda x: x["chars"] > long)).alias("long_sentences"), size(bloated_array(b, bloated)).alias("bloated"), size(F.slice(filler_array(b, 3), 1, 12)).alias("filler")
     )
     linked = near_pairs(docs, least).select("doc_id", (F.col("copies_a") * F.col("copies_b")).alias("k"))
     copied = sentence_classes(docs).where("copies > 1").select("doc_id", F.expr("copies * (copies - 1) div 2").alias("k"))

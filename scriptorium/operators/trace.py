@@ -62,7 +62,7 @@ def abstract_split(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", strip(F.col("abstract")).alias("abstract"), "rest")
 
 
-def _dense(paras: Column, least: int) -> Column:
+def dense_paragraphs(paras: Column, least: int) -> Column:
     """(line_no, total, chars) of each paragraph with so many phrases of the lexicon."""
     total = lambda t: sum((literal_count(t, w) for w in R.AI_WORDS), F.lit(0))
     one = lambda p: let(uncited(p["text"]), lambda t: F.struct(p["line_no"].alias("line_no"), total(t).alias("total"), F.length(t).alias("chars")))
@@ -73,10 +73,10 @@ def _dense(paras: Column, least: int) -> Column:
 
 def lexicon_density(docs: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, line_no, total, chars) of each paragraph with so many phrases of the lexicon."""
-    return each(scan(docs), ["doc_id"], _dense(F.col("paras"), least)).select("doc_id", "x.line_no", "x.total", "x.chars")
+    return each(scan(docs), ["doc_id"], dense_paragraphs(F.col("paras"), least)).select("doc_id", "x.line_no", "x.total", "x.chars")
 
 
-def _vague(clean: Column) -> Column:
+def vague_array(clean: Column) -> Column:
     """(minus, i, w): attributions without a source, by hits, then in the order of the lexicon."""
     counts = F.array(*[F.struct((-literal_count(clean, w)).alias("minus"), F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(R.VAGUE)])
     ranked = F.array_sort(F.filter(counts, lambda x: x["minus"] < 0))
@@ -96,11 +96,11 @@ def vague_attribution(docs: DataFrame) -> DataFrame:
     Phrases are taken by hits, then in the order of the lexicon; one that is part of a phrase taken before is left
     out.
     """
-    out = each(_cleaned(docs), ["doc_id"], let(F.col("clean"), _vague))
+    out = each(_cleaned(docs), ["doc_id"], let(F.col("clean"), vague_array))
     return out.select("doc_id", F.col("x.w").alias("phrase"), (-F.col("x.minus")).alias("hits"))
 
 
-def _inflated(clean: Column) -> Column:
+def inflated_array(clean: Column) -> Column:
     """(category, hits): what the patterns of each category match."""
     rows = []
     for category, patterns in R.INFLATION.items():
@@ -111,7 +111,7 @@ def _inflated(clean: Column) -> Column:
 
 def inflation_hits(docs: DataFrame) -> DataFrame:
     """(doc_id, category, phrase, hits): inflated claims, by what was matched."""
-    rows = each(_cleaned(docs), ["doc_id"], let(F.col("clean"), _inflated)).select("doc_id", "x.category", "x.hits")
+    rows = each(_cleaned(docs), ["doc_id"], let(F.col("clean"), inflated_array)).select("doc_id", "x.category", "x.hits")
     phrases = F.transform(F.array_distinct("hits"), lambda p: F.struct(p.alias("phrase"), F.size(F.filter("hits", lambda h: h == p)).cast("bigint").alias("hits")))
     return each(rows, ["doc_id", "category"], phrases, "p").select("doc_id", "category", "p.phrase", "p.hits")
 
@@ -181,22 +181,30 @@ SEVERE = ("abstract_self", "first_person", "dense", "straight_quotes")
 WARNINGS = ("vague", "inflation", "formulaic", "filler", "rest_self", "dashes", "half_width", "arabic_heads", "even")
 
 
-def trace_marks(docs: DataFrame, density: int = 3) -> DataFrame:
-    """(doc_id, and a count for each mark): how often each text shows each of the thirteen marks, 0 where it passes."""
+def scanned_facts(docs: DataFrame) -> DataFrame:
+    """scan, with clean (abstract and rest without citations) and all counts of a text that need no threshold."""
     d = scan(docs).select("doc_id", "text", "abstract", "rest", "paras", uncited(_all_text()).alias("clean"))
+    return d.select("*", *_self(), *_punct(), *_heads(), _evenness(F.col("paras"), 30).alias("e"))
+
+
+def mark_counts(density: int = 3) -> dict[str, Column]:
+    """How often a text of scanned_facts shows each of the thirteen marks, 0 where it passes."""
     words = lambda ws: F.when(F.col("clean").rlike("|".join(ws)), sum((literal_count(F.col("clean"), w) for w in ws), F.lit(0))).otherwise(0)
-    d = d.select("*", *_self(), *_punct(), *_heads(), _evenness(F.col("paras"), 30).alias("e"))
-    vague = F.aggregate(let(F.col("clean"), _vague), F.lit(0), lambda acc, x: acc - x["minus"])
-    infl = F.aggregate(let(F.col("clean"), _inflated), F.lit(0), lambda acc, x: acc + F.size(x["hits"]))
+    vague = F.aggregate(let(F.col("clean"), vague_array), F.lit(0), lambda acc, x: acc - x["minus"])
+    infl = F.aggregate(let(F.col("clean"), inflated_array), F.lit(0), lambda acc, x: acc + F.size(x["hits"]))
     half, arabic = F.col("half_commas") + F.col("half_stops") + F.col("dots"), F.col("arabic_1") + F.col("arabic_2")
     dashes = F.when(F.col("dashes") / F.greatest(F.lit(1.0), F.col("chars") / 1000) > 8, F.col("dashes")).otherwise(0)
     even = (F.col("e.paragraphs") >= 5) & (F.col("e.sd") / F.col("e.mean") < 0.35)
-    counts = {
-        "abstract_self": F.col("in_abstract"), "first_person": F.col("first_person"), "dense": F.size(_dense(F.col("paras"), density)), "straight_quotes": F.col("straight_quotes"),
+    return {
+        "abstract_self": F.col("in_abstract"), "first_person": F.col("first_person"), "dense": F.size(dense_paragraphs(F.col("paras"), density)), "straight_quotes": F.col("straight_quotes"),
         "vague": vague, "inflation": infl, "formulaic": words(R.FORMULAIC), "filler": words(R.FILLER), "rest_self": F.when(F.col("in_rest") > 3, F.col("in_rest")).otherwise(0),
         "dashes": dashes, "half_width": half, "arabic_heads": arabic, "even": F.coalesce(even, F.lit(False)).cast("int"),
     }
-    return d.select("doc_id", *[c.cast("bigint").alias(n) for n, c in counts.items()])
+
+
+def trace_marks(docs: DataFrame, density: int = 3) -> DataFrame:
+    """(doc_id, and a count for each mark): how often each text shows each of the thirteen marks, 0 where it passes."""
+    return scanned_facts(docs).select("doc_id", *[c.cast("bigint").alias(n) for n, c in mark_counts(density).items()])
 
 
 def trace_verdict(docs: DataFrame) -> DataFrame:

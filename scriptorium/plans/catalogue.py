@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules as R
-from scriptorium.operators import bib, cites, lines, manuscript, pii, quality, trace, unpack
+from scriptorium.operators import bib, cites, lines, manuscript, pii, quality, reports, trace, unpack
 from scriptorium.plans import oracle, seeds
 from scriptorium.session import spread, table
 from scriptorium.sources import files
@@ -101,6 +101,12 @@ def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bib.detect_format(exports)
 
 
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    due = _skip(spark, sf_dir).select(F.col("path").cast("bigint").alias("doc_id"), "skip")
+    return reports.run_counters(due, files.scan_detect(_paged(docs)))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack.unpack(spread(table(spark, sf_dir, "bib"), "id"), ["authors", "keywords"])
 
@@ -199,6 +205,19 @@ def queries() -> dict[str, Query]:
         "md_runs": _docs(manuscript.runs, "doc_id", "line_no", "run", "kind", _digest("text")),
         "layout_blocks": _docs(manuscript.layout, "doc_id", "line_no", "kind", "font", "size", "indent", "bold", _digest("text")),
         "packet_clean": _docs(manuscript.packet_clean, "doc_id", "title", "comments", "status_lines", "placeholders", "todos", _digest("text")),
+        "docx": _docs(lambda d: files.as_docx(manuscript.layout(d, "footnote"), cites.footnote_resolve(d)), "doc_id", "file", lambda: F.length("content").alias("size")),
+        "pii_file_kinds": _listings(pii.file_kinds),
+        # reports and listings
+        "redundancy_report": _seeded(reports.redundancy_report),
+        "trace_report": _seeded(reports.trace_report),
+        "punct_report": _seeded(reports.punct_report),
+        "normalized": _seeded(lambda d: reports.normalized(d, True), "doc_id", "double_quotes", "single_quotes", "ellipses", "marks", "year_ranges", _digest("text")),
+        "pii_verdict": _seeded(reports.pii_verdict),
+        "bib_reference_list": _bib(lambda b: reports.reference_list(b, "law", 101)),
+        "bib_listing": _bib(reports.listing, "ord", _digest("text")),
+        "packet": _docs(reports.packet, "doc_id", "file", _digest("text")),
+        "paged_text": _docs(lambda d: reports.paged_text(_paged(d)), "doc_id", "file", "scanned", _digest("text")),
+        "run_counters": _run,
         "scan_detect": _docs(lambda d: files.scan_detect(_paged(d))),
         "incremental_skip": _skip,
     }

@@ -141,6 +141,12 @@ _LIST = "concat_ws(',', " + ", ".join(f"CASE WHEN {n} > 0 THEN '{n}:' || {n}::BI
 VERDICT = f"SELECT doc_id, {_SHOWN(_SEVERE)} AS severe, {_SHOWN(_WARN)} AS warnings, {_LIST} AS findings, ({_SHOWN((*_SEVERE, *_WARN))} > 0)::INT AS status FROM ({_MARKS})"
 
 
+def no_doi(x: str) -> str:
+    x = sub(x, rf"(?i)[{R.WS}]*DOI[{R.WS}]*[:：][{R.WS}]*[^{R.WS}]+")
+    x = sub(x, rf"(?i)[{R.WS}]*https?://(?:dx\.)?doi\.org/[^{R.WS}]+")
+    return strip(sub(x, f"[{R.WS}]+", " "))
+
+
 def fixed(expr: str) -> str:
     return f"SELECT doc_id, length(f) AS chars, md5(f) AS digest FROM (SELECT doc_id, text, {expr} AS f FROM documents WHERE text IS NOT NULL) WHERE f <> text"
 
@@ -282,6 +288,26 @@ CHECKED = f"""WITH c AS MATERIALIZED (SELECT doc_id, num, min(place) AS place FR
 NOTES_CHECKED = f"""SELECT doc_id, coalesce(count(*) FILTER (WHERE refs > 0 AND defs = 0), 0) AS missing, coalesce(count(*) FILTER (WHERE refs = 0 AND defs > 0), 0) AS unused, coalesce(max(num) FILTER (WHERE defs > 0) - count(*) FILTER (WHERE defs > 0), 0) AS gaps FROM ({NOTES}) GROUP BY 1"""
 
 
+_K = f"[{R.CJK_KANA}]"
+
+
+def _pairs(mark: str) -> str:
+    """Marks between two wide characters: what such pairs lose, the second time for those that share a character with the first."""
+    gone = sub(sub("text", f"({_K}){mark}({_K})", r"\1\2"), f"({_K}){mark}({_K})", r"\1\2")
+    return f"length(text) - length({gone})"
+
+
+_SQ = "list_sum(list_transform(range(1, len(p)), lambda i: (CASE WHEN (" + _INNER + ") THEN 1 ELSE 0 END)))"
+PUNCT_REPORT = f"""SELECT *, (double_quotes + single_quotes + commas + stops + dots + year_dashes > 0)::INT AS status FROM (SELECT doc_id, {literal('text', chr(34))} AS double_quotes, coalesce({_SQ}, 0)::INT AS single_quotes,
+ {_pairs(',')} AS commas, {_pairs(chr(92) + '.')} AS stops, {count('text', chr(92) + '.{3,}')} AS dots, {count('text', f'[0-9]{{4}}[{R.WS}]*[—–][{R.WS}]*[0-9]{{4}}')} AS year_dashes FROM (SELECT doc_id, text, string_split(text, chr(39)) AS p FROM documents WHERE text IS NOT NULL))"""
+_SOME = lambda a, f, b="": f"CASE WHEN {_C(f)} <> '' THEN {q(a)} || {f} || {q(b)} ELSE '' END"
+_OR = lambda f: f"coalesce(nullif({f}, ''), '—')"
+_NL1 = "chr(10)"
+LISTING = f"""SELECT ord, md5(t) AS digest FROM (SELECT id + 1 AS ord, '### [' || id || '] ' || {_C('title')} || {_NL1} || {_NL1} || '- 作者：' || {_OR('authors')} || {_NL1} || '- 出处：' || {_OR('journal')} || ' ' || {_C('year')} || {_SOME('，', 'volume')} || {_SOME('(', 'issue', ')')} || {_SOME('：', 'pages')}
+ || CASE WHEN {_C('keywords')} <> '' THEN {_NL1} || '- 关键词：' || keywords ELSE '' END || CASE WHEN {_C('abstract')} <> '' THEN {_NL1} || '- 摘要：' || left(abstract, 400) || CASE WHEN length(abstract) > 400 THEN '…' ELSE '' END ELSE '' END || {_NL1} AS t FROM bib
+ UNION ALL SELECT 0, '# 题录清单' || {_NL1} || {_NL1} || '- 记录数：' || count(*) || {_NL1} || '- 含摘要：' || count(nullif(abstract, '')) || {_NL1} || '- 年份范围：' || min(nullif(year, '')) || ' — ' || max(nullif(year, '')) || {_NL1} || '- 来源文件：' || array_to_string(list_sort(list(DISTINCT source_file)), ', ') || {_NL1} FROM bib
+ UNION ALL SELECT 1, '## 载文量前十期刊' || {_NL1} || {_NL1} || string_agg('- ' || journal || '（' || n || ' 篇）', {_NL1} ORDER BY n DESC, f) || {_NL1} || {_NL1} || '---' || {_NL1} || {_NL1} || '## 题录明细' || {_NL1} FROM (SELECT journal, count(*) AS n, min(id) AS f FROM bib WHERE journal <> '' GROUP BY 1 ORDER BY n DESC, f LIMIT 10))"""
+
 SQL = {
     "paragraphs": f"SELECT doc_id, line_no, length(text) AS text_chars FROM ({PARAGRAPHS})",
     "sentences": f"SELECT doc_id, line_no, sent_no, length(sentence) AS sentence_chars FROM ({SENTENCES})",
@@ -335,8 +361,14 @@ SQL = {
     "bib_top_journals": "SELECT journal, count(*) AS n FROM bib WHERE journal <> '' GROUP BY 1 ORDER BY n DESC, min(id) LIMIT 10",
     "bib_filter": "SELECT id FROM bib WHERE id IN (SELECT bib_id + 3 FROM cite_occ WHERE bib_id IS NOT NULL)",
     "bib_filter_missing": "SELECT DISTINCT bib_id + 3 AS id FROM cite_occ WHERE bib_id IS NOT NULL EXCEPT SELECT id FROM bib",
-    "bib_format_gbt": GBT,
-    "bib_format_law": LAW,
+    "bib_format_gbt": f"SELECT id, {no_doi('entry')} AS entry FROM ({GBT})",
+    "bib_format_law": f"SELECT id, {no_doi('entry')} AS entry FROM ({LAW})",
+    "bib_reference_list": f"SELECT num, '[' || num || '] ' || e AS line FROM (SELECT row_number() OVER (ORDER BY id) + 100 AS num, {no_doi('entry')} AS e FROM ({LAW}))",
+    "bib_listing": LISTING,
+    "punct_report": seeds.sql(PUNCT_REPORT),
+    "paged_text": f"SELECT doc_id, doc_id || '.txt' AS file, s.scanned, md5(t) AS digest FROM (SELECT doc_id, string_agg(chr(10) || t, '' ORDER BY n) AS t FROM ({_PAGE}) GROUP BY 1) JOIN ({SCANS}) s USING (doc_id)",
+    "run_counters": f"SELECT count(*) FILTER (WHERE NOT skip AND NOT scanned) AS ok, count(*) FILTER (WHERE skip) AS skipped, count(*) FILTER (WHERE NOT skip AND scanned) AS need_ocr, count(*) FILTER (WHERE NOT skip AND scanned IS NULL) AS failed FROM (SELECT d.doc_id, coalesce(m >= saved_at, false) AS skip FROM documents d LEFT JOIN (SELECT doc_id, max(extracted_at) AS m FROM cite_occ GROUP BY 1) USING (doc_id)) LEFT JOIN ({SCANS}) USING (doc_id)",
+    "pii_file_kinds": f"SELECT path, CASE WHEN x IN ('.pdf', '.caj', '.doc', '.docx', '.xls', '.xlsx', '.ppt', '.pptx', '.png', '.jpg', '.jpeg', '.gif', '.zip', '.7z', '.rar', '.pyc', '.exe', '.dll') THEN 'binary' WHEN x IN ('.md', '.markdown', '.txt', '.py', '.json', '.yml', '.yaml', '.toml', '.ini', '.cfg', '.html', '.htm', '.js', '.ts', '.css', '.sh', '.bat', '.ps1', '.csv', '.tsv', '') THEN 'text' ELSE 'other' END AS kind FROM (SELECT path, lower(regexp_extract(path, '[^./\\\\](\\.[^./\\\\]*)$', 1)) AS x FROM ({PATHS}))",
     "bib_missing_pages": f"SELECT id, p = '' AS no_pages, j = '' AS no_journal FROM ({FORMAT}) WHERE code = 'J' AND (p = '' OR j = '')",
     "abstract_split": f"SELECT doc_id, md5(abstract) AS digest, length(rest) AS rest_chars FROM ({ABSTRACT})",
     "lexicon_hits": seeds.sql(f"WITH cl AS MATERIALIZED ({CLEAN}) {LEXICON}"),
