@@ -308,6 +308,60 @@ LISTING = f"""SELECT ord, md5(t) AS digest FROM (SELECT id + 1 AS ord, '### [' |
  UNION ALL SELECT 0, '# 题录清单' || {_NL1} || {_NL1} || '- 记录数：' || count(*) || {_NL1} || '- 含摘要：' || count(nullif(abstract, '')) || {_NL1} || '- 年份范围：' || min(nullif(year, '')) || ' — ' || max(nullif(year, '')) || {_NL1} || '- 来源文件：' || array_to_string(list_sort(list(DISTINCT source_file)), ', ') || {_NL1} FROM bib
  UNION ALL SELECT 1, '## 载文量前十期刊' || {_NL1} || {_NL1} || string_agg('- ' || journal || '（' || n || ' 篇）', {_NL1} ORDER BY n DESC, f) || {_NL1} || {_NL1} || '---' || {_NL1} || {_NL1} || '## 题录明细' || {_NL1} FROM (SELECT journal, count(*) AS n, min(id) AS f FROM bib WHERE journal <> '' GROUP BY 1 ORDER BY n DESC, f LIMIT 10))"""
 
+_LAYOUT = rf"^>[{R.WS}]*({'|'.join(R.LAYOUT_KEYS)})[{R.WS}]*[:：][{R.WS}]*([^\n]+)\z"
+_KEYWORDS = rf"^\*{{0,2}}关键词\*{{0,2}}[{R.WS}]*[:：]"
+_REFLINE = rf"^#{{1,3}}[{R.WS}]*参考文献[{R.WS}]*\z"
+
+
+def unwrap(x: str) -> str:
+    s = strip(x)
+    inner = f"substring({s}, 2, length({s}) - 2)"
+    return f"CASE WHEN starts_with({s}, '《') AND ends_with({s}, '》') AND length({s}) > 2 AND NOT contains({inner}, '》') THEN {strip(inner)} ELSE {s} END"
+
+
+_BL0 = f"SELECT *, {has('line', R.NOTE_HEAD)} AS note FROM (SELECT doc_id, line_no, line, {strip('line')} AS s FROM ({lines()})) WHERE s <> ''"
+_BL1 = f"SELECT *, sum((NOT (note OR starts_with(s, '>') OR starts_with(s, '# ')))::INT) OVER w = 0 AS in_head, sum({has('s', _REFLINE)}::INT) OVER w > 0 AS in_refs FROM ({_BL0}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"
+_BL2 = f"SELECT *, sum((in_head AND starts_with(s, '# '))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS nth, {has('s', R.ABSTRACT_LINE)} AND NOT in_refs AS opens, in_refs AND {has('s', '^\\[[0-9]+\\]')} AS entry FROM ({_BL1})"
+_CLOSES = f"({has('s', rf'^#{{1,3}}[{R.WS}]')} OR starts_with(s, '**关键词'))"
+_BL3 = f"SELECT *, last_value(CASE WHEN opens THEN 'abstract' WHEN {_CLOSES} THEN 'body' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS state, coalesce(sum(entry::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entries FROM ({_BL2})"
+_KIND = f"""CASE WHEN note THEN 'note' WHEN in_head AND {has('s', _LAYOUT)} THEN 'meta' WHEN in_head AND starts_with(s, '>') THEN NULL WHEN in_head AND starts_with(s, '# ') AND nth = 1 THEN 'title' WHEN {has('s', _REFLINE)} THEN NULL
+ WHEN entry THEN 'ref' WHEN in_refs THEN CASE WHEN NOT starts_with(s, '#') AND entries > 0 THEN 'ref_more' END WHEN opens THEN NULL WHEN {has('s', _KEYWORDS)} THEN 'keywords' WHEN state = 'abstract' THEN 'abstract' WHEN s IN ('---', '***', '___') THEN NULL
+ WHEN starts_with(s, '## ') THEN 'h1' WHEN starts_with(s, '### ') THEN 'h2' WHEN starts_with(s, '> ') THEN 'quote' WHEN starts_with(s, '|') AND ends_with(s, '|') THEN 'table' ELSE 'p' END"""
+_TEXT = f"""CASE kind WHEN 'meta' THEN {unwrap(f"regexp_extract(s, {q(_LAYOUT)}, 2)")} WHEN 'title' THEN {unwrap('substring(s, 3)')} WHEN 'note' THEN {strip(sub('s', rf'{R.NOTE_HEAD}[{R.WS}]*'))} WHEN 'ref' THEN {strip(sub('s', '^\\[[0-9]+\\]'))} WHEN 'keywords' THEN {strip(sub('s', _KEYWORDS))}
+ WHEN 'h1' THEN {strip('substring(s, 4)')} WHEN 'h2' THEN {strip('substring(s, 5)')} WHEN 'quote' THEN {strip('substring(s, 3)')} ELSE s END"""
+BLOCKS = f"SELECT doc_id, line_no, kind, {_TEXT} AS text, CASE WHEN kind = 'meta' THEN regexp_extract(s, {q(_LAYOUT)}, 1) END AS key FROM (SELECT *, {_KIND} AS kind FROM ({_BL3})) WHERE kind IS NOT NULL"
+_CELLS = f"SELECT doc_id, line_no, list_transform(string_split({sub('text', '^\\|+|\\|+\\z')}, '|'), lambda c: {strip('c')}) AS cells FROM ({BLOCKS}) WHERE kind = 'table'"
+_CELL1 = f"SELECT * FROM ({_CELLS}) WHERE len(list_filter(cells, lambda c: NOT {has('c', '^:?-{2,}:?\\z')})) > 0"
+_CELL2 = f"SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line_no) AS tab FROM (SELECT *, (line_no - coalesce(lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), -9) > 2)::INT AS n FROM ({_CELL1}))"
+CELLS = f"SELECT doc_id, line_no, unnest(range(1, wide + 1)) AS col, coalesce(cells[unnest(range(1, wide + 1))], '') AS cell FROM (SELECT *, max(len(cells)) OVER (PARTITION BY doc_id, tab) AS wide FROM ({_CELL2}))"
+_INLINE = r"\*\*[^\n]+?\*\*|\[\^[0-9]+\]|«FN[0-9]+»"
+_SPANS = f"SELECT doc_id, line_no, string_split_regex(text, {q(_INLINE)}) AS t, regexp_extract_all(text, {q(_INLINE)}) AS m FROM ({BLOCKS}) WHERE kind = 'p'"
+_MARKED = "CASE WHEN starts_with(m[i], '**') THEN {'kind': 'bold', 'text': substring(m[i], 3, length(m[i]) - 4)} ELSE {'kind': 'note', 'text': m[i]} END"
+_BOTH = f"list_filter(flatten(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i <= len(m) THEN [{{'kind': 'plain', 'text': t[i]}}, {_MARKED}] ELSE [{{'kind': 'plain', 'text': t[i]}}] END)), lambda x: x.text <> '')"
+RUNS = f"SELECT doc_id, line_no, run, x.kind AS kind, md5(x.text) AS digest FROM (SELECT doc_id, line_no, unnest(a) AS x, generate_subscripts(a, 1) AS run FROM (SELECT doc_id, line_no, {_BOTH} AS a FROM ({_SPANS})))"
+_STYLED = {"title": ("黑体", 16.0), "subtitle": ("黑体", 14.0), "author": ("楷体", 12.0), "running_head": ("楷体", 9.0), "abstract": ("楷体", 12.0), "keywords": ("楷体", 12.0), "h1": ("黑体", 15.0), "h2": ("黑体", 12.0), "quote": ("楷体", 12.0), "table": ("宋体", 9.0), "p": ("宋体", 12.0), "ref": ("宋体", 10.5)}
+_PRINTED = "CASE WHEN kind = 'meta' THEN CASE key WHEN '题目' THEN 'title' WHEN '副标题' THEN 'subtitle' WHEN '作者' THEN 'author' WHEN '页眉' THEN 'running_head' END WHEN kind = 'ref_more' THEN 'ref' ELSE kind END"
+_LAY1 = f"SELECT *, {_PRINTED} AS k, max((kind = 'meta' AND key = '题目')::INT) OVER (PARTITION BY doc_id) AS named, sum((kind = 'ref')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS e FROM ({BLOCKS})"
+_LAY2 = f"SELECT doc_id, k AS kind, min(line_no) AS line_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM (SELECT *, CASE WHEN kind IN ('ref', 'ref_more') THEN -e ELSE line_no END AS part FROM ({_LAY1}) WHERE k IS NOT NULL AND NOT (kind = 'title' AND coalesce(named, 0) = 1)) GROUP BY doc_id, k, part"
+_OF = lambda i: "CASE kind " + " ".join(f"WHEN {q(k)} THEN {q(v[i]) if i == 0 else f'{v[i]}::DOUBLE'}" for k, v in _STYLED.items()) + " END"
+LAYOUT = f"SELECT doc_id, line_no, kind, {_OF(0)} AS font, {_OF(1)} AS size, kind IN ('abstract', 'quote', 'p') AS indent, false AS bold, md5(text) AS digest FROM ({_LAY2}) WHERE kind IN ({', '.join(map(q, _STYLED))})"
+
+_METALINE = rf"^>[{R.WS}]*({'|'.join(R.META_KEYS)})[{R.WS}]*[:：][{R.WS}]*([^\n]*)\z"
+_PK0 = f"SELECT *, sum(starts_with(s, '## ')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) = 0 AS head FROM (SELECT doc_id, line_no, line, {strip('line')} AS s FROM ({lines()}))"
+_INTERNAL = has("s", rf"^#[{R.WS}]*论文正文[^\n]*\z")
+_PK1 = f"""SELECT doc_id, arg_max(regexp_extract(s, {q(_METALINE)}, 2), line_no) FILTER (WHERE head AND regexp_extract(s, {q(_METALINE)}, 1) = '题目') AS t1, arg_min(substring(s, 3), line_no) FILTER (WHERE head AND starts_with(s, '# ') AND NOT {_INTERNAL}) AS t2,
+ coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT (head AND (starts_with(s, '>') OR {_INTERNAL} OR starts_with(s, '# ')))), '') AS b FROM ({_PK0}) GROUP BY 1"""
+_PK2 = f"SELECT doc_id, coalesce(nullif({unwrap('t1')}, ''), nullif({unwrap('t2')}, '')) AS title, {count('b', R.COMMENT)} AS comments, {sub('b', R.COMMENT)} AS b FROM ({_PK1})"
+_STATUS = rf"(?m)^[{R.WS}]*(?:状态|写作状态)[{R.WS}]*[:：][^\n]*$"
+_PK3 = f"SELECT doc_id, title, comments, {count('b', _STATUS)} AS status_lines, {sub('b', _STATUS)} AS b FROM ({_PK2})"
+_PK4 = f"SELECT doc_id, title, comments, status_lines, CASE WHEN title IS NOT NULL THEN '# ' || title || chr(10) || chr(10) || {sub('b', f'^[{R.WS}]+')} ELSE b END AS b FROM ({_PK3})"
+_PK5 = f"SELECT *, {count('b', R.PLACEHOLDER)} AS placeholders, {count('b', R.TODO)} AS todos FROM ({_PK4})"
+_ANON = "b"
+for _pattern in (r"（?作者信息[:：][^）\n]*）?", rf"(?m)^>[{R.WS}]*(?:{'|'.join(R.META_KEYS)})[{R.WS}]*[:：][^\n]*$", rf"(?m)^[{R.WS}]*[*\-#]*[{R.WS}]*\[?作者姓名[^\n]*$"):
+    _ANON = sub(_ANON, _pattern)
+PACKET = f"SELECT doc_id, title, comments, status_lines, placeholders, todos, {strip(sub(_ANON, chr(92) + 'n{3,}', chr(10) + chr(10)))} || chr(10) AS text FROM ({_PK5})"
+
+
 SQL = {
     "paragraphs": f"SELECT doc_id, line_no, length(text) AS text_chars FROM ({PARAGRAPHS})",
     "sentences": f"SELECT doc_id, line_no, sent_no, length(sentence) AS sentence_chars FROM ({SENTENCES})",
@@ -351,6 +405,11 @@ SQL = {
     "trace_verdict_seeded": seeds.sql(VERDICT),
     "compress_ranges": COMPRESSED,
     "scan_detect": SCANS,
+    "md_blocks": f"SELECT doc_id, line_no, kind, md5(text) AS digest FROM ({BLOCKS})",
+    "md_table_cells": CELLS,
+    "md_runs": RUNS,
+    "layout_blocks": LAYOUT,
+    "packet_clean": f"SELECT * EXCLUDE (text), md5(text) AS digest FROM ({PACKET})",
     "footnotes": NOTES,
     "footnote_missing": f"SELECT doc_id, num FROM ({NOTES}) WHERE refs > 0 AND defs = 0",
     "footnote_unused": f"SELECT doc_id, num FROM ({NOTES}) WHERE refs = 0 AND defs > 0",
