@@ -362,6 +362,23 @@ for _pattern in (r"（?作者信息[:：][^）\n]*）?", rf"(?m)^>[{R.WS}]*(?:{'
 PACKET = f"SELECT doc_id, title, comments, status_lines, placeholders, todos, {strip(sub(_ANON, chr(92) + 'n{3,}', chr(10) + chr(10)))} || chr(10) AS text FROM ({_PK5})"
 
 
+_NW = r"[^\p{L}\p{N}_\n]"  # RE2 knows word edges of ASCII only, and no look-around
+_ID = r"[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}"
+#: For each rule a pattern, its group, and what of its matches is the fragment.
+_FIND = [
+    (R.PII_RULES[0][3], 0, "m"), ("[0-9]+", 0, "CASE WHEN regexp_full_match(m, '1[3-9][0-9]{9}') THEN m END"), ("[0-9]+[Xx]?", 0, f"nullif(regexp_extract(m, '^({_ID}[0-9Xx])[Xx]?$', 1), '')"), ("[0-9]+", 0, "CASE WHEN regexp_full_match(m, '[1-9][0-9]{7,10}') THEN m END"),
+    (R.PII_RULES[4][3], 0, "m"), (rf"(?:^|[^\p{{L}}\p{{N}}_.])([A-Za-z]:[\\/][^{R.WS}\"'<>|`]{{4,}})", 1, "m"), (R.PII_RULES[6][3], 0, "m"), (R.PII_RULES[7][3], 0, "m"),
+    (R.PII_RULES[8][3], 0, f"CASE WHEN contains({q(R.SURNAMES)}, left({sub('m', rf'^(?:作者|姓名|著作人|执笔人)[{R.WS}]*[:：][{R.WS}]*')}, 1)) THEN m END"), (R.PII_RULES[9][3], 0, "m"),
+    (rf"((?:[A-Z][a-z]+[{R.WS}]+){{1,4}}(?:of[{R.WS}]+)?[A-Z][a-z]+[{R.WS}]*,?[{R.WS}]*[A-Z]{{2,6}})(?:{_NW}|\z)", 1, "m"),
+    (rf"(?:^|{_NW})((?:University|College|Institute|School|Academy){_NW}(?:[^\n]{{0,38}}?{_NW})?[A-Z]{{2,8}})(?:{_NW}|\z)", 1, "m"),
+]
+_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, {q(c)} AS category, {q(s)} AS severity, {q(d)} AS description, line_no AS line, {strip(f)} AS f FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, {q(p)}, {g})) AS m FROM l)"
+    for (c, s, d, _), (p, g, f) in zip(R.PII_RULES, _FIND, strict=True)
+)
+PII = f"WITH l AS ({lines()}) SELECT doc_id, category, severity, description, line, left(f, 80) AS fragment FROM ({_HITS}) WHERE f <> '' AND NOT {has('f', R.REDACTED)}"
+
+
 SQL = {
     "paragraphs": f"SELECT doc_id, line_no, length(text) AS text_chars FROM ({PARAGRAPHS})",
     "sentences": f"SELECT doc_id, line_no, sent_no, length(sentence) AS sentence_chars FROM ({SENTENCES})",
@@ -404,6 +421,9 @@ SQL = {
     "normalize_doc": seeds.sql(NORMALIZED),
     "trace_verdict_seeded": seeds.sql(VERDICT),
     "compress_ranges": COMPRESSED,
+    "pii_hits": seeds.sql(PII),
+    "pii_severity": seeds.sql(f"SELECT severity, count(*) AS n FROM (SELECT severity FROM ({PII}) UNION ALL SELECT '中' FROM ({INSTITUTIONS})) GROUP BY 1"),
+    "pii_verdict": seeds.sql(f"SELECT d.doc_id, coalesce(h, 0) AS high, coalesce(k, 0) AS medium, (coalesce(h, 0) + coalesce(k, 0) > 0)::INT AS status FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity = '高') AS h, count(*) FILTER (WHERE severity = '中') AS k FROM (SELECT doc_id, severity FROM ({PII}) UNION ALL SELECT doc_id, '中' FROM ({INSTITUTIONS})) GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL"),
     "scan_detect": SCANS,
     "md_blocks": f"SELECT doc_id, line_no, kind, md5(text) AS digest FROM ({BLOCKS})",
     "md_table_cells": CELLS,
