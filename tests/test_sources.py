@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from scriptorium.operators import pii, quality
-from scriptorium.sources import files
+from scriptorium.sources import files, sinks
 from scriptorium.streaming import folder
 
 
@@ -25,7 +25,7 @@ def test_files_by_suffix_and_encoding(spark, texts):
 def test_records_round_trip(spark, tmp_path):
     rows = [(1, 'with "quotes"', "two\nlines"), (2, "tab\tinside", "")]
     d = spark.createDataFrame(rows, "id int, title string, abstract string")
-    files.write_records(d, str(tmp_path / "t"), ["id", "title", "abstract"])
+    sinks.write_records(d, str(tmp_path / "t"), ["id", "title", "abstract"])
     got = files.read_records(spark, str(tmp_path / "t")).orderBy("id").collect()
     assert [(int(r["id"]), r["title"], r["abstract"] or "") for r in got] == rows
     (tmp_path / "bad.tsv").write_text("id\tname\n1\tx\n")
