@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -348,16 +349,20 @@ def version_curve(docs: DataFrame, collapse: float = -40.0) -> DataFrame:
         project = chars = None
         fresh = True
         for batch in batches:
-            if fresh and batch.num_rows:
+            n = batch.num_rows
+            if not n:
+                continue
+            if fresh:
                 before = [e for e in ends if e[0] < batch.column("part")[0].as_py()]
                 if before:
                     _, project, chars = before[-1]
                 fresh = False
-            out = []
-            for p, n in zip(batch.column("project").to_pylist(), batch.column("n_chars").to_pylist(), strict=True):
-                out.append(chars if p == project else None)
-                project, chars = p, n
-            yield pa.RecordBatch.from_arrays([*batch.select(["project", "version", "doc_id", "n_chars"]).columns, pa.array(out, pa.int64())], ["project", "version", "doc_id", "n_chars", "before"])
+            projects, sizes = batch.column("project"), batch.column("n_chars")
+            same = pc.equal(projects, pa.concat_arrays([pa.array([project], pa.string()), projects.slice(0, n - 1)]))
+            shifted = pa.concat_arrays([pa.array([chars], pa.int64()), sizes.slice(0, n - 1)])
+            out = pc.if_else(same, shifted, pa.scalar(None, pa.int64()))
+            project, chars = projects[n - 1].as_py(), sizes[n - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.select(["project", "version", "doc_id", "n_chars"]).columns, out], ["project", "version", "doc_id", "n_chars", "before"])
 
     out = placed.mapInArrow(previous, "project string, version int, doc_id bigint, n_chars bigint, before bigint")
     change = (F.col("n_chars") - F.col("before")) / F.greatest(F.lit(1), F.col("before")) * F.lit(100.0)

@@ -120,6 +120,14 @@ def pii_verdict(docs: DataFrame) -> DataFrame:
     return out.withColumn("status", (F.col("high") + F.col("medium") > 0).cast("int"))
 
 
+def pii_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, report): the hits of each text that has any, by line, as JSON."""
+    found = pii.hits(docs).unionByName(pii.institutions(docs).select("doc_id", F.lit("单位信息").alias("category"), F.lit("中").alias("severity"), F.lit("疑似具体机构名").alias("description"), F.col("line_no").alias("line"), "fragment"))
+    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "category", "severity", "description", "fragment"))).alias("hits"))
+    of = lambda s: F.size(F.filter("hits", lambda h: h["severity"] == s))
+    return rows.select("doc_id", F.to_json(F.struct(of("高").alias("high"), of("中").alias("medium"), "hits")).alias("report"))
+
+
 #: The names of the two styles in the head of a list.
 STYLE_NAMES = {"gbt": "GB/T 7714 顺序编码制", "law": "法学引注手册体例"}
 

@@ -195,6 +195,7 @@ def queries() -> dict[str, Query]:
         "normalize_doc": _fixed(lambda c: trace.normalize_doc(c, True), _seeded),
         # personal data
         "pii_hits": _seeded(pii.hits),
+        "pii_allowed": _seeded(lambda d: pii.hits(d, allow=["mail5", "王某"])),
         "pii_institutions": _seeded(pii.institutions),
         "pii_terms": _docs(lambda d: pii.term_hits(d, TERMS)),
         "pii_file_hygiene": _listings(pii.file_hygiene),
@@ -213,6 +214,7 @@ def queries() -> dict[str, Query]:
         "punct_report": _seeded(reports.punct_report),
         "normalized": _seeded(lambda d: reports.normalized(d, True), "doc_id", "double_quotes", "single_quotes", "ellipses", "marks", "year_ranges", _digest("text")),
         "pii_verdict": _seeded(reports.pii_verdict),
+        "pii_report": _seeded(reports.pii_report),
         "bib_reference_list": _bib(lambda b: reports.reference_list(b, "law", 101)),
         "bib_listing": _bib(reports.listing, "ord", _digest("text")),
         "packet": _docs(reports.packet, "doc_id", "file", _digest("text")),

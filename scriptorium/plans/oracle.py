@@ -422,6 +422,7 @@ SQL = {
     "trace_verdict_seeded": seeds.sql(VERDICT),
     "compress_ranges": COMPRESSED,
     "pii_hits": seeds.sql(PII),
+    "pii_allowed": seeds.sql(f"SELECT * FROM ({PII}) WHERE NOT contains(fragment, 'mail5') AND NOT contains(fragment, '王某')"),
     "pii_severity": seeds.sql(f"SELECT severity, count(*) AS n FROM (SELECT severity FROM ({PII}) UNION ALL SELECT '中' FROM ({INSTITUTIONS})) GROUP BY 1"),
     "pii_verdict": seeds.sql(f"SELECT d.doc_id, coalesce(h, 0) AS high, coalesce(k, 0) AS medium, (coalesce(h, 0) + coalesce(k, 0) > 0)::INT AS status FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity = '高') AS h, count(*) FILTER (WHERE severity = '中') AS k FROM (SELECT doc_id, severity FROM ({PII}) UNION ALL SELECT doc_id, '中' FROM ({INSTITUTIONS})) GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL"),
     "scan_detect": SCANS,
