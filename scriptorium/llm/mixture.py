@@ -50,8 +50,10 @@ def uniform(key: str, seed: int) -> F.Column:
 def draw(docs: DataFrame, rate_table: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """The columns of docs, and copy: each drawn copy of a document, numbered from 1.
 
-    docs has id_col and source; rate_table has one row for each target. Documents of no target are not drawn.
+    docs has id_col and source; rate_table has one row for each target. Documents of no target are not drawn. A column
+    that is called copy already is replaced.
     """
+    docs = docs.drop("copy", "_rate", "_copies")
     r = _small(rate_table.select("source", F.col("rate").alias("_rate")), rate_table.count())
     copies = F.floor("_rate") + F.when(uniform(id_col, seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
     drawn = docs.join(r, "source").withColumn("_copies", copies.cast("int")).where("_copies > 0")
