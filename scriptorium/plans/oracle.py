@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scriptorium.functions import rules as R
+from scriptorium.operators.reports import INSTRUCTIONS
 from scriptorium.plans import seeds
 
 
@@ -445,6 +446,7 @@ SQL = {
     "bib_format_law": f"SELECT id, {no_doi('entry')} AS entry FROM ({LAW})",
     "bib_reference_list": f"SELECT num, '[' || num || '] ' || e AS line FROM (SELECT row_number() OVER (ORDER BY id) + 100 AS num, {no_doi('entry')} AS e FROM ({LAW}))",
     "bib_listing": LISTING,
+    "packet": f"SELECT doc_id, '审稿稿_M1.md' AS file, md5(text) AS digest FROM ({PACKET}) UNION ALL SELECT doc_id, '审稿任务说明_M1.md', md5({q(INSTRUCTIONS.format(round_no=1, manuscript='审稿稿_M1.md', extra=''))}) FROM documents WHERE text IS NOT NULL",
     "punct_report": seeds.sql(PUNCT_REPORT),
     "paged_text": f"SELECT doc_id, doc_id || '.txt' AS file, s.scanned, md5(t) AS digest FROM (SELECT doc_id, string_agg(chr(10) || t, '' ORDER BY n) AS t FROM ({_PAGE}) GROUP BY 1) JOIN ({SCANS}) s USING (doc_id)",
     "run_counters": f"SELECT count(*) FILTER (WHERE NOT skip AND NOT scanned) AS ok, count(*) FILTER (WHERE skip) AS skipped, count(*) FILTER (WHERE NOT skip AND scanned) AS need_ocr, count(*) FILTER (WHERE NOT skip AND scanned IS NULL) AS failed FROM (SELECT d.doc_id, coalesce(m >= saved_at, false) AS skip FROM documents d LEFT JOIN (SELECT doc_id, max(extracted_at) AS m FROM cite_occ GROUP BY 1) USING (doc_id)) LEFT JOIN ({SCANS}) USING (doc_id)",
