@@ -155,13 +155,21 @@ def _p3_sql() -> str:
  SELECT g AS group_id, f AS field_name, id FROM (SELECT *, row_number() OVER (PARTITION BY g, f ORDER BY ({cut_short})::INT, trust DESC NULLS LAST, e DESC, id) AS r FROM c) WHERE r = 1"""
 
 
-def _p5_sql() -> str:
+def _p5_keys() -> str:
     joined = _sub(_sub(_fold("authors"), r"(\p{Han})[ \x{a0}\x{3000}]+(\p{Han})", r"\1\2"), r"(\p{Han})[ \x{a0}\x{3000}]+(\p{Han})", r"\1\2")
     names = f"array_to_string(list_sort(list_filter(string_split({_sub(joined, ASIDE, ' ')}, ' '), lambda p: p NOT IN ('', 'and'))), ' ')"
-    key = f"{_sub(_fold('title'), ASIDE, '')} AS t, {names} AS a, {_sub(_fold('source_file'), ASIDE, '')} AS f"
-    return f"WITH k AS (SELECT id, {key} FROM bib) SELECT x.id AS id_a, y.id AS id_b FROM k x JOIN k y USING (t, a, f) WHERE x.id < y.id"
+    return f"{_sub(_fold('title'), ASIDE, '')} AS t, {names} AS a, {_sub(_fold('source_file'), ASIDE, '')} AS f"
+
+
+def _p5_sql() -> str:
+    return f"WITH k AS (SELECT id, {_p5_keys()} FROM bib) SELECT x.id AS id_a, y.id AS id_b FROM k x JOIN k y USING (t, a, f) WHERE x.id < y.id"
+
+
+def _p5_classes() -> str:
+    shown = ", ".join(f"first({c} ORDER BY id) AS {c}" for c in loose.KEYS)
+    return f"SELECT min(id) AS id, {shown}, count(*) AS copies, count(DISTINCT coalesce(title, chr(1)) || chr(0) || coalesce(authors, chr(1)) || chr(0) || coalesce(source_file, chr(1))) AS writings FROM (SELECT *, {_p5_keys()} FROM bib) GROUP BY t, a, f"
 
 
 def oracle_sql() -> dict[str, str]:
     """The problems whose results SQL can state."""
-    return {"p3_found": _p3_sql(), "p5_found": _p5_sql()}
+    return {"p3_found": _p3_sql(), "p5_found": _p5_sql(), "p5_collapsed": _p5_classes()}
