@@ -372,7 +372,8 @@ def version_curve(docs: DataFrame, collapse: float = -40.0) -> DataFrame:
 def health_verdict(docs: DataFrame, least: float = 0.65, long: int = 150, bloated: int = 500) -> DataFrame:
     """(doc_id, near_dups, long_sentences, bloated, filler, chunks, status) of each document with a text.
 
-    near_dups counts pairs of sentences, copies included, up to the 15 that a report shows; filler up to 12 and chunks
+    near_dups counts pairs of sentences, copies included, up to the 15 that a report shows, for which the top pairs of
+    each two blocks are enough; filler up to 12 and chunks
     up to 10 likewise. Status is 1 if there is any of the five.
     """
     b = body(F.col("text"))
@@ -380,7 +381,7 @@ def health_verdict(docs: DataFrame, least: float = 0.65, long: int = 150, bloate
     here = docs.where("text IS NOT NULL").select(
         "doc_id", size(F.filter(sentence_array(b), lambda x: x["chars"] > long)).alias("long_sentences"), size(bloated_array(b, bloated)).alias("bloated"), size(F.slice(filler_array(b, 3), 1, 12)).alias("filler")
     )
-    linked = near_pairs(docs, least).select("doc_id", (F.col("copies_a") * F.col("copies_b")).alias("k"))
+    linked = near_pairs(docs, least, "top").select("doc_id", (F.col("copies_a") * F.col("copies_b")).alias("k"))
     copied = sentence_classes(docs).where("copies > 1").select("doc_id", F.expr("copies * (copies - 1) div 2").alias("k"))
     near = linked.unionByName(copied).groupBy("doc_id").agg(F.least(F.sum("k"), F.lit(15)).alias("near_dups"))
     chunks = repeated_ngrams(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"))
